@@ -4,13 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import decontamination, quality_ranking, sharding, simhash_dedup, source_mixing
+from folio.llm import (
+    decontamination, html_text, license_scan, quality_ranking, secret_scan, sharding, simhash_dedup, source_mixing,
+    syncmers, toxic_spans,
+)
 from folio.sources.tables import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every document."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.size("sids").cast("long").alias("n_sentences"), F.array_join("sids", ",").alias("sentence_ids"),
+        F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"),
+    )
+
+
+def op4_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, with the offending spans as ``start:end``."""
+    found = toxic_spans.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    listed = F.transform("spans", lambda c: F.concat_ws(":", c["start"].cast("string"), c["end"].cast("string")))
+    return found.withColumn("spans", F.array_join(listed, ","))
+
+
+def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    found = syncmers.fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        syncmers.print_text("fp").alias("fingerprint"), syncmers.print_text("edited_fp").alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
+
+
+def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; a document's source stands for its repository and owner."""
+    found = secret_scan.secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda c: c["kind"] != "token")
+
+    def count(part: str, value: str) -> Column:
+        return F.size(F.filter("spans", lambda c: c[part] == value)).cast("long").alias(f"n_{value}")
+
+    return found.select(
+        "doc_id",
+        *[count("kind", k) for k in ("assign", "access", "hex")],
+        F.sha2(secret_scan.span_list(base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.span_list(F.col("spans")).alias("spans"),
+        *[count("verdict", v) for v in ("live", "shared", "example")],
+    )
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -47,9 +99,14 @@ def op5_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
+    "op4_toxic_spans": op4_toxic_spans,
     "op5_quality_ranking": op5_quality_ranking,
     "op6_source_mixing": op6_source_mixing,
+    "op7_syncmer_fingerprints": op7_syncmer_fingerprints,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_secret_ownership": op9_secret_ownership,
+    "op10_html_text": op10_html_text,
 }

@@ -87,9 +87,10 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
 
     Pairs of a list tally their shared bytes, must reach eight less ``max_bits``, and are then
     verified bit by bit. A list longer than ``LIST_LIMIT`` would give pairs without bound: each
-    of its members is linked to itself with one of the other 32 bits flipped instead. Members
-    two bits apart meet in such a variant and members further apart do not, which is exact and
-    costs 33 rows a member; variants may be values that no document has.
+    of its members is put under itself and itself with one of the other 32 bits flipped instead.
+    Two bits apart or less, members meet under such a variant, and members that meet are never
+    further apart, so linking each to the least there is exact. It costs 33 rows a member, and no more
+    than 65 fingerprints meet under one variant.
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("max_bits is 0, 1 or 2")
@@ -107,19 +108,21 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     pairs = pairs.where(shared_bytes(F.col("u"), F.col("v")) >= 8 - max_bits)
     pairs = pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
     dense = rows.where(F.col("n") > LIST_LIMIT)
-    if max_bits == 1:  # a neighbour is itself a variant: only those that exist count
+    variants = _variants(dense)
+    if max_bits == 1:  # only the variants that are fingerprints themselves
         known = prints.select(F.col("fp").alias("v")).distinct()
-        return pairs.unionByName(_variants(dense).where("u <> v").join(known, "v", "left_semi").select("u", "v"))
-    return pairs.unionByName(_variants(dense))
+        return pairs.unionByName(variants.join(known, "v", "left_semi").select("u", "v"))
+    met = variants.distinct().withColumn("least", F.min("u").over(Window.partitionBy("v")))
+    return pairs.unionByName(met.where("u <> least").select("u", F.col("least").alias("v")).distinct())
 
 
 def _variants(rows: DataFrame) -> DataFrame:
-    """``fp`` as ``u`` with each of itself under one flipped bit outside the blocks of ``key`` as ``v``."""
+    """``fp`` as ``u`` with, as ``v``, itself and itself under each one flipped bit outside the blocks of ``key``."""
     combo = F.shiftrightunsigned("key", 32)
     flips = None
     for c, blocks in enumerate(BLOCKS):
         free = [16 * k + b for k in range(4) if k not in blocks for b in range(16)]
-        masks = F.array(*[F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long") for b in free])
+        masks = F.array(F.lit(0).cast("long"), *[F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long") for b in free])
         flips = F.when(combo == c, masks) if flips is None else flips.when(combo == c, masks)
     return rows.select(F.col("fp").alias("u"), F.explode(flips).alias("_flip")).select(
         "u", F.col("u").bitwiseXOR(F.col("_flip")).alias("v")
