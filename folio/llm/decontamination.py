@@ -63,7 +63,7 @@ def rarest_terms(wins: DataFrame, docs: DataFrame, text_col: str, lists: int = L
     places = places.groupBy("win", "term").agg(F.min("off").alias("off"))
     terms = small(places.select("term").distinct())
     body = docs.select(word_list(F.col(text_col)).alias("words")).select(F.explode("words").alias("term"))
-    held = body.join(terms, "term").groupBy("term").agg(F.count("*").alias("tf"))
+    held = store(body.join(terms, "term").groupBy("term").agg(F.count("*").alias("tf")), "frequencies")
     ranked = places.join(small(held), "term", "left")
     by_win = Window.partitionBy("win")
     ranked = ranked.withColumn("nth", F.row_number().over(by_win.orderBy("tf", "term")))
@@ -77,23 +77,20 @@ def phrase_matches(
     """``(doc, win, start, len)``: every exact occurrence of every window in every text.
 
     The lists of a window's rarest terms are moved by the terms' offsets, so those of one occurrence
-    agree on where it starts, and intersected there; what all of them share is held against the
-    words stored with the rarest term's posting. Keys of the intersection are (text, window, start), so a
-    window that very many texts hold is dealt out by text. ``longest`` bounds the words of a window.
+    agree on where it starts, and intersected there. A posting stores its neighbouring words, so one that
+    the window's words contradict leaves its list before any shuffle. Keys of the intersection are
+    (text, window, start), so a window that very many texts hold is dealt out by text. ``longest``
+    bounds the words of a window.
     """
     rare = store(rarest_terms(wins, docs, text_col, lists), "rarest")
     sized = wins.join(rare.groupBy("win").agg(F.max("nth").alias("need")), "win")
-    lookup = rare.join(sized, "win").select(
-        "term", "win", "nth", "off", "need", "len", F.when(F.col("nth") == 1, F.col("words")).alias("expected")
-    )
+    lookup = rare.join(sized, "win").select("term", "win", "nth", "off", "need", "len", "words")
     found = index_postings(docs, id_col, text_col, rare, context=longest).join(small(lookup), "term")
-    found = found.withColumn("start", F.col("pos") - F.col("off")).where("start >= 0 and off <= pos")
-    here = F.slice("around", F.greatest(F.col("lead") - F.col("off") + 1, F.lit(1)), F.col("len"))
-    found = found.select("doc", "win", "start", "len", "need", "nth", (here == F.col("expected")).alias("same"))
-    met = found.groupBy("doc", "win", "start", "len", "need").agg(
-        F.count_distinct("nth").alias("lists"), F.max("same").alias("same")
-    )
-    return met.where("lists = need and same").select("doc", "win", "start", "len")
+    here = F.slice("around", F.col("lead") - F.col("off") + 1, F.col("len"))
+    found = found.where(F.when(F.col("off") <= F.col("lead"), here == F.col("words")).otherwise(False))
+    found = found.select("doc", "win", (F.col("pos") - F.col("off")).alias("start"), "len", "need", "nth")
+    met = found.groupBy("doc", "win", "start", "len", "need").agg(F.count_distinct("nth").alias("lists"))
+    return met.where("lists = need").select("doc", "win", "start", "len")
 
 
 def proximity_matches(
