@@ -131,7 +131,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         return pd.Series([[float(v) for v in features(t)] for t in texts])
 
     got = sample.select("_id", "_label", measure("_text").alias("x")).toPandas().sort_values("_id", kind="stable")
-    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), -1)
+    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(features("")))
     return fit(x, got["_label"].to_numpy(dtype=int), counts, at_cut)
 
 
@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", name: st
     @F.pandas_udf(T.DoubleType())
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            x = np.array([features(t) for t in texts], dtype=float).reshape(len(texts), -1)
+            x = np.array([features(t) for t in texts], dtype=float).reshape(len(texts), len(features("")))
             yield pd.Series(model.score(x) if len(x) else [], dtype=float)
 
     return docs.withColumn(name, scored(F.col(text_col)))
