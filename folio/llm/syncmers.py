@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from folio.functions.text import BLANKS, split_words
@@ -10,54 +10,63 @@ from folio.functions.text import BLANKS, split_words
 WORD_K, WORD_S = 5, 2
 CHAR_K, CHAR_S = 8, 5
 SHORT_CHARS = 400
-"""Texts below this length have anchors of characters besides those of words."""
+"""Texts below this length have anchors of code points besides those of words."""
 
 
 def _range(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def add_anchors(df: DataFrame, units: str, name: str, k: int, s: int) -> DataFrame:
-    """``df`` with ``name``: ``array<struct<pos, hash>>``, the closed syncmers of the array column ``units``.
+def closed_runs(inner: Column, edge: int) -> Column:
+    """Starts, from 0, of the runs that are closed syncmers, given the hashes of all inner runs.
 
-    A run of ``k`` units is chosen if the least, by MD5, of its inner runs of ``s`` units is the
-    first or the last of them. That depends on the run alone, so equal passages have equal
-    anchors wherever they stand. Fewer than ``k`` units, and sequences of which no run is
-    chosen, give one anchor of all units; no units (or null) give none.
+    A run holds ``edge + 1`` inner runs and is chosen if the least of their hashes is the first or the last.
+    That depends on the run alone, so equal passages have equal anchors wherever they stand.
     """
-    at = lambda start, n: F.array_join(F.slice(units, start + 1, n), " ")
-    inner = F.transform(_range(F.size(units) - (s - 1)), lambda i: F.md5(at(i, s)))
-    out = df.withColumn("_inner", inner)
-    edge = k - s
 
     def closed(i: Column) -> Column:
-        least = F.least(*[F.get("_inner", i + j) for j in range(edge + 1)])
-        return (F.get("_inner", i) == least) | (F.get("_inner", i + edge) == least)
+        ends = F.least(F.get(inner, i), F.get(inner, i + edge))
+        middle = [F.get(inner, i + j) for j in range(1, edge)]
+        return ends <= (F.least(*middle) if len(middle) > 1 else middle[0])
 
-    anchor = lambda i, n: F.struct(i.alias("pos"), F.substring(F.md5(at(i, n)), 1, 8).alias("hash"))
-    out = out.withColumn("_chosen", F.filter(_range(F.size(units) - (k - 1)), closed))
-    chosen = F.transform("_chosen", lambda i: anchor(i, k))
-    whole = F.array(F.struct(F.lit(0).alias("pos"), F.substring(F.md5(F.array_join(units, " ")), 1, 8).alias("hash")))
-    none = F.array().cast("array<struct<pos:int,hash:string>>")
-    found = F.when(F.size("_chosen") > 0, chosen).when(F.size(units) > 0, whole).otherwise(none)
-    return out.withColumn(name, found).drop("_inner", "_chosen")
+    return F.filter(_range(F.size(inner) - edge), closed)
+
+
+def _anchors(chosen: str, hashed, whole: Column, some: Column) -> Column:
+    """Hashes of the chosen runs; of the ``whole`` text where no run is chosen, none where there is nothing."""
+    every = F.transform(chosen, hashed)
+    none = F.array().cast("array<string>")
+    return F.when(F.size(chosen) > 0, every).when(some, F.array(_short(whole))).otherwise(none)
+
+
+def _short(text: Column) -> Column:
+    return F.substring(F.md5(text), 1, 8)
 
 
 def fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with ``name``: ``struct<words, chars>``, the sorted distinct anchor hashes of a whole text.
 
-    ``chars`` is empty unless the text has fewer than ``SHORT_CHARS`` code points. A function of the text
-    alone; a null text counts as empty and has neither.
+    Anchors are closed syncmers of ``WORD_K`` words over inner runs of ``WORD_S``, and of ``CHAR_K`` code points over
+    ``CHAR_S``; the latter only where the text has fewer than ``SHORT_CHARS`` code points. Texts too short for a run, and
+    those of which none is chosen, have one anchor of all they hold. A function of the text alone; a null text
+    counts as empty and has neither.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumn("_units", split_words(body, BLANKS))
-    out = add_anchors(out, "_units", "_words", WORD_K, WORD_S)
-    short = F.when(F.length(body) < SHORT_CHARS, F.regexp_extract_all(body, F.lit("(?s)."), F.lit(0)))
-    out = out.withColumn("_units", F.coalesce(short, F.array().cast("array<string>")))
-    out = add_anchors(out, "_units", "_chars", CHAR_K, CHAR_S)
-    hashes = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda a: a["hash"])))
-    return out.withColumn(name, F.struct(hashes("_words").alias("words"), hashes("_chars").alias("chars"))).drop(
-        "_units", "_words", "_chars"
+    pairs = F.size("_w") - (WORD_S - 1)
+    runs = F.slice("_w", 1, F.greatest(pairs, F.lit(0)))
+    for j in range(1, WORD_S):
+        runs = F.zip_with(runs, F.slice("_w", j + 1, F.greatest(pairs, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    letters = F.when(F.length(body) < SHORT_CHARS, F.length(body)).otherwise(F.lit(0))
+    out = df.withColumn("_w", split_words(body, BLANKS)).withColumns({
+        "_wi": F.transform(runs, F.md5),
+        "_ci": F.transform(_range(letters - (CHAR_S - 1)), lambda i: F.md5(F.substring(body, i + 1, F.lit(CHAR_S)))),
+    })
+    out = out.withColumns({"_wc": closed_runs(F.col("_wi"), WORD_K - WORD_S), "_cc": closed_runs(F.col("_ci"), CHAR_K - CHAR_S)})
+    words = _anchors("_wc", lambda i: _short(F.array_join(F.slice("_w", i + 1, WORD_K), " ")), F.array_join("_w", " "), F.size("_w") > 0)
+    chars = _anchors("_cc", lambda i: _short(F.substring(body, i + 1, F.lit(CHAR_K))), body, letters > 0)
+    sorted_set = lambda c: F.array_sort(F.array_distinct(c))
+    return out.withColumn(name, F.struct(sorted_set(words).alias("words"), sorted_set(chars).alias("chars"))).drop(
+        "_w", "_wi", "_ci", "_wc", "_cc"
     )
 
 
@@ -81,16 +90,17 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), F.lit(1.0)).when(both, jaccard("chars")).otherwise(jaccard("words"))
 
 
-def with_next(df: DataFrame, id_col: str, payload: list[str], rows_per_bucket: int = 1000, most_buckets: int = 8192) -> DataFrame:
-    """``df`` with ``_next``: the ``payload`` columns of the row that follows by ``id_col``; after the last, the first.
+def in_ranges(df: DataFrame, id_col: str, tie: Column, rows_per_bucket: int = 1000, most_buckets: int = 8192) -> tuple[DataFrame, WindowSpec]:
+    """``df`` dealt by ranges of the id, and the window in which each row's follower is the next row.
 
-    Rows are dealt by ranges of the id, cut at ids that an approximate quantile finds in the table. The
-    first row of a range is sent to the range before as well, and the first of all to the last, so each range has
-    all it needs; any cuts give the same result. A null id comes first; rows that repeat an id
-    follow each other by the hash of the first payload column. One row follows itself.
+    Ranges are cut at ids that an approximate quantile finds in the table. The first row of a range is sent to
+    the range before as well, and the first of all to the last, so each range has all it needs; any
+    cuts give the same result. These additional rows have ``_extra`` 1 and must be dropped after the window.
+    A null id comes first; rows that repeat an id follow each other by ``tie``. Only ``df``'s columns, ``_extra`` and
+    what the window needs are added: ``_bucket``, ``_wrap``, ``_key``, ``_tie``.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))
-    df = df.withColumn("_key", key)
+    df = df.withColumn("_key", key).withColumn("_tie", tie)
     n, low = df.agg(F.count("*"), F.min("_key")).first()
     buckets = max(1, min(most_buckets, n // rows_per_bucket))
     cuts: list[int] = []
@@ -99,16 +109,13 @@ def with_next(df: DataFrame, id_col: str, payload: list[str], rows_per_bucket: i
         found = df.agg(F.percentile_approx("_key", steps, 100_000).alias("c")).first()["c"]
         cuts = sorted({c for c in found if c > low})
     bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    own = F.size(F.filter(bounds, lambda b: b <= F.col("_key")))
-    df = df.withColumn("_own", own)
-    cell = lambda bucket, wrap, extra: F.struct(bucket.alias("bucket"), F.lit(wrap).alias("wrap"), F.lit(extra).alias("extra"))
-    nothing = F.array().cast("array<struct<bucket:int,wrap:int,extra:int>>")
+    df = df.withColumn("_own", F.size(F.filter(bounds, lambda b: b <= F.col("_key"))))
+    cell = lambda bucket, wrap, extra: F.struct(bucket.alias("_bucket"), F.lit(wrap).alias("_wrap"), F.lit(extra).alias("_extra"))
+    nothing = F.array().cast("array<struct<_bucket:int,_wrap:int,_extra:int>>")
     ahead = F.when(F.array_contains(bounds, F.col("_key")), F.array(cell(F.col("_own") - 1, 0, 1))).otherwise(nothing)
     around = F.when(F.col("_key") == F.lit(low), F.array(cell(F.lit(len(cuts)), 1, 1))).otherwise(nothing)
-    dealt = df.withColumn("_cell", F.explode(F.concat(F.array(cell(F.col("_own"), 0, 0)), ahead, around)))
-    order = Window.partitionBy("_cell.bucket").orderBy("_cell.wrap", "_key", F.xxhash64(payload[0]))
-    dealt = dealt.withColumn("_next", F.lead(F.struct(*payload)).over(order))
-    return dealt.where(F.col("_cell.extra") == 0).drop("_key", "_own", "_cell")
+    dealt = df.select("*", F.inline(F.concat(F.array(cell(F.col("_own"), 0, 0)), ahead, around))).drop("_own")
+    return dealt, Window.partitionBy("_bucket").orderBy("_wrap", "_key", "_tie")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,16 +123,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``(id_col, n_chars, edited, fp, edited_fp, near_edited, near_next)``. The edited text has its last quarter of
     code points, rounded down, replaced by as many, or all, of the next document's. Null counts as the
-    empty text. Each text is shuffled once, together with its fingerprint.
+    empty text. One row follows itself. Only ids and texts are shuffled, once; fingerprints are made after that.
     """
     slim = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    slim = fingerprint(slim, "_text", "fp").withColumn("n_chars", F.length("_text").cast("long"))
-    paired = with_next(slim, id_col, ["_text", "fp"])
+    dealt, order = in_ranges(slim, id_col, F.xxhash64("_text"))
+    paired = dealt.withColumn("_next", F.lead("_text").over(order)).withColumn("n_chars", F.length("_text").cast("long"))
     quarter = F.expr("cast(n_chars div 4 as int)")
     kept = F.substring(F.col("_text"), F.lit(1), F.length("_text") - quarter)
-    edited = F.concat(kept, F.substring(F.col("_next._text"), F.lit(1), quarter))
-    paired = paired.select(id_col, "n_chars", "fp", F.col("_next.fp").alias("_next_fp"), edited.alias("edited"))
-    out = fingerprint(paired, "edited", "edited_fp")
+    paired = paired.withColumn("edited", F.concat(kept, F.substring(F.col("_next"), F.lit(1), quarter))).drop("_next")
+    paired = fingerprint(paired, "_text", "fp").drop("_text").withColumn("_next_fp", F.lead("fp").over(order))
+    out = fingerprint(paired.where("_extra = 0"), "edited", "edited_fp")
     return out.select(
         id_col, "n_chars", "edited", "fp", "edited_fp",
         likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "_next_fp").alias("near_next"),

@@ -263,8 +263,8 @@ def test_near_duplicates_edge_cases(spark):
 # syncmers
 
 
-def brute_syncmers(units, k, s):
-    h = lambda x: hashlib.md5(" ".join(x).encode()).hexdigest()
+def brute_syncmers(units, k, s, glue):
+    h = lambda x: hashlib.md5(glue.join(x).encode()).hexdigest()
     out = []
     for i in range(len(units) - k + 1):
         inner = [h(units[i + j : i + j + s]) for j in range(k - s + 1)]
@@ -276,8 +276,12 @@ def brute_syncmers(units, k, s):
 def brute_fingerprint(text):
     words = [x for x in re.split(r"[ \t-\r]+", text) if x]
     chars = list(text) if len(text) < syncmers.SHORT_CHARS else []
-    part = lambda units, k, s: ",".join(sorted(set(brute_syncmers(units, k, s))))
-    return part(words, syncmers.WORD_K, syncmers.WORD_S) + "|" + part(chars, syncmers.CHAR_K, syncmers.CHAR_S)
+    part = lambda *a: ",".join(sorted(set(brute_syncmers(*a))))
+    return part(words, syncmers.WORD_K, syncmers.WORD_S, " ") + "|" + part(chars, syncmers.CHAR_K, syncmers.CHAR_S, "")
+
+
+def test_syncmer_query_equals_sql(spark):
+    same_rows(queries.op7_syncmer_fingerprints(spark, SMALL), run_sql(oracles.OP7, SMALL))
 
 
 def test_syncmer_query_equals_brute_force(spark):
@@ -299,10 +303,11 @@ def test_syncmer_query_equals_brute_force(spark):
 
 def test_syncmer_next_over_many_ranges(spark):
     rows = spark.range(5000).select((F.col("id") * 7 % 5003).alias("doc_id"), F.col("id").cast("string").alias("text"))
-    got = syncmers.with_next(rows, "doc_id", ["text"], rows_per_bucket=300).toPandas().sort_values("doc_id")
+    dealt, order = syncmers.in_ranges(rows, "doc_id", F.col("text"), rows_per_bucket=300)
+    got = dealt.withColumn("next", F.lead("text").over(order)).where("_extra = 0").toPandas().sort_values("doc_id")
     assert len(got) == 5000
     texts = got["text"].tolist()
-    assert [r["text"] for r in got["_next"]] == texts[1:] + texts[:1]
+    assert got["next"].tolist() == texts[1:] + texts[:1]
 
 
 def test_syncmer_edge_cases(spark):
