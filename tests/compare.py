@@ -21,7 +21,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
     """Rows as sorted tuples, columns by name, floats rounded and missing values alike."""
 
     def plain(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and np.isnan(v):
+        if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and np.isnan(v):
             return None
         if isinstance(v, (float, np.floating)):
             return round(float(v), 6) + 0.0
