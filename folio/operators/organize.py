@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators import detection
 from folio.plans.sizes import small
 
 
@@ -65,3 +66,53 @@ def broken_chain(events: DataFrame, key: list[str], seq: str, digest: str, previ
     before, last = F.lag(digest).over(order), F.lag(seq).over(order)
     rows = events.withColumns({"_d": before, "_s": last})
     return rows.where(F.col("_s").isNotNull() & (~F.col("_d").eqNullSafe(F.col(previous)) | (F.col(seq) != F.col("_s") + 1))).drop("_d", "_s")
+
+
+# Folders by what a document's name says.
+LEAF_WORDS = [
+    ("Administratif/Factures", "invoice|facture|receipt|reçu|recu|quittance"), ("Administratif/Banque", "bank|banque|releve|relevé|iban|rib"),
+    ("Administratif/Assurances", "assurance|insurance|mutuelle"), ("Administratif/Impôts", "tax|impot|impôt|fiscal|fisc"), ("Administratif", "contrat|contract|cerfa|admin"),
+    ("Études", "school|cours|etude|étude|homework|devoir|université|universite"), ("Travail", "work|travail|meeting|reunion|réunion|projet|client|chantier|devis"),
+]
+
+
+def everyday_folder(path: Column, filename: Column, group: Column) -> Column:
+    """Where a file of a home folder goes: null where it stays (programs, and unknown files that lie in a folder already)."""
+    low = F.lower(filename)
+    leaf = F
+    for folder, words in LEAF_WORDS:
+        leaf = leaf.when(low.rlike(words), f"Documents/{folder}")
+    leaf = leaf.otherwise("Documents/Personnel")
+    return (
+        F.when(detection.is_program(path), None).when(detection.is_installer(filename), "Installateurs").when(group == "image", "Images").when(group == "video", "Vidéos")
+        .when(group == "archive", "Archives").when(group.isin("document", "spreadsheet", "presentation"), leaf)
+        .when(~path.rlike(r"[/\\\\]"), "À vérifier")
+    )
+
+
+def path_overlap(source: Column, destination: Column) -> Column:
+    """How much a move disturbs: one less the share of folders (any case) that both paths have; equal empty paths disturb nothing."""
+    a, b = (F.array_distinct(F.filter(F.split(F.lower(c), "/"), lambda p: p != "")) for c in (source, destination))
+    longer = F.greatest(F.size(a), F.size(b))
+    return F.when(longer == 0, 0.0).otherwise(1 - F.size(F.array_intersect(a, b)) / longer)
+
+
+def weighted_confidence(parts: dict[str, tuple[Column, float]], partial: Column, reviewed: Column) -> Column:
+    """The mean of the confidences that are present, by weight; times .85 for partial and .8 for reviewed input; 0 without any."""
+    weight = lambda c, w: F.when(c.isNotNull(), w).otherwise(0.0)
+    total = sum((weight(c, w) for c, w in parts.values()), F.lit(0.0))
+    mean = sum((F.coalesce(c, F.lit(0.0)) * w for c, w in parts.values()), F.lit(0.0)) / total
+    return F.when(total == 0, 0.0).otherwise(mean * F.when(partial, 0.85).otherwise(1.0) * F.when(reviewed, 0.8).otherwise(1.0))
+
+
+def collapse_groups(rows: DataFrame, folder: str, least: int, depth: int = 8) -> DataFrame:
+    """``(folder, files, collapsed)``: each folder and the one its files go to, so that none but top folders holds fewer than ``least``.
+
+    Works on one row a folder; each round moves the files of folders that are too small one level up, at most ``depth`` rounds.
+    """
+    out = rows.groupBy(folder).agg(F.count("*").alias("files")).withColumn("collapsed", F.col(folder))
+    for _ in range(depth):
+        held = F.sum("files").over(Window.partitionBy("collapsed"))
+        up = F.regexp_replace("collapsed", "/[^/]*$", "")
+        out = out.withColumn("_n", held).withColumn("collapsed", F.when(F.col("_n") < least, up).otherwise(F.col("collapsed"))).drop("_n")
+    return out

@@ -93,3 +93,87 @@ def calibration(predictions: DataFrame, bins: int = 10) -> DataFrame:
 def lookup(rows: DataFrame, rules: DataFrame, on: str) -> DataFrame:
     """``rows`` with the columns of a rule table, which is broadcast only while it is small."""
     return rows.join(small(rules), on, "left")
+
+
+# Words that point at a language or a context.
+LANGUAGE_CUES = {"fr": (" le ", " la ", " de ", " facture", " montant", " client"), "en": (" the ", " of ", " invoice", " amount", " customer", " due ")}
+BUSINESS_CUES = ("siret", "tva", "vat number", "fournisseur", "supplier", "client:", "customer:", "purchase order", "bon de commande")
+PERSONAL_CUES = ("numéro fiscal", "taxpayer", "date de naissance", "date of birth", "domicile", "adresse personnelle")
+MIXED_TYPES, PERSONAL_TYPES = ("payslip", "employment_contract"), ("tax_document", "cv")
+BUSINESS_TYPES = ("invoice", "quote", "contract", "purchase_order", "delivery_note", "bank_statement")
+
+
+def cues(text: Column, words: tuple[str, ...]) -> Column:
+    """How many of ``words`` a text holds, in any letter case."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    parts = [F.contains(low, F.lit(w)).cast("int") for w in words]
+    return sum(parts[1:], parts[0])
+
+
+def language(text: Column, hint: Column | None = None) -> Column:
+    """``fr`` or ``en`` by the hint's first letters, else by at least two cues and more than the other has; null if neither."""
+    fr, en = (cues(text, LANGUAGE_CUES[k]) for k in ("fr", "en"))
+    by_cues = F.when((fr >= 2) & (fr > en), "fr").when((en >= 2) & (en > fr), "en")
+    if hint is None:
+        return by_cues
+    low = F.lower(hint)
+    return F.when(F.startswith(low, F.lit("fr")), "fr").when(F.startswith(low, F.lit("en")), "en").otherwise(by_cues)
+
+
+def context(text: Column, document_type: Column) -> Column:
+    """``mixed``, ``business``, ``personal`` or ``unknown`` from cues and the document's type."""
+    work, home = cues(text, BUSINESS_CUES), cues(text, PERSONAL_CUES)
+    kind = F.coalesce(document_type, F.lit(""))
+    return (
+        F.when(kind.isin(*MIXED_TYPES) | ((work > 0) & (home > 0)), "mixed").when(kind.isin(*BUSINESS_TYPES) | (work >= 2), "business")
+        .when(kind.isin(*PERSONAL_TYPES) | (home >= 2), "personal").otherwise("unknown")
+    )
+
+
+def labelled(docs: DataFrame, id_col: str, text_col: str, labels: list[str]) -> DataFrame:
+    """``(id_col, line, label, value)`` of lines ``label [:#-] value``, the first label in the order given that a line begins with and that has a value."""
+    lines = docs.select(id_col, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), r"\r?\n")).alias("line", "_line"))
+
+    def value(label: str) -> Column:
+        return F.trim(F.regexp_extract("_line", rf"(?i)^\s*\Q{label}\E\s*[:#\-–]\s*(\S.*)$", 1))
+
+    tried = F.array(*[F.struct(F.lit(x).alias("label"), value(x).alias("value")) for x in labels])
+    rows = lines.withColumn("_hit", F.get(F.filter(tried, lambda t: t["value"] != ""), 0)).where("_hit is not null")
+    return rows.select(id_col, F.col("line").cast("long").alias("line"), "_hit.label", "_hit.value")
+
+
+def phone(value: Column) -> Column:
+    """Digits of a phone number, with a leading plus if it has one; null unless it has 8 to 15 digits and no odd characters."""
+    text = F.trim(value)
+    digits = F.regexp_replace(text, "[^0-9]", "")
+    return F.when(text.rlike(r"^[+]?[0-9 .()-]+$") & F.length(digits).between(8, 15), F.concat(F.when(F.startswith(text, F.lit("+")), "+").otherwise(""), digits))
+
+
+def company_id(value: Column) -> Column:
+    """Letters and digits of a company identifier, upper-cased; null unless 8 to 32, not all the same, and Luhn-valid where 9 or 14 digits."""
+    text = F.upper(F.regexp_replace(value, "[^A-Za-z0-9]", ""))
+    numbered = text.rlike("^([0-9]{9}|[0-9]{14})$")
+    good = F.length(text).between(8, 32) & ~text.rlike("^(.)\\1*$") & (~numbered | F.call_function("luhn_check", text))
+    return F.when(good, text)
+
+
+def review_reasons(fields: DataFrame, id_col: str) -> DataFrame:
+    """``(id_col, reasons)``, comma-joined, of documents that need review, from rows ``(field, value, confidence, status)``."""
+    is_type, has = F.col("field") == "document_type", F.col("value").isNotNull()
+    kind = F.max(F.when(is_type, F.col("value"))).alias("kind")
+    any_of = lambda c, name: F.coalesce(F.bool_or(c), F.lit(False)).alias(name)
+    held = lambda name: any_of((F.col("field") == name) & has, name)
+    critical = {"invoice": ("invoice_number", "total"), "quote": ("quote_number", "amount"), "contract": ("contract_parties", "issue_date")}
+    rows = fields.groupBy(id_col).agg(
+        kind, any_of(F.col("status") == "conflicting", "clash"), any_of(F.col("status") == "ambiguous", "vague"),
+        any_of(is_type & ~has & (F.col("confidence") >= 0.3), "unsure"), any_of(is_type & (F.col("confidence") >= 0.85), "sure"),
+        *[held(n) for pair in critical.values() for n in pair],
+    )
+    missing = F.lit(False)
+    for name, (a, b) in critical.items():
+        missing = missing | ((F.col("kind") == name) & ~F.col(a) & ~F.col(b))
+    reasons = F.concat_ws(
+        ",", F.when(F.col("clash"), "conflicting_fields"), F.when(F.col("unsure"), "low_confidence_document_type"),
+        F.when(F.col("vague"), "semantic_ambiguity"), F.when(F.col("sure") & missing, "missing_critical_fields"),
+    )
+    return rows.select(id_col, reasons.alias("reasons")).where("reasons <> ''")

@@ -2,41 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.operators import catalog, identity, organize, search, understanding
-from folio.sources.adapters import DOC_TEXT, FACTS, FILES, OCCURRENCES, PREDICTIONS, WATCH, adapted, plain
+from folio.plans import content_queries, state_queries  # noqa: F401  (they register their queries)
+from folio.plans.registry import FACTS_SQL, FILES_SQL, ORACLES, QUERIES, STATES_SQL, TEXT_SQL, TOKENS_SQL, WATCH_SQL, doc_text, documents, files, query, states  # noqa: F401
+from folio.sources.adapters import FACTS, OCCURRENCES, PREDICTIONS, WATCH, adapted, plain
 from folio.sources.tables import table
 from folio.streaming import watch
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str):
-    """Register a query under its name, together with its SQL."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
-        return f
-
-    return add
-
-
-FILES_SQL = f"WITH files AS ({plain(FILES)})"
-WATCH_SQL = f"WITH watch AS ({plain(WATCH)})"
-FACTS_SQL = f"WITH facts AS ({plain(FACTS)})"
-TEXT_SQL = f"WITH docs AS ({plain(DOC_TEXT)})"
 GROUPS_SQL = f"{FILES_SQL}, groups AS (SELECT byte_size, digest, count(*) AS members, min(file_id) AS canonical FROM files WHERE digest IS NOT NULL GROUP BY ALL HAVING count(*) > 1)"
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapted(spark, sf_dir, FILES)
-
-
 # catalogue
 
 
@@ -88,29 +66,28 @@ def catalog_validity_ranges(spark, sf_dir):
     return rows.select("seq", "path", "version", "valid_from", "valid_to")
 
 
-SNAPSHOTS = f"""{FILES_SQL}, older AS (SELECT file_id, byte_size, modified_ms FROM files WHERE file_id % 10 <> 0),
-  newer AS (SELECT file_id, byte_size, CASE WHEN file_id % 7 = 0 THEN modified_ms + 1 ELSE modified_ms END AS modified_ms FROM files WHERE file_id % 11 <> 0)"""
+SNAPSHOTS = f"""{STATES_SQL}, older AS (SELECT root_id, path, byte_size, kind FROM half WHERE kind <> 'removed'), newer AS (SELECT root_id, path, byte_size, kind FROM full_state WHERE kind <> 'removed')"""
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = files(spark, sf_dir).select("file_id", "byte_size", "modified_ms", "digest")
-    bumped = F.when(F.col("file_id") % 7 == 0, F.col("modified_ms") + 1).otherwise(F.col("modified_ms"))
-    return rows.where("file_id % 10 <> 0"), rows.where("file_id % 11 <> 0").withColumn("modified_ms", bumped)
+    """Paths that stood at half time and those that stand at the end of the events."""
+    half, full = states(spark, sf_dir)
+    return half.where("kind <> 'removed'"), full.where("kind <> 'removed'")
 
 
-@query(f"""{SNAPSHOTS} SELECT * FROM (SELECT coalesce(a.file_id, b.file_id) AS file_id, CASE WHEN a.file_id IS NULL THEN 'created' WHEN b.file_id IS NULL THEN 'removed'
-  WHEN a.byte_size IS DISTINCT FROM b.byte_size OR a.modified_ms IS DISTINCT FROM b.modified_ms THEN 'modified' END AS status
-  FROM older a FULL JOIN newer b ON a.file_id = b.file_id) AS d WHERE status IS NOT NULL""")
+@query(f"""{SNAPSHOTS} SELECT * FROM (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'created' WHEN b.path IS NULL THEN 'removed'
+  WHEN a.byte_size IS DISTINCT FROM b.byte_size OR a.kind <> b.kind THEN 'modified' END AS status
+  FROM older a FULL JOIN newer b ON a.path = b.path) AS d WHERE status IS NOT NULL""")
 def catalog_snapshot_diff(spark, sf_dir):
-    return catalog.snapshot_diff(*_snapshots(spark, sf_dir), "file_id", ["byte_size", "modified_ms"])
+    return catalog.snapshot_diff(*_snapshots(spark, sf_dir), "path", ["byte_size", "kind"])
 
 
-@query(f"""{FILES_SQL}, gone AS (SELECT byte_size, digest, min(file_id) AS before FROM files WHERE file_id % 2 = 0 GROUP BY ALL HAVING count(*) = 1),
-  made AS (SELECT byte_size, digest, min(file_id) AS after FROM files WHERE file_id % 2 = 1 GROUP BY ALL HAVING count(*) = 1)
+@query(f"""{FILES_SQL}, gone AS (SELECT byte_size, digest, min(file_id) AS before FROM files WHERE starts_with(parent_path, 'src1') GROUP BY ALL HAVING count(*) = 1),
+  made AS (SELECT byte_size, digest, min(file_id) AS after FROM files WHERE NOT starts_with(parent_path, 'src1') GROUP BY ALL HAVING count(*) = 1)
   SELECT before, after FROM gone JOIN made USING (byte_size, digest)""")
 def catalog_rename_pairs(spark, sf_dir):
-    rows = files(spark, sf_dir).select("file_id", "byte_size", "digest")
-    return catalog.rename_pairs(rows.where("file_id % 2 = 0"), rows.where("file_id % 2 = 1"), "file_id", ["byte_size", "digest"])
+    rows, left = files(spark, sf_dir), F.startswith("parent_path", F.lit("src1"))
+    return catalog.rename_pairs(rows.where(left), rows.where(~left), "file_id", ["byte_size", "digest"])
 
 
 @query("SELECT doc_id, quality FROM labels WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en' AND doc_id IS NOT NULL)")
@@ -121,7 +98,6 @@ def catalog_orphans(spark, sf_dir):
 
 # retrieval
 
-TOKENS_SQL = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+'), lambda t: length(t) >= 2)"
 ASKED_SQL = f"""WITH asked AS (SELECT unnest(list_slice({TOKENS_SQL}, 1, 6)) AS token FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)),
   body AS (SELECT doc_id, text, lang, source, {TOKENS_SQL} AS ts FROM documents)"""
 
@@ -132,10 +108,6 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select(F.explode(F.slice(search.tokens(F.col("text")), 1, 6)).alias("token"))
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
-
-
 @query(f"SELECT doc_id, len({TOKENS_SQL})::BIGINT AS n_tokens, len(list_distinct({TOKENS_SQL}))::BIGINT AS n_distinct FROM documents")
 def text_tokens(spark, sf_dir):
     t = search.tokens(F.col("text"))
@@ -247,10 +219,6 @@ def search_fact_score(spark, sf_dir):
     return adapted(spark, sf_dir, FACTS).select("file_id", score.alias("score")).orderBy(F.desc("score"), "file_id").limit(100)
 
 
-def doc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapted(spark, sf_dir, DOC_TEXT)
-
-
 @query(TEXT_SQL + r" SELECT DISTINCT file_id, email FROM (SELECT file_id, unnest(regexp_extract_all(lower(extracted_text), '[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}')) AS email FROM docs) AS e WHERE NOT contains(email, '..')")
 def extract_emails(spark, sf_dir):
     return understanding.emails(doc_text(spark, sf_dir), "file_id", "extracted_text")
@@ -422,12 +390,11 @@ def organize_tree(spark, sf_dir):
     return organize.folder_tree(rows, "folder", "byte_size")
 
 
-@query(f"""{FILES_SQL}, x AS (SELECT file_id, parent_path AS d FROM files WHERE file_id % 9 <> 0), y AS (SELECT file_id, CASE WHEN file_id % 5 = 0 THEN 'moved' ELSE parent_path END AS d FROM files WHERE file_id % 8 <> 0)
-  SELECT CASE WHEN x.d IS NULL THEN 'added' WHEN y.d IS NULL THEN 'removed' WHEN x.d <> y.d THEN 'changed' ELSE 'same' END AS status, count(*) AS files FROM x FULL JOIN y ON x.file_id = y.file_id GROUP BY 1""")
+@query(f"""{SNAPSHOTS}, x AS (SELECT path, concat(root_id::VARCHAR, '/', kind) AS d FROM older), y AS (SELECT path, concat(root_id::VARCHAR, '/', kind) AS d FROM newer)
+  SELECT CASE WHEN x.d IS NULL THEN 'added' WHEN y.d IS NULL THEN 'removed' WHEN x.d <> y.d THEN 'changed' ELSE 'same' END AS status, count(*) AS files FROM x FULL JOIN y ON x.path = y.path GROUP BY 1""")
 def organize_diff(spark, sf_dir):
-    rows = files(spark, sf_dir).select("file_id", F.col("parent_path").alias("d"))
-    after = rows.where("file_id % 8 <> 0").withColumn("d", F.when(F.col("file_id") % 5 == 0, "moved").otherwise(F.col("d")))
-    return organize.proposal_diff(rows.where("file_id % 9 <> 0"), after, "file_id", "d")
+    before, after = [s.select("path", F.concat_ws("/", "root_id", "kind").alias("d")) for s in _snapshots(spark, sf_dir)]
+    return organize.proposal_diff(before, after, "path", "d")
 
 
 # change events

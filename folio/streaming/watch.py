@@ -62,3 +62,10 @@ def stable(samples: DataFrame, key: list[str], at: str, seq: str, value: str, ap
 def retry_at(failed_ms: Column, attempt: Column, most: int = 8) -> Column:
     """When a failed job is due again: a second doubled up to six times; null once ``most`` attempts are used."""
     return F.when(attempt < most, failed_ms + (1000 * F.pow(F.lit(2.0), F.least(attempt, F.lit(6)))).cast("long"))
+
+
+def due(jobs: DataFrame, queue: str, due_ms: Column, order: list[str], now_ms: int | None, most: int) -> DataFrame:
+    """The first ``most`` jobs of each queue that are due by ``now_ms``; a page of work, the rest stays for the next."""
+    ready = jobs.where(due_ms <= F.lit(now_ms).cast("long"))
+    over = Window.partitionBy(queue).orderBy(*order)
+    return ready.withColumn("_n", F.row_number().over(over)).where(F.col("_n") <= most).drop("_n")

@@ -9,6 +9,6 @@ from conftest import SMALL
 from folio.plans import catalogue
 
 
-@pytest.mark.parametrize("name", catalogue.QUERIES)
+@pytest.mark.parametrize("name", catalogue.ORACLES)
 def test_query_equals_sql(spark, name):
     same_rows(catalogue.QUERIES[name](spark, SMALL), run_sql(catalogue.ORACLES[name], SMALL))
