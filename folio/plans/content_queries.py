@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folio.operators import catalog, chunks, detection, organize, ranking, search, understanding
+from folio.operators import catalog, chunks, detection, organize, ranking, search, understanding, vectors
 from folio.plans.registry import FACTS_SQL, FILES_SQL, TEXT_SQL, doc_text, documents, files, query
 from folio.sources.adapters import FACTS, OCCURRENCES, adapted, plain
 from folio.sources.tables import table
@@ -182,6 +182,13 @@ def vector_quantised_topk(spark, sf_dir):
     return search.ranked(held.select("vec_id", F.round(score, 6).alias("score")), "vec_id", 20)
 
 
+@query("""WITH s AS (SELECT q.vec_id AS query_id, r.vec_id, round(list_inner_product(r.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings r WHERE q.vec_id % 100 = 0)
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 20""")
+def vector_search(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.nearest(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding", 20)
+
+
 @query("""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC NULLS LAST, doc_id) AS rank FROM documents),
   w AS (SELECT DISTINCT d.source, d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1), n AS (SELECT source, count(*) AS relevant FROM w GROUP BY source),
   h AS (SELECT source, min(rank) AS first, sum(1 / log2(rank + 1)) AS gain FROM r JOIN w USING (source, doc_id) WHERE rank <= 10 GROUP BY source)

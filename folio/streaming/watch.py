@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators.maintenance import upsert
+
 
 def numbered(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """``events`` with ``number``, from 0 within each key."""
@@ -52,6 +54,34 @@ def coalesced(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return listed.select(*key, F.size("e").cast("long").alias("hints"), folded.alias("kind"))
 
 
+def coalesced_stream(events: DataFrame, key: list[str], ts: str, seq: str, quiet: str, late: str) -> DataFrame:
+    """The streaming form of ``coalesced``: the events of a path up to a quiet gap are one poll, emitted once the watermark passes.
+
+    State holds a path's open run alone; Spark keeps and expires it.
+    """
+    runs = events.withWatermark(ts, late).groupBy(*key, F.session_window(ts, quiet).alias("w"))
+    listed = runs.agg(F.array_sort(F.collect_list(F.struct(ts, seq, "kind"))).alias("e"))
+    kinds = F.transform("e", lambda e: e["kind"])
+    folded = F.aggregate(F.slice(kinds, 2, F.size(kinds)), F.get(kinds, 0), merged_kind)
+    return listed.select(*key, F.col("w.start").alias("started"), F.size("e").cast("long").alias("hints"), folded.alias("kind"))
+
+
+def maintained(events: DataFrame, key: list[str], order: list[str], folder: str, checkpoint: str):
+    """Keep the last event of each of a stream's keys as parquet below ``folder``; returns the started query, which stops once it caught up.
+
+    Batch ``n`` reads the state of the last batch before it and writes ``state=n``, so a batch that is run again after a failure
+    writes the same rows over its own. Removals stay as their key's last event, so an older event that comes late cannot
+    bring the key back.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        known = batch.sparkSession
+        before = known.read.schema(batch.schema).parquet(f"{folder}/state={number - 1}") if number else batch.limit(0)
+        upsert(before, batch, key, order).write.mode("overwrite").parquet(f"{folder}/state={number}")
+
+    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stable(samples: DataFrame, key: list[str], at: str, seq: str, value: str, apart_ms: int) -> DataFrame:
     """Samples that repeat the value of the sample before them at least ``apart_ms`` later."""
     order = Window.partitionBy(*key).orderBy(at, seq)

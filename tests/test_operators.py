@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from conftest import SMALL
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folio.operators import catalog, identity, organize, search, understanding
+from folio.operators import catalog, identity, organize, search, understanding, vectors
 from folio.plans.components import components
 from folio.plans.prefix import running_total
 from folio.sources.adapters import WATCH, adapted
@@ -88,6 +89,40 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
     assert got.count() > 0 and got.exceptAll(batch).count() == 0
 
 
+def test_coalesced_stream_and_maintained_state(spark, tmp_path):
+    events = adapted(spark, SMALL, WATCH).withColumn("ts", F.timestamp_millis("at_ms"))
+    events.repartition(1).write.parquet(str(tmp_path / "one"))
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    read = lambda name: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    run = watch.coalesced_stream(read("one"), ["root_id", "path"], "ts", "seq", "6 hours", "0 seconds").writeStream.format("parquet")
+    run = run.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination(300)
+    numbered = events.withColumn("poll", F.sum(F.expr("int(coalesce(at_ms - lag(at_ms) over (partition by root_id, path order by at_ms, seq) >= 21600000, true))")).over(
+        Window.partitionBy("root_id", "path").orderBy("at_ms", "seq")))
+    starts = numbered.groupBy("root_id", "path", "poll").agg(F.min("ts").alias("started"))
+    batch = watch.coalesced(numbered, ["root_id", "path", "poll"], ["at_ms", "seq"]).join(starts, ["root_id", "path", "poll"])
+    got = spark.read.parquet(str(tmp_path / "out")).select("root_id", "path", "started", "hints", "kind")
+    assert got.count() > 0 and got.exceptAll(batch.select(*got.columns)).count() == 0
+    stream = read("in")
+    kept = watch.maintained(stream, ["root_id", "path"], ["at_ms", "seq"], str(tmp_path / "state"), str(tmp_path / "cp2"))
+    kept.awaitTermination(300)
+    last = spark.read.schema(events.schema).parquet(str(tmp_path / f"state/state={kept.lastProgress['batchId']}"))
+    assert sorted(map(tuple, last.select("root_id", "path", "seq").collect())) == sorted(
+        map(tuple, events.groupBy("root_id", "path").agg(F.max_by("seq", F.struct("at_ms", "seq"))).collect())
+    )
+
+
+def test_nearest_in_blocks(spark):
+    rows = [(i, [float(i % 5), 1.0]) for i in range(40)] + [(40, None), (None, [1.0, 1.0]), (41, [1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    got = vectors.nearest(df, df.where("id % 10 = 2 or id = 41"), "id", "v", 3, block_rows=2).collect()
+    flat = [(i, v) for i, v in rows if i is not None and v is not None]
+    for q, v in (r for r in flat if r[0] % 10 == 2 or r[0] == 41):
+        best = sorted(((-sum(x * y for x, y in zip(v, w, strict=True)), i) for i, w in flat if len(w) == len(v)))[:3]
+        assert [(r["id"], -r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(i, s) for s, i in best]
+    assert vectors.nearest(df, df.limit(0), "id", "v", 3).count() == 0 and vectors.nearest(df.limit(0), df, "id", "v", 3).count() == 0
+
+
 def test_similarity_needs_equal_lengths(spark):
     row = spark.createDataFrame([([1.0, 0.0], [0.5, 0.5], [1.0])], "a array<double>, b array<double>, c array<double>")
     got = row.select(search.dot(F.col("a"), F.col("b")), search.dot(F.col("a"), F.col("c")), search.quantise(F.col("b"))).first()
