@@ -40,6 +40,7 @@ ASIDE = re.compile(
     r"subscription|share|sharing|social|comments?|comment-?list|disqus|replies|respond|related|recommended|widget|login|signup|"
     r"search-?form|paywall|pagination|pager|toolbar|skip-?link)(?:$|[\s_-])", re.I
 )
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 KEEP = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:$|[\s_-])", re.I)
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
@@ -47,13 +48,14 @@ AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form
 class Node:
     """One element: its children in order (nodes and decoded text), and the counts that densities need."""
 
-    __slots__ = ("tag", "parent", "parts", "away", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "away", "chars", "tags", "link_chars", "link_tags", "density", "total", "plain", "holds")
 
     def __init__(self, tag: str, parent: Node | None, away: bool):
         self.tag, self.parent, self.away = tag, parent, away
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.plain = self.holds = False
 
 
 def _set_aside(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -126,12 +128,16 @@ def parse(page: str) -> Node:
         here = node
 
 
-def measure(root: Node) -> list[Node]:
-    """Fill in counts, densities and density sums bottom-up; returns the elements in page order.
+def density(chars: int, tags: int, link_chars: int, link_tags: int, body_share: float) -> float:
+    """Characters per tag, scaled by a logarithm that falls with the share of link text and link tags beside that of the whole body."""
+    links = max(link_chars, 1)
+    foot = math.log(chars * links / max(chars - link_chars, 1) + body_share * chars + math.e)
+    lift = math.log(max(chars / links * max(tags, 1) / max(link_tags, 1), 1.0) + 1.0)
+    return chars / max(tags, 1) * lift / math.log(foot + 1.0)
 
-    The density of a node is its characters per tag, scaled by a logarithm that falls with the share
-    of link text and link tags beside that of the whole body.
-    """
+
+def measure(root: Node) -> tuple[list[Node], float]:
+    """Fill in counts, densities and density sums bottom-up; returns the elements in page order and the body's share of link text."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -141,52 +147,109 @@ def measure(root: Node) -> list[Node]:
         for part in node.parts:
             if isinstance(part, str):
                 node.chars += len(part.strip())
+                node.plain = node.plain or any(c.isalnum() for c in part)
             else:
                 node.chars += part.chars
                 node.tags += part.tags + 1
                 node.link_chars += part.chars if part.tag == "a" else part.link_chars
                 node.link_tags += part.link_tags + (part.tag == "a")
+                node.plain = node.plain or part.tag != "a" and part.plain
     base = next((n for n in order if n.tag == "body"), root)
     body_share = base.link_chars / base.chars if base.chars else 0.0
     for node in reversed(order):
         if node.chars:
-            plain = max(node.chars - node.link_chars, 1)
-            per_tag = node.chars / max(node.tags, 1)
-            links = max(node.link_chars, 1)
-            foot = math.log(node.chars * links / plain + body_share * node.chars + math.e)
-            lift = math.log(max(node.chars / links * max(node.tags, 1) / max(node.link_tags, 1), 1.0) + 1.0)
-            node.density = per_tag * lift / math.log(foot + 1.0)
+            node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, body_share)
         node.total = sum(p.density for p in node.parts if isinstance(p, Node))
-    return order
+    return order, body_share
+
+
+def least_density(node: Node) -> float:
+    """The least density on the path from a node to the body, or to the top of a page without one."""
+    path = [node]
+    while path[-1].parent is not None and path[-1].tag != "body":
+        path.append(path[-1].parent)
+    return min(n.density for n in path)
 
 
 def choose(root: Node) -> Node | None:
-    """The node whose children's densities have the greatest sum, widened to the article or main element that holds it.
+    """The node whose children's densities have the greatest sum, widened to all of the article.
 
-    Elements set aside, and all inside them, take no part.
+    That is the article or main element that holds it. Without one it is the lowest element that also holds all
+    other blocks and loose texts at least as dense as the least on the path from the node to the body,
+    and the heading before them. Elements set aside, and all inside them, take no part.
     """
-    best, stack = None, [root]
-    for node in measure(root):
+    best = None
+    order, body_share = measure(root)
+    for node in order:
         node.away = node.away or (node.parent is not None and node.parent.away)
         if not node.away and node.chars and (best is None or node.total > best.total):
             best = node
-    node = best
-    while node is not None and node.parent is not None:
-        if node.tag in ("article", "main"):
-            best = node
+    if best is None:
+        return None
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    marked = [n for n in path if n.tag in ("article", "main")]
+    return marked[-1] if marked else _with_heading(_with_dense(best, order, body_share), order)
+
+
+def _with_dense(best: Node, order: list[Node], body_share: float) -> Node:
+    """The lowest element that holds ``best`` and all other dense text of the page."""
+    threshold = least_density(best)
+    for node in reversed(order):
+        if node.away:
+            continue
+        dense = node.tag in BLOCK and node.plain and node.density >= threshold
+        for part in node.parts:
+            if isinstance(part, Node):
+                dense = dense or part.holds
+            elif not dense and node.tag != "a" and (n := len(part.strip())):
+                dense = density(n, 0, 0, 0, body_share) >= threshold
+        node.holds = dense
+    top, node = best, best
+    while node.parent is not None:
+        below, node = node, node.parent
+        loose = any(isinstance(p, str) and (n := len(p.strip())) and density(n, 0, 0, 0, body_share) >= threshold for p in node.parts)
+        if loose or any(isinstance(p, Node) and p is not below and p.holds for p in node.parts):
+            top = node
+    return top
+
+
+def _with_heading(top: Node, order: list[Node]) -> Node:
+    """``top``, or the lowest element that also holds the last of the highest headings before it, if that is higher than all in it."""
+    inside = {id(top)}
+    found, start = None, False
+    own = len(HEADINGS)
+    for node in order:
+        start = start or node is top
+        if node.parent is not None and id(node.parent) in inside:
+            inside.add(id(node))
+        if node.away or not node.chars or node.tag not in HEADINGS:
+            continue
+        level = HEADINGS.index(node.tag)
+        if id(node) in inside:
+            own = min(own, level)
+        elif not start and (found is None or level <= HEADINGS.index(found.tag)):
+            found = node
+    if found is None or HEADINGS.index(found.tag) >= own:
+        return top
+    above = set()
+    node = found
+    while node is not None:
+        above.add(id(node))
         node = node.parent
-    return best
+    while id(top) not in above:
+        top = top.parent
+    return top
 
 
 def blocks(best: Node) -> list[str]:
     """The text blocks of the chosen subtree in page order, blanks collapsed.
 
-    The threshold is the least density on the path from the chosen node to the body. A list or division below it whose text
-    is mostly links is navigation and left out, as are elements set aside.
+    The threshold is the least density on the path from the chosen node to the body. A list or box below it that is wholly
+    links is navigation and left out, as are elements set aside.
     """
-    threshold, node = best.density, best
-    while node is not None and node.tag not in ("html", "#root"):
-        threshold, node = min(threshold, node.density), node.parent
+    threshold = least_density(best)
     out: list[str] = []
     run: list[str] = []
 
@@ -206,8 +269,8 @@ def blocks(best: Node) -> list[str]:
             run.append(" ")
             stack.extend(reversed(part.parts))
         elif not part.away:
-            linked = part.link_tags > 1 and part.link_chars > 0.66 * part.chars and part.density < threshold
-            if linked and part is not best and part.tag in ("ul", "ol", "div", "section", "table", "p"):
+            linked = part.link_tags > 1 and not part.plain and part.density < threshold
+            if linked and part is not best and part.tag in ("ul", "ol", "div", "section", "table"):
                 close()
                 continue
             if part.tag in BLOCK:

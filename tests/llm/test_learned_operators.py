@@ -120,6 +120,30 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+PART = "<p>" + "word " * 79 + "last.</p>"
+PART_TEXT = "word " * 79 + "last."
+
+
+@pytest.mark.parametrize("wrap", [page, lambda body: body])
+def test_main_text_holds_the_whole_article(wrap):
+    section = f"<section>{PART * 3}</section>"
+    assert html_text.main_text(wrap(section + "<p>Short one.</p>" + section)) == "\n".join([PART_TEXT] * 3 + ["Short one."] + [PART_TEXT] * 3)
+    larger = f"<div>{PART * 9}</div>"
+    assert html_text.main_text(wrap("<nav><a href=x>Home</a></nav>" + larger + section)) == "\n".join([PART_TEXT] * 12)
+    assert html_text.main_text(wrap(f"<h1>Head</h1><div>{PART * 3}</div>")) == "\n".join(["Head"] + [PART_TEXT] * 3)
+    assert html_text.main_text(wrap(f"<div>{PART * 3}</div><div class=sidebar>{PART}</div>")) == "\n".join([PART_TEXT] * 3)
+
+
+def test_main_text_keeps_paragraphs_of_links():
+    links = "<a href=a>One long name of a source</a> and <a href=b>another long name of a source</a>"
+    kept = "One long name of a source and another long name of a source"
+    for tag in ("p", "div", "ul"):
+        rich = f"<{tag}>{links}</{tag}>"
+        assert html_text.main_text(page(f"<article>{PART * 3}{rich}</article>")) == "\n".join([PART_TEXT] * 3 + [kept])
+    menu = "<ul><li><a href=a>One</a><li><a href=b>Two</a></ul>"
+    assert html_text.main_text(page(f"<article>{PART * 3}{menu}</article>")) == "\n".join([PART_TEXT] * 3)
+
+
 def test_page_query(spark):
     got = queries.op10_html_text(spark, SMALL).toPandas()
     assert len(got) == spark.read.parquet(f"{SMALL}/pages.parquet").count()
