@@ -95,6 +95,7 @@ RULES = [
 ]
 
 END = r"(?<=[.!?])[ \t-\r]+"
+LINE_ENDS = r"[\n\r]+"
 
 
 def normal_form(sentence: str) -> str:
@@ -115,21 +116,23 @@ def known_sentences(spark: SparkSession, sentences: dict[str, str] | None = None
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def recognised(docs: DataFrame, id_col: str, text_col: str, known: DataFrame, longest: int) -> DataFrame:
-    """``(doc, at, sid)``: known sentences in every whole text, ``at`` being where a sentence first stands.
+def recognised(docs: DataFrame, id_col: str, text_col: str, known: DataFrame) -> DataFrame:
+    """``(doc, piece, line, sid)``: every occurrence of a known sentence in every whole text, with its place.
 
     A sentence ends at a full stop, exclamation or question mark before a blank, or at the end of a line; so that
     wrapped sentences are found too, those that a blank line or such a mark ends are tried as well where
-    they cross lines. Pieces much longer than any known sentence are not normalised. Sentences meet the table in a
+    they cross lines, and stand at the line that their first word is on. Sentences meet the table in a
     broadcast join of fixed size, so one that a third of all texts holds is never gathered.
     """
     low = docs.select(F.col(id_col).alias("doc"), lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
-    lines = F.split("low", END + r"|[\n\r]+")
-    wrapped = F.filter(F.split("low", END + r"|(?:\r?\n[ \t]*){2,}"), lambda s: F.contains(s, F.lit("\n")))
-    pieces = low.select("doc", "low", F.explode(F.concat(lines, wrapped)).alias("piece"))
-    pieces = pieces.where(F.length("piece").between(4, 2 * longest)).withColumn("norm", normalised(F.col("piece")))
-    found = pieces.join(F.broadcast(known), "norm")
-    return found.select("doc", F.instr("low", F.col("piece")).alias("at"), "sid").distinct()
+    pieces = low.select("doc", F.posexplode(F.split("low", END + r"|(?:\r?\n[ \t]*){2,}")).alias("piece", "body"))
+    lines = F.transform(F.split("body", LINE_ENDS), lambda s, i: F.struct(i.alias("line"), s.alias("sentence")))
+    before = F.regexp_extract("body", f"^{NOT_WORD}*", 0)
+    whole = F.struct((F.size(F.split(before, LINE_ENDS)) - 1).alias("line"), F.col("body").alias("sentence"))
+    tried = F.when(F.contains("body", F.lit("\n")), F.array_append(lines, whole)).otherwise(lines)
+    tried = pieces.select("doc", "piece", F.inline(tried)).where("sentence <> ''")
+    found = tried.withColumn("norm", normalised(F.col("sentence"))).join(F.broadcast(known), "norm")
+    return found.select("doc", "piece", "line", "sid").distinct()
 
 
 def match_rules(sequences: DataFrame, rules: list[tuple[str, tuple[str, ...]]]) -> DataFrame:
@@ -156,15 +159,14 @@ def scan(
 ) -> DataFrame:
     """``(id_col, sids, licenses)`` for every document: known sentences in order of place, and the licences they make up.
 
-    A sentence that a text repeats counts at its first place. Null, empty and blank texts have none. Rows that repeat
+    A sentence that a text repeats counts at each of its places. Null, empty and blank texts have none. Rows that repeat
     id and text give one row, an id with several texts a row for each.
     """
     table = SENTENCES if sentences is None else sentences
-    longest = max(map(len, table.values()), default=1)
     doc = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"))
     slim = docs.select(doc.alias("_doc"), F.col(text_col).alias("_text"))
-    found = recognised(slim, "_doc", "_text", known_sentences(docs.sparkSession, table), longest)
-    listed = found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", "sid"))).alias("s"))
+    found = recognised(slim, "_doc", "_text", known_sentences(docs.sparkSession, table))
+    listed = found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("piece", "line", "sid"))).alias("s"))
     judged = match_rules(listed.select("doc", F.col("s.sid").alias("sids")), RULES if rules is None else rules)
     every = slim.select("_doc").distinct()
     none = F.array().cast("array<string>")

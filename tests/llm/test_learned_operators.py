@@ -91,6 +91,22 @@ def test_licences(spark):
     assert license_scan.scan(documents(spark, [])).count() == 0
 
 
+def test_licences_at_every_place(spark):
+    s = license_scan.SENTENCES
+    three = [s[f"bsd.{k}"] for k in ("grant", "source", "binary", "no-endorsement", "as-is")]
+    two = three[:3] + three[4:]
+    spread = s["bsd.grant"].replace(" ", " " * 40)
+    wrapped = s["mit.grant"].replace(" a copy", "\na copy") + "\n\n" + s["mit.notice-kept"]
+    texts = [
+        "\n".join(three + two), "\n".join([three[0], s["reserved"], *two]), "\n".join([spread, *two[1:]]),
+        "All rights reserved.\nSome words. All rights reserved. all  rights reserved", "\n***\nAll rights reserved.",
+        wrapped + "\nWords.\n" + wrapped,
+    ]
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    got = {r["doc_id"]: (len(r["sids"]), ",".join(r["licenses"])) for r in license_scan.scan(documents(spark, rows + rows[:1])).collect()}
+    assert got == {0: (9, "BSD-2-Clause,BSD-3-Clause"), 1: (6, "BSD-2-Clause,Proprietary"), 2: (4, "BSD-2-Clause"), 3: (3, "Proprietary"), 4: (1, "Proprietary"), 5: (4, "MIT")}
+
+
 def test_licence_rules_take_their_sentences(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "c", "b"]), (3, []), (4, ["a", "b", "a", "b"])], "id long, sids array<string>")
     got = license_scan.match_rules(df, [("AB", ("a", "b")), ("A", ("a",)), ("B", ("b",))])
