@@ -129,6 +129,16 @@ def _variants(rows: DataFrame) -> DataFrame:
     )
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored ``(id_col, fp)`` of the documents and ``(fp, first, root)`` of their prints, and ``(root, component_id)``."""
+    prints = store(simhash(docs, id_col, text_col, width), "simhash")
+    roots = components(links(prints, max_bits)).select(F.col("node").alias("fp"), "root")
+    least = prints.groupBy("fp").agg(F.min(id_col).alias("first"))
+    classes = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classes = store(classes, "classes")
+    return prints, classes, classes.groupBy("root").agg(F.min("first").alias("component_id"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2
 ) -> DataFrame:
@@ -138,12 +148,7 @@ def near_duplicates(
     Documents without words share the fingerprint 0 and are linked like any other. A null id is
     never the least of a class that has another. An empty table gives an empty result.
     """
-    prints = store(simhash(docs, id_col, text_col, width), "simhash")
-    roots = components(links(prints, max_bits)).select(F.col("node").alias("fp"), "root")
-    least = prints.groupBy("fp").agg(F.min(id_col).alias("first"))
-    classes = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    classes = store(classes, "classes")
-    of_root = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    prints, classes, of_root = _classes(docs, id_col, text_col, width, max_bits)
     return prints.join(classes.join(of_root, "root").select("fp", "component_id"), "fp").select(
         id_col, "fp", "component_id"
     )
@@ -154,11 +159,17 @@ def hex_print(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its near-duplicate class, columns unchanged.
+def keep_representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2
+) -> DataFrame:
+    """One row of ``docs`` for every near-duplicate class, columns unchanged: that of least id.
 
-    Rows with a null id have no class of their own to compare and are all kept.
+    A null id comes after all others. Texts that share the id are told apart by their hash; rows that
+    repeat both give the one whose columns hash least. Copies meet before the shuffle, so thousands of
+    them are one row a task.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
-    dropped = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
-    return docs.join(dropped.distinct(), docs[id_col] == F.col("_gone"), "left_anti")
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"))
+    _, _, of_root = _classes(docs.select(row.alias("_row"), F.col(text_col)), "_row", text_col, width, max_bits)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    single = docs.groupBy(row.alias("_row")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_kept"))
+    return single.join(of_root.select(F.col("component_id").alias("_row")), "_row", "left_semi").select("_kept.*")

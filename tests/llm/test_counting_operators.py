@@ -260,6 +260,22 @@ def test_near_duplicates_edge_cases(spark):
     assert kept.columns == rows.columns
 
 
+def test_one_representative_of_every_class(spark):
+    words = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(5)]
+    rows = [
+        (1, words[0], "a"), (1, words[0], "b"), (1, words[0], "b"), (2, words[0], "a"),
+        (3, words[1], "a"), (5, words[1], "a"), (5, words[2], "a"),
+        (None, words[1], "a"), (None, words[3], "a"), (None, words[3], "b"), (None, words[4], "a"),
+    ]
+    docs = documents(spark, rows)
+    kept = simhash_dedup.keep_representatives(docs)
+    assert kept.schema == docs.schema
+    assert sorted(((r["doc_id"], words.index(r["text"])) for r in kept.collect()), key=str) == sorted(
+        [(1, 0), (3, 1), (5, 2), (None, 3), (None, 4)], key=str
+    )
+    assert simhash_dedup.keep_representatives(documents(spark, [])).count() == 0
+
+
 # syncmers
 
 
