@@ -34,28 +34,42 @@ SAME = {
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 HINT = re.compile(r"(?<![\w-])(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.S)
-ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav(?:bar|igation)?|menus?|"
-    r"breadcrumbs?|side-?bar|footer|masthead|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|"
-    r"subscription|share|sharing|social|comments?|comment-?list|disqus|replies|respond|related|recommended|widget|login|signup|"
-    r"search-?form|paywall|pagination|pager|toolbar|skip-?link)(?:$|[\s_-])", re.I
-)
+# Words of class and id names that set an element aside, and those that may stand beside them in such a name.
+ASIDE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored promo promos promotion nav navbar navigation menu menus "
+    "breadcrumb breadcrumbs sidebar sidenav footer masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter "
+    "subscribe subscription share sharing social comment comments commentlist disqus replies respond widget widgets login signup searchform paywall "
+    "pagination pager toolbar skiplink".split()
+)
+BESIDE = frozenset(
+    "area bar blog body bottom box block buttons col column container content form global group holder icons inner item items left line link links list "
+    "main message mobile outer page panel post primary reader right row section secondary site slot text thread title top unit user wrap wrapper zone".split()
+)
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-KEEP = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:$|[\s_-])", re.I)
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
 
 class Node:
     """One element: its children in order (nodes and decoded text), and the counts that densities need."""
 
-    __slots__ = ("tag", "parent", "parts", "away", "chars", "tags", "link_chars", "link_tags", "density", "total", "plain", "holds")
+    __slots__ = ("tag", "parent", "parts", "away", "chars", "tags", "link_chars", "link_tags", "density", "total", "plain", "holds", "soft", "titled")
 
     def __init__(self, tag: str, parent: Node | None, away: bool):
         self.tag, self.parent, self.away = tag, parent, away
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
-        self.plain = self.holds = False
+        self.plain = self.holds = self.soft = False
+        self.titled = tag == "h1"
+
+
+def _named_aside(value: str) -> bool:
+    """Whether a class or id attribute names something set aside: one of its names has such a word and otherwise only words that tell where or how it stands."""
+    for name in value.lower().split():
+        words = [w for w in re.split(r"[-_]+", name.replace("side-bar", "sidebar").replace("skip-link", "skiplink").replace("search-form", "searchform")) if w and not w.isdigit()]
+        if any(w in ASIDE for w in words) and all(w in ASIDE or w in BESIDE for w in words):
+            return True
+    return False
 
 
 def _set_aside(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -72,12 +86,16 @@ def _set_aside(tag: str, attributes: str, inside_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and ASIDE.search(value):
-            if not KEEP.search(value) or tag in ("ul", "ol", "li", "form"):
-                return True
+        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and _named_aside(value):
+            return True
     return False
 
 
+def _page_header(attributes: str) -> bool:
+    """Whether a class or id names a header; it is set aside outside articles unless it holds the page's first heading."""
+    return any(re.search(r"(?:^|\s)(?:(?:site|page|top|global|main)[-_])?header(?:[-_](?:bar|inner|wrap|wrapper|container))?(?:$|\s)", m[2] or m[3] or m[4] or "", re.I) for m in HINT.finditer(attributes) if m[1].lower() in ("class", "id"))
+
+
 def parse(page: str) -> Node:
     """A DOM of ``page`` that forgives missing end tags; comments, doctypes and raw-text elements carry no text."""
     root = Node("#root", None, False)
@@ -116,6 +134,7 @@ def parse(page: str) -> Node:
             if last is not None:
                 here = last.parent
         node = Node(tag, here, _set_aside(tag, m[3], articles > 0))
+        node.soft = not articles and bool(m[3]) and tag not in ("body", "html", "article", "main") and _page_header(m[3])
         here.parts.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -154,6 +173,7 @@ def measure(root: Node) -> tuple[list[Node], float]:
                 node.link_chars += part.chars if part.tag == "a" else part.link_chars
                 node.link_tags += part.link_tags + (part.tag == "a")
                 node.plain = node.plain or part.tag != "a" and part.plain
+                node.titled = node.titled or part.titled
     base = next((n for n in order if n.tag == "body"), root)
     body_share = base.link_chars / base.chars if base.chars else 0.0
     for node in reversed(order):
@@ -171,17 +191,18 @@ def least_density(node: Node) -> float:
     return min(n.density for n in path)
 
 
-def choose(root: Node) -> Node | None:
-    """The node whose children's densities have the greatest sum, widened to all of the article.
+def choose(root: Node) -> tuple[Node, Node | None] | None:
+    """The node whose children's densities have the greatest sum, widened to all of the article, and the node that is article throughout.
 
     That is the article or main element that holds it. Without one it is the lowest element that also holds all
     other blocks and loose texts at least as dense as the least on the path from the node to the body,
-    and the heading before them. Elements set aside, and all inside them, take no part.
+    and the heading before them. Elements set aside, and all inside them, take no part. Article throughout is the marked
+    element, else the node of greatest sum, unless that is the whole body, which may hold menus of no such name.
     """
     best = None
     order, body_share = measure(root)
     for node in order:
-        node.away = node.away or (node.parent is not None and node.parent.away)
+        node.away = node.away or node.soft and not node.titled or (node.parent is not None and node.parent.away)
         if not node.away and node.chars and (best is None or node.total > best.total):
             best = node
     if best is None:
@@ -190,7 +211,9 @@ def choose(root: Node) -> Node | None:
     while path[-1].parent is not None:
         path.append(path[-1].parent)
     marked = [n for n in path if n.tag in ("article", "main")]
-    return marked[-1] if marked else _with_heading(_with_dense(best, order, body_share), order)
+    if marked:
+        return marked[-1], marked[-1]
+    return _with_heading(_with_dense(best, order, body_share), order), None if best.tag in ("body", "html", "#root") else best
 
 
 def _with_dense(best: Node, order: list[Node], body_share: float) -> Node:
@@ -243,13 +266,13 @@ def _with_heading(top: Node, order: list[Node]) -> Node:
     return top
 
 
-def blocks(best: Node) -> list[str]:
+def blocks(top: Node, core: Node | None) -> list[str]:
     """The text blocks of the chosen subtree in page order, blanks collapsed.
 
-    The threshold is the least density on the path from the chosen node to the body. A list or box below it that is wholly
-    links is navigation and left out, as are elements set aside.
+    Inside ``core`` nothing is left out but elements set aside. Elsewhere a list or box that is wholly links and less dense than
+    the least dense node on the path from the chosen node to the body is navigation and left out too.
     """
-    threshold = least_density(best)
+    threshold = least_density(top)
     out: list[str] = []
     run: list[str] = []
 
@@ -258,35 +281,41 @@ def blocks(best: Node) -> list[str]:
             out.append(text)
         run.clear()
 
-    stack: list[Node | str | None] = [best]
+    stack: list[tuple[Node | str | None, bool]] = [(top, top is core)]
     while stack:
-        part = stack.pop()
+        part, inside = stack.pop()
         if part is None:
             close()
-        elif isinstance(part, str):
+            continue
+        if isinstance(part, str):
             run.append(part)
-        elif part.tag == "br" or part.tag in ("td", "th"):
+            continue
+        inner = [(p, inside or p is core) for p in reversed(part.parts)]
+        if part.tag == "br" or part.tag in ("td", "th"):
             run.append(" ")
-            stack.extend(reversed(part.parts))
+            stack.extend(inner)
         elif not part.away:
             linked = part.link_tags > 1 and not part.plain and part.density < threshold
-            if linked and part is not best and part.tag in ("ul", "ol", "div", "section", "table"):
+            if linked and not inside and part is not top and part.tag in ("ul", "ol", "div", "section", "table"):
                 close()
                 continue
             if part.tag in BLOCK:
                 close()
-                stack.append(None)
-            stack.extend(reversed(part.parts))
+                stack.append((None, inside))
+            stack.extend(inner)
     close()
     return out
 
 
 def main_text(page: str | None) -> str:
-    """The article of one whole page; empty if there is none, and for null."""
+    """The article of one whole page, its blocks joined by an empty line; empty if there is none, and for null.
+
+    Of nodes with equal sums the first in page order is chosen.
+    """
     if not page:
         return ""
-    best = choose(parse(page))
-    return "\n".join(blocks(best)) if best is not None else ""
+    found = choose(parse(page))
+    return "\n\n".join(blocks(*found)) if found is not None else ""
 
 
 def extract(pages: DataFrame, html_col: str = "html", name: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -127,9 +128,9 @@ LONG = "This paragraph has a good many words so that it is the densest place of
     "html, text",
     [
         (None, ""), ("", ""), ("<html><body><nav><a href=x>Home</a></nav></body></html>", ""),
-        (page(f"<nav><a>Home</a></nav><article><h1>Title &amp; more</h1><p>{LONG}</p><p>Second\n  one&#33; {LONG}</p></article><footer>c</footer>"), f"Title & more\n{LONG}\nSecond one! {LONG}"),
+        (page(f"<nav><a>Home</a></nav><article><h1>Title &amp; more</h1><p>{LONG}</p><p>Second\n  one&#33; {LONG}</p></article><footer>c</footer>"), f"Title & more\n\n{LONG}\n\nSecond one! {LONG}"),
         (page(f"<div class='sidebar'><p>{LONG}</p></div><div class=content><p>{LONG} <a href=y>link</a> end</p><script>var a = '<p>';</script><div id=comments><p>nice</p></div></div>"), f"{LONG} link end"),
-        (page(f"<main><p>{LONG}<p>unclosed {LONG}<ul><li>one<li>two</ul><!-- <p>hidden</p> --></main>"), f"{LONG}\nunclosed {LONG}\none\ntwo"),
+        (page(f"<main><p>{LONG}<p>unclosed {LONG}<ul><li>one<li>two</ul><!-- <p>hidden</p> --></main>"), f"{LONG}\n\nunclosed {LONG}\n\none\n\ntwo"),
     ],
 )
 def test_main_text(html, text):
@@ -140,31 +141,117 @@ PART = "<p>" + "word " * 79 + "last.</p>"
 PART_TEXT = "word " * 79 + "last."
 
 
+def lines(*blocks):
+    return "\n\n".join(blocks)
+
+
 @pytest.mark.parametrize("wrap", [page, lambda body: body])
 def test_main_text_holds_the_whole_article(wrap):
     section = f"<section>{PART * 3}</section>"
-    assert html_text.main_text(wrap(section + "<p>Short one.</p>" + section)) == "\n".join([PART_TEXT] * 3 + ["Short one."] + [PART_TEXT] * 3)
+    assert html_text.main_text(wrap(section + "<p>Short one.</p>" + section)) == lines(*[PART_TEXT] * 3, "Short one.", *[PART_TEXT] * 3)
     larger = f"<div>{PART * 9}</div>"
-    assert html_text.main_text(wrap("<nav><a href=x>Home</a></nav>" + larger + section)) == "\n".join([PART_TEXT] * 12)
-    assert html_text.main_text(wrap(f"<h1>Head</h1><div>{PART * 3}</div>")) == "\n".join(["Head"] + [PART_TEXT] * 3)
-    assert html_text.main_text(wrap(f"<div>{PART * 3}</div><div class=sidebar>{PART}</div>")) == "\n".join([PART_TEXT] * 3)
+    assert html_text.main_text(wrap("<nav><a href=x>Home</a></nav>" + larger + section)) == lines(*[PART_TEXT] * 12)
+    assert html_text.main_text(wrap(f"<h1>Head</h1><div>{PART * 3}</div>")) == lines("Head", *[PART_TEXT] * 3)
+    assert html_text.main_text(wrap(f"<div>{PART * 3}</div><div class=sidebar>{PART}</div>")) == lines(*[PART_TEXT] * 3)
 
 
-def test_main_text_keeps_paragraphs_of_links():
+def test_main_text_drops_nothing_inside_an_article():
     links = "<a href=a>One long name of a source</a> and <a href=b>another long name of a source</a>"
     kept = "One long name of a source and another long name of a source"
     for tag in ("p", "div", "ul"):
         rich = f"<{tag}>{links}</{tag}>"
-        assert html_text.main_text(page(f"<article>{PART * 3}{rich}</article>")) == "\n".join([PART_TEXT] * 3 + [kept])
+        assert html_text.main_text(page(f"<article>{PART * 3}{rich}</article>")) == lines(*[PART_TEXT] * 3, kept)
     menu = "<ul><li><a href=a>One</a><li><a href=b>Two</a></ul>"
-    assert html_text.main_text(page(f"<article>{PART * 3}{menu}</article>")) == "\n".join([PART_TEXT] * 3)
+    for tag in ("article", "div"):
+        assert html_text.main_text(page(f"<{tag}>{PART * 3}{menu}</{tag}>")) == lines(*[PART_TEXT] * 3, "One", "Two")
+    assert html_text.main_text(page(f"<div>{PART * 3}</div>{menu}<section>{PART * 3}</section>")) == lines(*[PART_TEXT] * 6)
+    odd = "<p class=related>See also this.</p><section class='comments-policy'><p>Our rules.</p></section><p class='cookie-recipe'>Bake.</p>"
+    assert html_text.main_text(page(f"<article>{PART * 3}{odd}</article>")) == lines(*[PART_TEXT] * 3, "See also this.", "Our rules.", "Bake.")
+
+
+@pytest.mark.parametrize(
+    "name", ["ad", "ad-slot", "site-nav", "top_menu", "cookie-banner", "user-comments", "comments-list", "side-bar right", "newsletter-box", "page-header", "header"]
+)
+def test_main_text_sets_named_boxes_aside(name):
+    assert html_text.main_text(page(f"<div class='{name}'>{PART}</div><div>{PART * 3}<div class='{name}'>Words.</div></div>")) == lines(*[PART_TEXT] * 3)
+    assert html_text.main_text(page(f"<div class=header><h1>Head</h1></div><div>{PART * 3}</div>")) == lines("Head", *[PART_TEXT] * 3)
+
+
+def test_main_text_of_equal_densities_is_the_first_in_page_order():
+    same = "<div><section><p>{0} one two three four five six seven eight.</p></section></div>"
+    found = html_text.choose(html_text.parse(page(same.format("a") + "<footer>x</footer>")))
+    again = html_text.choose(html_text.parse(page(same.format("a") + "<footer>x</footer>")))
+    assert [n.tag for n in found if n] == [n.tag for n in again if n]
+    tied = html_text.parse("<div>" + same.format("a") + same.format("b") + "</div>")
+    order, _ = html_text.measure(tied)
+    sums = [n.total for n in order if n.tag == "section"]
+    assert len(sums) == 2 and sums[0] == sums[1]
+
+
+def counted(node):
+    """Characters, tags, link characters and link tags of a node, the plain way."""
+    out = [0, 0, 0, 0]
+    for part in node.parts:
+        if isinstance(part, str):
+            out[0] += len(part.strip())
+        else:
+            c = counted(part)
+            own = [c[0], c[1] + 1, c[0] if part.tag == "a" else c[2], c[3] + (part.tag == "a")]
+            out = [x + y for x, y in zip(out, own, strict=True)]
+    return out
+
+
+class Articles(HTMLParser):
+    """Text blocks inside article elements, without adverts, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.away, self.run, self.found = 0, 0, [], []
+
+    def close_block(self):
+        if text := " ".join("".join(self.run).split()):
+            self.found.append(text)
+        self.run = []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.away += tag in ("script", "style", "nav", "footer", "form", "aside")
+        if tag == "br":
+            self.run.append(" ")
+        elif tag in html_text.BLOCK:
+            self.close_block()
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCK:
+            self.close_block()
+        self.depth -= tag == "article"
+        self.away -= tag in ("script", "style", "nav", "footer", "form", "aside")
+
+    def handle_data(self, data):
+        if self.depth and not self.away:
+            self.run.append(data)
+
+
+def test_main_text_of_the_pages(spark):
+    rows = spark.read.parquet(f"{LARGER}/pages.parquet").select("html").collect()
+    held = [(r["html"], Articles()) for r in rows if r["html"] and "<article" in r["html"]]
+    right = 0
+    for html, brute in held:
+        brute.feed(html)
+        brute.close_block()
+        right += html_text.main_text(html) == lines(*brute.found)
+    assert held and right == len(held)
+    for html, _ in held[:50]:
+        for node in html_text.measure(html_text.parse(html))[0]:
+            assert counted(node) == [node.chars, node.tags, node.link_chars, node.link_tags]
+            assert np.isclose(node.total, sum(p.density for p in node.parts if not isinstance(p, str)))
 
 
 def test_page_query(spark):
     got = queries.op10_html_text(spark, SMALL).toPandas()
     assert len(got) == spark.read.parquet(f"{SMALL}/pages.parquet").count()
     assert (got["n_chars"] == got["text"].map(len)).all() and (got["n_chars"] > 0).mean() > 0.8
-    assert not got["text"].str.contains(r"\n\n|<p>|&amp;", regex=True).any()
+    assert not got["text"].str.contains(r"(?<!\n)\n(?!\n)|\n{3}|<p>|&amp;", regex=True).any()
     rows = spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", "<p>" * 3000 + "x")], "page_id long, url string, html string")
     assert html_text.extract(rows.withColumn("text", F.lit("old"))).count() == 3
     assert html_text.extract(rows.limit(0)).count() == 0
