@@ -30,6 +30,8 @@ SENTENCES = {
     "bsd3.named": "Licensed under the BSD 3-Clause License.",
     "apache2.header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     "apache2.copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache2.copy-at": "You may obtain a copy of the License at",
+    "apache2.address": "http://www.apache.org/licenses/LICENSE-2.0",
     "apache2.as-is": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "apache2.limits": "See the License for the specific language governing permissions and limitations under the License.",
     "apache2.named": "Licensed under the Apache License, Version 2.0.",
@@ -63,6 +65,7 @@ RULES = [
     ("BSD-2-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.as-is")),
     ("ISC", ("isc.grant", "isc.as-is")),
     ("Apache-2.0", ("apache2.header", "apache2.copy", "apache2.as-is", "apache2.limits")),
+    ("Apache-2.0", ("apache2.header", "apache2.copy-at", "apache2.address", "apache2.as-is", "apache2.limits")),
     ("GPL-3.0-or-later", ("gpl.free", "gpl.hope", "gpl.details", "gpl.received")),
     ("GPL-2.0-or-later", ("gpl2.free", "gpl.hope", "gpl.details", "gpl.received")),
     ("MPL-2.0", ("mpl2.form", "mpl2.copy")),
@@ -94,7 +97,12 @@ RULES = [
     ("Proprietary", ("reserved",)),
 ]
 
-END = r"(?<=[.!?])[ \t-\r]+"
+# Abbreviations before a full stop that ends no sentence, and marks that begin a line of a comment or a list.
+ABBREVIATIONS = ("v", "vs", "no", "inc", "ltd", "corp", "e.g", "i.e")
+COMMENT_MARK = r"(?m)^[ \t]*(?:(?:#|//|/?\*|--|;|%|<!--|\"|')+(?:[*/>-]*[ \t]+|$))"
+LIST_MARK = r"\r?\n[ \t]*(?=(?:[*•-]|[(]?(?:[0-9]{1,2}|[a-z])[.)])[ \t])"
+END = "".join(rf"(?<!\b{a.replace('.', '[.]')}[.])" for a in ABBREVIATIONS) + r"(?<=[.!?])[ \t-\r]+"
+BREAK = rf"{END}|(?:\r?\n[ \t]*){{2,}}|{LIST_MARK}"
 LINE_ENDS = r"[\n\r]+"
 
 
@@ -110,28 +118,37 @@ def normalised(sentence: Column) -> Column:
 
 
 def known_sentences(spark: SparkSession, sentences: dict[str, str] | None = None) -> DataFrame:
-    """``(norm, sid)``: the fixed table, also split where its own sentences hold a full stop in the middle."""
+    """``(norm, sid)`` of a table of sentences; one that the rules below would cut in the middle can't be met and raises ``ValueError``."""
     table = SENTENCES if sentences is None else sentences
+    if cut := [k for k, s in table.items() if re.search(BREAK, s.strip().lower())]:
+        raise ValueError(f"sentences with an end in the middle: {cut}")
     rows = [F.struct(F.lit(normal_form(s)).alias("norm"), F.lit(k).alias("sid")) for k, s in table.items()]
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def recognised(docs: DataFrame, id_col: str, text_col: str, known: DataFrame) -> DataFrame:
+def recognised(docs: DataFrame, id_col: str, text_col: str, known: DataFrame, most_words: int) -> DataFrame:
     """``(doc, piece, line, sid)``: every occurrence of a known sentence in every whole text, with its place.
 
-    A sentence ends at a full stop, exclamation or question mark before a blank, or at the end of a line; so that
-    wrapped sentences are found too, those that a blank line or such a mark ends are tried as well where
-    they cross lines, and stand at the line that their first word is on. Sentences meet the table in a
+    Marks that begin lines of comments go first. A piece ends at a full stop, exclamation or question mark before a blank
+    (``ABBREVIATIONS`` aside), at an empty line, or before an item of a list. Sentences are its lines, and, so that wrapped ones are found,
+    its first and its last lines together, up to all of them; ``line`` is where a sentence begins. Lines without words do not
+    count, so no sentence of ``most_words``, the most that a known one has, crosses more lines. Sentences meet the table in a
     broadcast join of fixed size, so one that a third of all texts holds is never gathered.
     """
-    low = docs.select(F.col(id_col).alias("doc"), lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
-    pieces = low.select("doc", F.posexplode(F.split("low", END + r"|(?:\r?\n[ \t]*){2,}")).alias("piece", "body"))
-    lines = F.transform(F.split("body", LINE_ENDS), lambda s, i: F.struct(i.alias("line"), s.alias("sentence")))
-    before = F.regexp_extract("body", f"^{NOT_WORD}*", 0)
-    whole = F.struct((F.size(F.split(before, LINE_ENDS)) - 1).alias("line"), F.col("body").alias("sentence"))
-    tried = F.when(F.contains("body", F.lit("\n")), F.array_append(lines, whole)).otherwise(lines)
-    tried = pieces.select("doc", "piece", F.inline(tried)).where("sentence <> ''")
-    found = tried.withColumn("norm", normalised(F.col("sentence"))).join(F.broadcast(known), "norm")
+    low = docs.select(F.col(id_col).alias("doc"), F.regexp_replace(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), COMMENT_MARK, "").alias("low"))
+    pieces = low.select("doc", F.posexplode(F.split("low", BREAK)).alias("piece", "body"))
+    several = F.contains("body", F.lit("\n")) | F.contains("body", F.lit("\r"))
+    cut = F.when(several, F.filter(F.transform(F.split("body", LINE_ENDS), normalised), lambda s: s != "")).otherwise(F.array(normalised(F.col("body"))))
+    lines = pieces.select("doc", "piece", cut.alias("lines")).where("size(lines) > 0")
+    n = F.size("lines")
+    sentence = lambda line, norm: F.struct(line.cast("int").alias("line"), norm.alias("norm"))
+    single = F.transform("lines", lambda s, i: sentence(i, s))
+    some = F.sequence(F.lit(2), F.least(n, F.lit(most_words)))
+    joined = lambda at, k: F.array_join(F.slice("lines", at + 1, k), " ")
+    first = F.transform(some, lambda k: sentence(F.lit(0), joined(F.lit(0), k)))
+    last = F.transform(some, lambda k: sentence(n - k, joined(n - k, k)))
+    tried = F.when(n > 1, F.concat(single, first, last)).otherwise(single)
+    found = lines.select("doc", "piece", F.inline(tried)).join(F.broadcast(known), "norm")
     return found.select("doc", "piece", "line", "sid").distinct()
 
 
@@ -159,13 +176,13 @@ def scan(
 ) -> DataFrame:
     """``(id_col, sids, licenses)`` for every document: known sentences in order of place, and the licences they make up.
 
-    A sentence that a text repeats counts at each of its places. Null, empty and blank texts have none. Rows that repeat
+    A sentence that a text repeats counts at each of its places; of sentences that begin at one place the first by identifier comes first. Null, empty and blank texts have none. Rows that repeat
     id and text give one row, an id with several texts a row for each.
     """
     table = SENTENCES if sentences is None else sentences
     doc = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"))
     slim = docs.select(doc.alias("_doc"), F.col(text_col).alias("_text"))
-    found = recognised(slim, "_doc", "_text", known_sentences(docs.sparkSession, table))
+    found = recognised(slim, "_doc", "_text", known_sentences(docs.sparkSession, table), max((len(normal_form(s).split()) for s in table.values()), default=1))
     listed = found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("piece", "line", "sid"))).alias("s"))
     judged = match_rules(listed.select("doc", F.col("s.sid").alias("sids")), RULES if rules is None else rules)
     every = slim.select("_doc").distinct()

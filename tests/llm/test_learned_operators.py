@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+import textwrap
 import zlib
 from html.parser import HTMLParser
 
@@ -108,6 +111,98 @@ def test_licences_at_every_place(spark):
     assert got == {0: (9, "BSD-2-Clause,BSD-3-Clause"), 1: (6, "BSD-2-Clause,Proprietary"), 2: (4, "BSD-2-Clause"), 3: (3, "Proprietary"), 4: (1, "Proprietary"), 5: (4, "MIT")}
 
 
+def brute_sentences(text):
+    """Identifiers of known sentences in order of place, by a plain walk over the text."""
+    known = {license_scan.normal_form(v): k for k, v in license_scan.SENTENCES.items()}
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").replace("\r\n", "\n")
+    stripped = []
+    for row in low.split("\n"):
+        mark = re.match(r"[ \t]*(?:#|//|/?\*|--|;|%|<!--|\"|')+(?:[*/>-]*[ \t]+|$)", row)
+        stripped.append(row[mark.end() :] if mark else row)
+    pieces, here = [], []
+    for row in stripped:
+        blank = not row.strip(" \t")
+        item = bool(re.match(r"[ \t]*(?:[*•-]|[(]?(?:[0-9]{1,2}|[a-z])[.)])[ \t]", row))
+        if (blank or item) and here:
+            pieces.append(here)
+            here = []
+        if not blank:
+            words = re.split(r"(?<=[.!?])[ \t-\r]+", row)
+            part = words[0]
+            for nxt in words[1:]:
+                if re.search(r"\b(?:v|vs|no|inc|ltd|corp|e\.g|i\.e)\.$", part):
+                    part += " " + nxt
+                else:
+                    pieces.append(here + [part])
+                    here, part = [], nxt
+            here = here + [part]
+            if re.search(r"[.!?][ \t]*$", part) and not re.search(r"\b(?:v|vs|no|inc|ltd|corp|e\.g|i\.e)\.[ \t]*$", part):
+                pieces.append(here)
+                here = []
+    pieces.append(here)
+    out = []
+    for body in pieces:
+        rows = [x for x in map(license_scan.normal_form, body) if x]
+        n = len(rows)
+        spans = {(i, i + 1) for i in range(n)} | {(0, k) for k in range(2, n + 1)} | {(n - k, n) for k in range(2, n + 1)}
+        out += sorted((i, known[k]) for i, j in spans if (k := " ".join(rows[i:j])) in known)
+    return [sid for _, sid in out]
+
+
+def test_licence_sentences_equal_brute_force(spark):
+    s, rng = license_scan.SENTENCES, random.Random(4)
+    keys = list(s)
+    texts = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+    for _ in range(150):
+        parts = []
+        for key in rng.choices(keys, k=rng.randrange(1, 7)):
+            body = s[key]
+            if rng.random() < 0.5:
+                body = textwrap.fill(body, rng.choice([30, 60, 79]))
+            parts.append(rng.choice(["Some words here\n", "Copyright 2020 A. B.\n", "", "1. ", "x "]) + body)
+        text = rng.choice(["\n", "\n\n", " ", "\n  \n"]).join(parts)
+        if rng.random() < 0.4:
+            text = "\n".join(("# " + row).rstrip() for row in text.split("\n"))
+        texts.append(text)
+    got = {r["doc_id"]: r["sids"] for r in license_scan.scan(documents(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    want = {k: brute_sentences(t) for k, t in enumerate(texts)}
+    assert sum(map(len, want.values())) > 300
+    assert [(texts[k], got[k], want[k]) for k in want if got[k] != want[k]][:2] == []
+
+
+APACHE = """# Copyright 2020 The Authors
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+
+
+def test_licence_notices_as_they_stand_in_files(spark):
+    s = license_scan.SENTENCES
+    every = list(s.items())
+    gpl = lambda first: "\n".join(textwrap.fill(s[k], 60) for k in (first, "gpl.hope", "gpl.details", "gpl.received"))
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"
+    texts = [APACHE, APACHE.replace("#", "//"), mpl, "Released" + " " * 2000 + "under the MIT License.", gpl("gpl.free") + "\n\n" + gpl("gpl2.free"), "Words first. " * 4000 + "All rights reserved."]
+    rows = [(k, t, "s") for k, t in enumerate(texts)] + [(100 + k, v, "s") for k, (_, v) in enumerate(every)]
+    got = {r["doc_id"]: r for r in license_scan.scan(documents(spark, rows)).collect()}
+    assert [",".join(got[k]["licenses"]) for k in range(6)] == ["Apache-2.0", "Apache-2.0", "MPL-2.0", "MIT", "GPL-2.0-or-later,GPL-3.0-or-later", "Proprietary"]
+    assert got[0]["sids"] == ["apache2.header", "apache2.copy-at", "apache2.address", "apache2.as-is", "apache2.limits"]
+    assert len(got[4]["sids"]) == 8
+    for k, (sid, _) in enumerate(every):
+        assert got[100 + k]["sids"] == [sid]
+    with pytest.raises(ValueError):
+        license_scan.known_sentences(spark, {"x": "One sentence. And another"})
+
+
 def test_licence_rules_take_their_sentences(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "c", "b"]), (3, []), (4, ["a", "b", "a", "b"])], "id long, sids array<string>")
     got = license_scan.match_rules(df, [("AB", ("a", "b")), ("A", ("a",)), ("B", ("b",))])
