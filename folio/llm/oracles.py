@@ -21,11 +21,21 @@ hit AS (
   GROUP BY doc_id),
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids
-  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM found) AS f GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM found) AS f GROUP BY doc_id),
+posts AS (SELECT doc_id, w[i] AS term, i FROM words, unnest(generate_series(1, len(w))) AS t(i)),
+rare AS (
+  SELECT item_id, w, term, count(*) OVER (PARTITION BY item_id, w) AS need FROM (
+    SELECT item_id, w, term, row_number() OVER (PARTITION BY item_id, w ORDER BY tf, term) AS nth
+    FROM (SELECT DISTINCT item_id, w, unnest(w) AS term FROM item_words) JOIN (SELECT term, count(*) AS tf FROM posts GROUP BY term) USING (term)) AS r WHERE nth <= 3),
+placed AS (SELECT doc_id, item_id, w, need, term, i FROM posts JOIN rare USING (term)),
+near AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (
+    SELECT a.doc_id, a.item_id, a.w, a.i FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.w = b.w AND b.i BETWEEN a.i - 12 AND a.i
+    GROUP BY a.doc_id, a.item_id, a.w, a.i, a.need HAVING count(DISTINCT b.term) = a.need) AS m GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_near, 0)::BIGINT AS n_near, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)"""
 
 OP6 = r"""
 WITH sized AS (
@@ -58,7 +68,8 @@ edits AS (
   SELECT doc_id, t, substring(t, 1, length(t) - length(t) // 4) || substring(nx, 1, length(t) // 4) AS ed FROM followed),
 bodies AS (SELECT doc_id, 0 AS kind, t AS b FROM edits UNION ALL SELECT doc_id, 1, ed FROM edits),
 units AS (
-  SELECT *, regexp_extract_all(b, '[^ 	-]+') AS w, CASE WHEN length(b) < 400 THEN length(b) ELSE 0 END AS n FROM bodies),
+  SELECT *, regexp_extract_all(b, '[^ 	-
+]+') AS w, CASE WHEN length(b) < 400 THEN length(b) ELSE 0 END AS n FROM bodies),
 hashed AS (
   SELECT *, list_transform(range(1, len(w)), lambda i: md5(w[i] || ' ' || w[i + 1])) AS wi,
          list_transform(range(1, greatest(n - 3, 1)), lambda i: md5(substring(b, i, 5))) AS ci FROM units),

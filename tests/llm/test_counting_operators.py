@@ -65,7 +65,7 @@ def test_contamination_equals_brute_force(spark):
         if k % 3 == 0:
             body += "; " + (rng.choice(items)[1] or "").upper()
         docs.append((k, body))
-    docs += [(500, None), (501, ""), (502, "a " * 3000), (503, items[4][1])]
+    docs += [(500, None), (501, ""), (502, "a " * 3000), (503, items[4][1]), (504, "b " * 60000 + (items[5][1] or ""))]
     d = documents(spark, [(k, t, "s") for k, t in docs])
     i = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.contamination(d, i).drop("items").select(
@@ -90,13 +90,65 @@ def test_contamination_edge_cases(spark):
     assert decontamination.contamination(empty, items).count() == 0
 
 
+def brute_near(docs, items, span=13, terms=3):
+    """``(doc, item)`` pairs whose rarest terms stand within ``span`` words, by sliding over every text."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+    tf = Counter(w for _, t in docs for w in cut(t))
+    out = set()
+    for item, text in items:
+        rare = set(sorted({w for w in cut(text) if tf[w]}, key=lambda w: (tf[w], w))[:terms])
+        for doc, body in docs:
+            w = cut(body)
+            if rare and any(rare <= set(w[i : i + span]) for i in range(max(len(w) - span + 1, 1))):
+                out.add((doc, item))
+    return out
+
+
+def index_of(docs, items):
+    places = decontamination.item_terms(items, "item_id", "text")
+    index = decontamination.index_postings(docs, "doc_id", "text", places)
+    return index, places, decontamination.frequencies(index)
+
+
 def test_proximity(spark):
     docs = documents(spark, [(1, "x a y b z", "s"), (2, "a p q r s b", "s"), (3, "b a", "s"), (4, "a a", "s")])
     asks = spark.createDataFrame([(7, "A b"), (8, "")], "item_id long, text string")
-    got = decontamination.proximity_matches(docs, "doc_id", "text", asks, "item_id", "text", span=3)
+    index, places, _ = index_of(docs, asks)
+    got = decontamination.proximity_matches(index, places, span=3).select("doc", "item.item", "start", "end")
     assert sorted(tuple(r) for r in got.collect()) == [(1, 7, 1, 3), (3, 7, 0, 1)]
 
 
+def test_rarest_terms_give_candidates_and_the_other_lists_confirm(spark):
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(rng.choices(words, k=rng.choice([2, 13, 14, 30])))) for k in range(8)]
+    docs = []
+    for k in range(60):
+        body = rng.choices(words, k=rng.randrange(0, 40))
+        copy = items[k % 8][1].split()
+        if k % 2:
+            copy[rng.randrange(len(copy))] = "other"
+        docs.append((k, " ".join(body + copy + body[:5])))
+    d, i = documents(spark, [(k, t, "s") for k, t in docs]), spark.createDataFrame(items, "item_id long, text string")
+    index, places, held = index_of(d, i)
+    rare = decontamination.anchors(places, held, 13)
+    found = decontamination.candidates(index, rare)
+    first = {(r["doc"], r["item"]["item"], r["shift"] + r["start"], r["len"]) for r in found.collect()}
+    exact = set()
+    for doc, text in docs:
+        w = text.split()
+        for item, body in items:
+            b = body.split()
+            n = min(len(b), 13)
+            exact |= {(doc, item, at, n) for s in range(len(b) - n + 1) for at in range(len(w) - n + 1) if w[at : at + n] == b[s : s + n]}
+    assert exact < first and len(exact) > 50
+    got = decontamination.contamination(d, i)
+    near = Counter(doc for doc, _ in brute_near(docs, items))
+    assert {r["doc_id"]: r["n_near"] for r in got.collect()} == {k: near[k] for k, _ in docs}
+    own = got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert sorted(tuple(r) for r in own.collect()) == brute_contamination(docs, items)
+
+
 # sharding
 
 
