@@ -15,3 +15,15 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     The rows should be short: the limit times their width is what every executor may hold.
     """
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def split_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, how: str = "inner", heavy: int = 10_000) -> DataFrame:
+    """``rows`` joined with ``table``, whose column ``weight`` says how many rows hold each of its keys.
+
+    Keys that more than ``heavy`` rows hold meet in a broadcast join and are never gathered in one task; there is at most one such key for
+    every ``heavy`` rows. The others are shuffled. ``how`` is inner or left; keys are not null, ``rows`` should be stored.
+    """
+    hot = table.where(F.col(weight) > heavy)
+    met = rows.join(small(hot), on)
+    rest = rows.join(small(hot.select(*on)), on, "left_anti").join(table.where(F.col(weight) <= heavy), on, how)
+    return met.unionByName(rest)
