@@ -52,13 +52,28 @@ shared AS (SELECT *, max(CASE WHEN level <= cap / weight THEN level END) OVER ()
 targets AS (
   SELECT source, src, source_size,
          least(CASE WHEN level > cap / weight THEN cap ELSE coalesce(common, 0) * weight END, cap) AS target FROM shared),
+goals AS (SELECT *, floor(target + 0.5)::BIGINT AS goal FROM targets),
+total AS (SELECT greatest(coalesce(sum(goal), 0), 1)::BIGINT AS t FROM goals),
+sizes AS (SELECT t, least(length(bin(t - 1)), greatest(16, length(bin((t + 63) // 64 - 1)))) AS bits FROM total),
+plan AS (SELECT bits, ((t + (1::BIGINT << bits) - 1) // (1::BIGINT << bits))::BIGINT AS block FROM sizes),
+spans AS (
+  SELECT src, (upto - goal + block - 1) // block AS lo, (upto + block - 1) // block AS hi
+  FROM (SELECT src, goal, sum(goal) OVER (ORDER BY src)::BIGINT AS upto FROM goals) AS g, plan),
+points AS (SELECT j AS slot, ('0b' || reverse(lpad(bin(j), bits::INTEGER, '0')))::BIGINT AS point FROM plan, unnest(range(1::BIGINT << bits)) AS t(j)),
+slots AS (SELECT src, slot, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS rank FROM points JOIN spans ON point >= lo AND point < hi),
+reach AS (SELECT src, count(*) * any_value(block) AS reach FROM slots, plan GROUP BY src),
 streams AS (
-  SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS goal,
-         sum(size) OVER (PARTITION BY src ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS place
-  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(least(goal - place, size), 0) + greatest(least(goal - source_size - place, size), 0))::BIGINT AS taken
-FROM streams"""
+  SELECT sized.doc_id, size, source_size, target, src, coalesce(reach, 0) AS reach,
+         sum(size) OVER (PARTITION BY src ORDER BY md5(coalesce(doc_id::VARCHAR, '')), size, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT - size AS place
+  FROM sized JOIN goals ON sized.source IS NOT DISTINCT FROM goals.source LEFT JOIN reach USING (src)),
+parts AS (
+  SELECT doc_id, src, place + k * source_size AS lo, least(place + k * source_size + size, reach) AS hi FROM streams, (VALUES (0), (1)) AS r(k)),
+blocks AS (
+  SELECT doc_id, src, lo, hi, block, r AS rank FROM parts, plan, unnest(range(lo // block, (hi - 1) // block + 1)) AS t(r) WHERE hi > lo),
+found AS (
+  SELECT doc_id, sum(least(hi, (rank + 1) * block) - greatest(lo, rank * block))::BIGINT AS taken, min(slot) AS first_slot
+  FROM blocks JOIN slots USING (src, rank) GROUP BY doc_id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot FROM streams LEFT JOIN found USING (doc_id)"""
 
 OP7 = r"""
 WITH followed AS (

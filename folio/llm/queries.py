@@ -84,7 +84,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFram
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a 5:2:1 mix of all sources takes from every document."""
     found = source_mixing.mix(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "size", "source_size", "target", "taken")
+    return found.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

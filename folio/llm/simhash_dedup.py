@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.text import BLANKS, lower_ascii, split_words
 from folio.plans.components import components
 from folio.plans.lineage import store
+from folio.plans.sizes import split_join
 
 PAIR_MASK = (1 << 32) | 1
 
 
 def shingles(docs: DataFrame, text_col: str, width: int = 3) -> DataFrame:
-    """``docs`` once per shingle of ``width`` words, repeats included, as column ``_shingle``.
+    """``docs`` without ``text_col``, once per shingle of ``width`` words, repeats included, as column ``_shingle``.
 
-    Fewer words give the whole sequence as one shingle, no words one null shingle.
+    Fewer words give the whole sequence as one shingle, no words one null shingle. Each exploded row holds its own words only.
     """
-    words = docs.withColumn("_words", split_words(lower_ascii(F.col(text_col)), BLANKS))
-    last = F.greatest(F.size("_words") - width, F.lit(0))
-    at = F.when(F.size("_words") > 0, F.sequence(F.lit(0), last))
-    rows = words.select("*", F.explode_outer(at).alias("_at"))
-    parts = [F.get("_words", F.col("_at") + i) for i in range(width)]
-    return rows.withColumn("_shingle", F.when(F.col("_at").isNotNull(), F.concat_ws(" ", *parts))).drop("_words", "_at")
+    words = docs.withColumn("_words", split_words(lower_ascii(F.col(text_col)), BLANKS)).drop(text_col)
+    n = F.size("_words")
+    runs = F.arrays_zip(*[F.slice("_words", i + 1, F.greatest(n - i, F.lit(0))).alias(f"w{i}") for i in range(width)])
+    whole = F.slice(runs, 1, F.greatest(n - width + 1, F.least(n, F.lit(1))))
+    rows = words.select(*[c for c in words.columns if c != "_words"], F.explode_outer(whole).alias("_run"))
+    return rows.withColumn("_shingle", F.when(F.col("_run").isNotNull(), F.concat_ws(" ", *[F.col(f"_run.w{i}") for i in range(width)]))).drop("_run")
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -51,9 +52,13 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     return counts.select(F.col("_id").alias(id_col), F.when(F.col("n") > 0, fp).otherwise(F.lit(0)).cast("long").alias("fp"))
 
 
-BLOCKS = [(i, j) for j in range(4) for i in range(j)]
-"""Pairs of two-byte blocks. At most two of eight bytes differ, so two of the four blocks agree."""
-
+# 14 sets of four of the eight byte positions; any three positions stand together in exactly one of them.
+QUADS = (
+    (0, 1, 2, 3), (0, 1, 4, 5), (0, 1, 6, 7), (0, 2, 4, 6), (0, 2, 5, 7), (0, 3, 4, 7), (0, 3, 5, 6),
+    (1, 2, 4, 7), (1, 2, 5, 6), (1, 3, 4, 6), (1, 3, 5, 7), (2, 3, 4, 5), (2, 3, 6, 7), (4, 5, 6, 7),
+)
+LEAST_SHARED = {1: 7, 2: 3}
+"""Lists that two fingerprints share at least, by the bytes that may differ; with one byte more that differs they share fewer."""
 LIST_LIMIT = 16
 """Postings lists up to this length are paired directly, longer ones linked through variants."""
 
@@ -62,68 +67,65 @@ def _byte(fp: Column, at: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * at).bitwiseAND(F.lit(255))
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """How many of the eight byte positions agree."""
-    return sum((F.when(_byte(a, p) == _byte(b, p), 1).otherwise(0) for p in range(8)), F.lit(0))
-
-
 def postings(prints: DataFrame) -> DataFrame:
-    """The inverted index ``(key, fp)``: each distinct fingerprint under six lists of four positional bytes.
+    """The inverted index ``(key, fp)``: each distinct fingerprint in fourteen lists, one for the values at each of ``QUADS``.
 
-    Lists of single positional bytes hold a 256th of all fingerprints and their pairs grow with
-    the square; two fingerprints that share six bytes always share four that form two blocks,
-    so these longer keys lose no pair.
+    Lists of single positional bytes hold a 256th of all fingerprints each and their pairs grow with the square; lists of four
+    bytes stay short. Fingerprints that share six bytes stand in three lists together, with seven in seven, with five in one.
     """
-    block = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
-    keys = [
-        F.shiftleft(F.lit(c).cast("long"), 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j])
-        for c, (i, j) in enumerate(BLOCKS)
-    ]
+    keys = []
+    for c, quad in enumerate(QUADS):
+        key = F.lit(c).cast("long")
+        for p in quad:
+            key = F.shiftleft(key, 8).bitwiseOR(_byte(F.col("fp"), p))
+        keys.append(key)
     return prints.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
+def tallied(lists: DataFrame, least: int) -> DataFrame:
+    """``(u, v, shared)`` of the pairs that stand together in ``least`` or more of the ``(key, members)`` lists."""
+    pairs = lists.select("members", F.explode("members").alias("u")).select("u", F.explode("members").alias("v")).where("u > v")
+    return pairs.groupBy("u", "v").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+
+
 def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     """``(u, v)`` edges that connect distinct fingerprints at ``max_bits`` (0 to 2) or fewer differing bits.
 
-    Pairs of a list tally their shared bytes, must reach eight less ``max_bits``, and are then
-    verified bit by bit. A list longer than ``LIST_LIMIT`` would give pairs without bound: each
-    of its members is put under itself and itself with one of the other 32 bits flipped instead.
-    Two bits apart or less, members meet under such a variant, and members that meet are never
-    further apart, so linking each to the least there is exact. It costs 33 rows a member, and no more
-    than 65 fingerprints meet under one variant.
+    Pairs are tallied over the lists of the index that hold them. ``max_bits`` bits change at most as many bytes, so a pair that
+    qualifies reaches ``LEAST_SHARED``; those that do are verified bit by bit. A list longer than ``LIST_LIMIT`` would give pairs
+    without bound and takes no part in the tally: each of its members is put under itself and itself with one of the other 32
+    bits flipped instead. Two bits apart or less, members meet under such a variant, and members that meet are never further
+    apart, so linking each to the least there is exact. It costs 33 rows a member, and no more than 65 fingerprints meet under one
+    variant. A pair that stands together in any long list is linked there, all others have all their lists in the tally. Lists are
+    counted with map-side combining; very long ones are never gathered.
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("max_bits is 0, 1 or 2")
     if max_bits == 0:
         return prints.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
-    by = Window.partitionBy("key")
-    rows = postings(prints.select("fp").distinct()).select(
-        "key",
-        "fp",
-        F.count("*").over(by).alias("n"),
-        F.collect_list("fp").over(by.orderBy("fp").rowsBetween(1 - LIST_LIMIT, -1)).alias("before"),
-    )
-    rows = rows.where("n > 1")
-    pairs = rows.where(F.col("n") <= LIST_LIMIT).select(F.col("fp").alias("u"), F.explode("before").alias("v"))
-    pairs = pairs.where(shared_bytes(F.col("u"), F.col("v")) >= 8 - max_bits)
-    pairs = pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
-    dense = rows.where(F.col("n") > LIST_LIMIT)
-    variants = _variants(dense)
+    index = store(postings(prints.select("fp").distinct()), "postings")
+    sizes = store(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+    long = sizes.where(F.col("n") > LIST_LIMIT)
+    short = index.join(sizes.where(F.col("n") <= LIST_LIMIT).select("key"), "key").groupBy("key").agg(F.collect_list("fp").alias("members"))
+    pairs = tallied(short, LEAST_SHARED[max_bits])
+    pairs = pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).select("u", "v")
+    variants = _variants(split_join(index, long, ["key"], "n"))
     if max_bits == 1:  # only the variants that are fingerprints themselves
         known = prints.select(F.col("fp").alias("v")).distinct()
         return pairs.unionByName(variants.join(known, "v", "left_semi").select("u", "v"))
-    met = variants.distinct().withColumn("least", F.min("u").over(Window.partitionBy("v")))
-    return pairs.unionByName(met.where("u <> least").select("u", F.col("least").alias("v")).distinct())
+    met = variants.distinct()
+    least = met.groupBy("v").agg(F.min("u").alias("least"), F.count("*").alias("n")).where("n > 1").select("v", "least")
+    return pairs.unionByName(met.join(least, "v").where("u <> least").select("u", F.col("least").alias("v")).distinct())
 
 
 def _variants(rows: DataFrame) -> DataFrame:
-    """``fp`` as ``u`` with, as ``v``, itself and itself under each one flipped bit outside the blocks of ``key``."""
-    combo = F.shiftrightunsigned("key", 32)
+    """``fp`` as ``u`` with, as ``v``, itself and itself under each one flipped bit outside the bytes of ``key``."""
+    which = F.shiftrightunsigned("key", 32)
     flips = None
-    for c, blocks in enumerate(BLOCKS):
-        free = [16 * k + b for k in range(4) if k not in blocks for b in range(16)]
+    for c, quad in enumerate(QUADS):
+        free = [8 * p + b for p in range(8) if p not in quad for b in range(8)]
         masks = F.array(F.lit(0).cast("long"), *[F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long") for b in free])
-        flips = F.when(combo == c, masks) if flips is None else flips.when(combo == c, masks)
+        flips = F.when(which == c, masks) if flips is None else flips.when(which == c, masks)
     return rows.select(F.col("fp").alias("u"), F.explode(flips).alias("_flip")).select(
         "u", F.col("u").bitwiseXOR(F.col("_flip")).alias("v")
     )
