@@ -83,37 +83,20 @@ edits AS (
   SELECT doc_id, t, substring(t, 1, length(t) - length(t) // 4) || substring(nx, 1, length(t) // 4) AS ed FROM followed),
 bodies AS (SELECT doc_id, 0 AS kind, t AS b FROM edits UNION ALL SELECT doc_id, 1, ed FROM edits),
 units AS (
-  SELECT *, regexp_extract_all(b, '[^ 	-
-]+') AS w, CASE WHEN length(b) < 400 THEN length(b) ELSE 0 END AS n FROM bodies),
-hashed AS (
-  SELECT *, list_transform(range(1, len(w)), lambda i: md5(w[i] || ' ' || w[i + 1])) AS wi,
-         list_transform(range(1, greatest(n - 3, 1)), lambda i: md5(substring(b, i, 5))) AS ci FROM units),
+  SELECT *, regexp_extract_all(b, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\x{E00}-\x{FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]{1,3}|[^\x09-\x0D\x20]') AS u FROM bodies),
 chosen AS (
-  SELECT *, list_filter(range(1, greatest(len(wi) - 2, 1)), lambda i: least(wi[i], wi[i + 3]) <= least(wi[i + 1], wi[i + 2])) AS wc,
-         list_filter(range(1, greatest(len(ci) - 2, 1)), lambda i: least(ci[i], ci[i + 3]) <= least(ci[i + 1], ci[i + 2])) AS cc FROM hashed),
+  SELECT *, list_filter(range(1, greatest(len(u) - 2, 1)), lambda i: least(u[i], u[i + 3]) <= least(u[i + 1], u[i + 2])) AS c FROM units),
 prints AS (
   SELECT doc_id, kind, length(b) AS n_chars, sha256(b) AS digest,
-         list_sort(list_distinct(CASE WHEN len(wc) > 0 THEN list_transform(wc, lambda i: substring(md5(array_to_string(w[i:i + 4], ' ')), 1, 8))
-           WHEN len(w) > 0 THEN [substring(md5(array_to_string(w, ' ')), 1, 8)] ELSE []::VARCHAR[] END)) AS words,
-         list_sort(list_distinct(CASE WHEN len(cc) > 0 THEN list_transform(cc, lambda i: substring(md5(substring(b, i, 8)), 1, 8))
-           WHEN n > 0 THEN [substring(md5(b), 1, 8)] ELSE []::VARCHAR[] END)) AS chars
-  FROM chosen),
+         list_sort(list_distinct(CASE WHEN len(c) > 0 THEN list_transform(c, lambda i: substring(md5(array_to_string(u[i:i + 3], ' ')), 1, 7))
+           WHEN len(u) > 0 THEN [substring(md5(array_to_string(u, ' ')), 1, 7)] ELSE []::VARCHAR[] END)) AS fp FROM chosen),
 sides AS (
-  SELECT a.doc_id, a.n_chars, e.digest, a.words AS aw, a.chars AS ac, e.words AS ew, e.chars AS ec,
-         coalesce(lead(a.words) OVER o, first_value(a.words) OVER o) AS xw, coalesce(lead(a.chars) OVER o, first_value(a.chars) OVER o) AS xc
+  SELECT a.doc_id, a.n_chars, e.digest, a.fp AS f, e.fp AS ef, coalesce(lead(a.fp) OVER o, first_value(a.fp) OVER o) AS xf
   FROM prints a JOIN prints e ON a.doc_id = e.doc_id AND a.kind = 0 AND e.kind = 1 WINDOW o AS (ORDER BY a.doc_id)),
-pairs AS (
-  SELECT *, len(ac) > 0 AND len(ec) > 0 AS short_e, len(ac) > 0 AND len(xc) > 0 AS short_x FROM sides),
-shared AS (
-  SELECT *, CASE WHEN short_e THEN len(list_intersect(ac, ec)) ELSE len(list_intersect(aw, ew)) END AS same_e,
-         CASE WHEN short_e THEN len(ac) + len(ec) ELSE len(aw) + len(ew) END AS both_e,
-         CASE WHEN short_x THEN len(list_intersect(ac, xc)) ELSE len(list_intersect(aw, xw)) END AS same_x,
-         CASE WHEN short_x THEN len(ac) + len(xc) ELSE len(aw) + len(xw) END AS both_x FROM pairs)
-SELECT doc_id, n_chars::BIGINT AS n_chars, digest AS edited_sha256,
-       array_to_string(aw, ',') || '|' || array_to_string(ac, ',') AS fingerprint,
-       array_to_string(ew, ',') || '|' || array_to_string(ec, ',') AS edited_fingerprint,
-       CASE WHEN aw = ew AND ac = ec THEN 1.0::DOUBLE WHEN both_e > same_e THEN same_e::DOUBLE / (both_e - same_e) ELSE 0.0::DOUBLE END AS near_edited,
-       CASE WHEN aw = xw AND ac = xc THEN 1.0::DOUBLE WHEN both_x > same_x THEN same_x::DOUBLE / (both_x - same_x) ELSE 0.0::DOUBLE END AS near_next
+shared AS (SELECT *, len(list_intersect(f, ef)) AS same_e, len(list_intersect(f, xf)) AS same_x FROM sides)
+SELECT doc_id, n_chars::BIGINT AS n_chars, digest AS edited_sha256, array_to_string(f, ',') AS fingerprint, array_to_string(ef, ',') AS edited_fingerprint,
+       CASE WHEN f = ef THEN 1.0::DOUBLE ELSE same_e::DOUBLE / (len(f) + len(ef) - same_e) END AS near_edited,
+       CASE WHEN f = xf THEN 1.0::DOUBLE ELSE same_x::DOUBLE / (len(f) + len(xf) - same_x) END AS near_next
 FROM shared"""
 
 ORACLES: dict[str, str] = {

@@ -2,102 +2,92 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from folio.functions.text import BLANKS, split_words
-
-WORD_K, WORD_S = 5, 2
-CHAR_K, CHAR_S = 8, 5
-SHORT_CHARS = 400
-"""Texts below this length have anchors of code points besides those of words."""
-
-
-def _range(n: Column) -> Column:
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-
-def closed_runs(inner: Column, edge: int) -> Column:
-    """Starts, from 0, of the runs that are closed syncmers, given the hashes of all inner runs.
-
-    A run holds ``edge + 1`` inner runs and is chosen if the least of their hashes is the first or the last.
-    That depends on the run alone, so equal passages have equal anchors wherever they stand.
+K = 4
+"""Units of a syncmer; its inner runs are single units."""
+PIECE = 3
+"""Code points of a unit at most."""
+HEX = 7
+"""Hexadecimal digits of an anchor's hash."""
+# Code points of scripts that are written without blanks (Thai to Tibetan, Myanmar, Khmer, kana, Han).
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))
+UNIT = (
+    r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in UNSPACED) + rf"]{{1,{PIECE}}}|[^\x09-\x0D\x20]"
+)
+"""A unit: up to ``PIECE`` letters or digits of a run of these, or any other single code point that is no blank."""
+
+
+def closed_runs(units: Column, k: int) -> Column:
+    """Starts, from 0, of the runs of ``k`` units that are closed syncmers: the least of their units, by code points, is the first or the last.
+
+    That depends on the run alone, so equal passages have equal anchors wherever they stand. Units that recur in any order are least
+    at each place of a run equally often, so a run of four is chosen about every other time.
     """
 
     def closed(i: Column) -> Column:
-        ends = F.least(F.get(inner, i), F.get(inner, i + edge))
-        middle = [F.get(inner, i + j) for j in range(1, edge)]
+        ends = F.least(F.get(units, i), F.get(units, i + (k - 1)))
+        middle = [F.get(units, i + j) for j in range(1, k - 1)]
         return ends <= (F.least(*middle) if len(middle) > 1 else middle[0])
 
-    return F.filter(_range(F.size(inner) - edge), closed)
-
-
-def _anchors(chosen: str, hashed, whole: Column, some: Column) -> Column:
-    """Hashes of the chosen runs; of the ``whole`` text where no run is chosen, none where there is nothing."""
-    every = F.transform(chosen, hashed)
-    none = F.array().cast("array<string>")
-    return F.when(F.size(chosen) > 0, every).when(some, F.array(_short(whole))).otherwise(none)
+    n = F.size(units) - (k - 1)
+    return F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), closed)
 
 
 def _short(text: Column) -> Column:
-    return F.substring(F.md5(text), 1, 8)
+    return F.substring(F.md5(text), 1, HEX)
 
 
 def fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """``df`` with ``name``: ``struct<words, chars>``, the sorted distinct anchor hashes of a whole text.
+    """``df`` with ``name``: the sorted distinct anchor hashes of a whole text.
 
-    Anchors are closed syncmers of ``WORD_K`` words over inner runs of ``WORD_S``, and of ``CHAR_K`` code points over
-    ``CHAR_S``; the latter only where the text has fewer than ``SHORT_CHARS`` code points. Texts too short for a run, and
-    those of which none is chosen, have one anchor of all they hold. A function of the text alone; a null text
-    counts as empty and has neither.
+    Anchors are the closed syncmers of ``K`` units. Units are short pieces of words, so a text of few words has
+    several, and single code points of scripts without blanks; pieces begin anew at every blank and mark, so a passage has the
+    same ones wherever it stands. One definition holds for texts of all lengths. Where no run is chosen, there is one anchor
+    of all units. A function of the text alone; a null text counts as empty and, like a blank one, has no anchors.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    pairs = F.size("_w") - (WORD_S - 1)
-    runs = F.slice("_w", 1, F.greatest(pairs, F.lit(0)))
-    for j in range(1, WORD_S):
-        runs = F.zip_with(runs, F.slice("_w", j + 1, F.greatest(pairs, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    letters = F.when(F.length(body) < SHORT_CHARS, F.length(body)).otherwise(F.lit(0))
-    out = df.withColumn("_w", split_words(body, BLANKS)).withColumns({
-        "_wi": F.transform(runs, F.md5),
-        "_ci": F.transform(_range(letters - (CHAR_S - 1)), lambda i: F.md5(F.substring(body, i + 1, F.lit(CHAR_S)))),
-    })
-    out = out.withColumns({"_wc": closed_runs(F.col("_wi"), WORD_K - WORD_S), "_cc": closed_runs(F.col("_ci"), CHAR_K - CHAR_S)})
-    words = _anchors("_wc", lambda i: _short(F.array_join(F.slice("_w", i + 1, WORD_K), " ")), F.array_join("_w", " "), F.size("_w") > 0)
-    chars = _anchors("_cc", lambda i: _short(F.substring(body, i + 1, F.lit(CHAR_K))), body, letters > 0)
-    sorted_set = lambda c: F.array_sort(F.array_distinct(c))
-    return out.withColumn(name, F.struct(sorted_set(words).alias("words"), sorted_set(chars).alias("chars"))).drop(
-        "_w", "_wi", "_ci", "_wc", "_cc"
-    )
+    out = df.withColumn("_u", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(UNIT), F.lit(0)))
+    out = out.withColumn("_c", closed_runs(F.col("_u"), K))
+    hashed = F.transform("_c", lambda i: _short(F.array_join(F.slice("_u", i + 1, K), " ")))
+    whole = F.when(F.size("_u") > 0, F.array(_short(F.array_join("_u", " ")))).otherwise(F.array().cast("array<string>"))
+    return out.withColumn(name, F.array_sort(F.array_distinct(F.when(F.size("_c") > 0, hashed).otherwise(whole)))).drop("_u", "_c")
 
 
 def print_text(fp: str) -> Column:
-    """A fingerprint as one string: word hashes, a bar, character hashes."""
-    return F.concat(F.array_join(f"{fp}.words", ","), F.lit("|"), F.array_join(f"{fp}.chars", ","))
+    """A fingerprint as one string: its hashes, comma-joined."""
+    return F.array_join(fp, ",")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Jaccard likeness of two fingerprints, 0 to 1: of their characters' anchors if both have them, else their words'.
-
-    Equal fingerprints, empty ones too, have 1; an empty and another one have 0.
-    """
-    both = (F.size(f"{a}.chars") > 0) & (F.size(f"{b}.chars") > 0)
+    """Jaccard likeness of two fingerprints, 0 to 1. Equal fingerprints, empty ones too, have 1; an empty and another one have 0."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
-    def jaccard(part: str) -> Column:
-        shared = F.size(F.array_intersect(f"{a}.{part}", f"{b}.{part}"))
-        total = F.size(f"{a}.{part}") + F.size(f"{b}.{part}") - shared
-        return F.when(total > 0, shared / total).otherwise(F.lit(0.0))
 
-    return F.when(F.col(a) == F.col(b), F.lit(1.0)).when(both, jaccard("chars")).otherwise(jaccard("words"))
+def cut_number(key: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are at most ``key``: first among every n-th of them, then among the n that follow, n the root of their number."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(cuts)))
+    rows = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    table = F.transform(F.split(F.lit(";".join(",".join(map(str, r)) for r in rows)), ";"), lambda r: F.split(r, ",").cast("array<bigint>"))
+    heads = F.split(F.lit(",".join(str(r[0]) for r in rows)), ",").cast("array<bigint>")
+    row = F.size(F.filter(heads, lambda c: c <= key)) - 1
+    return F.when(row < 0, F.lit(0)).otherwise(row * step + F.size(F.filter(F.get(table, row), lambda c: c <= key)))
 
 
-def in_ranges(df: DataFrame, id_col: str, tie: Column, rows_per_bucket: int = 1000, most_buckets: int = 8192) -> tuple[DataFrame, WindowSpec]:
+def in_ranges(df: DataFrame, id_col: str, tie: Column, rows_per_bucket: int = 1000, most_buckets: int = 1 << 16) -> tuple[DataFrame, WindowSpec]:
     """``df`` dealt by ranges of the id, and the window in which each row's follower is the next row.
 
     Ranges are cut at ids that an approximate quantile finds in the table. The first row of a range is sent to
     the range before as well, and the first of all to the last, so each range has all it needs; any
     cuts give the same result. These additional rows have ``_extra`` 1 and must be dropped after the window.
     A null id comes first; rows that repeat an id follow each other by ``tie``. Only ``df``'s columns, ``_extra`` and
-    what the window needs are added: ``_bucket``, ``_wrap``, ``_key``, ``_tie``.
+    what the window needs are added: ``_bucket``, ``_wrap``, ``_key``, ``_tie``. More than ``most_buckets`` times
+    ``rows_per_bucket`` rows make ranges longer; they are sorted with spilling, never held.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))
     df = df.withColumn("_key", key).withColumn("_tie", tie)
@@ -108,13 +98,13 @@ def in_ranges(df: DataFrame, id_col: str, tie: Column, rows_per_bucket: int = 10
         steps = [i / buckets for i in range(1, buckets)]
         found = df.agg(F.percentile_approx("_key", steps, 100_000).alias("c")).first()["c"]
         cuts = sorted({c for c in found if c > low})
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    df = df.withColumn("_own", F.size(F.filter(bounds, lambda b: b <= F.col("_key"))))
+    first = df.withColumn("_own", cut_number(F.col("_key"), cuts))
     cell = lambda bucket, wrap, extra: F.struct(bucket.alias("_bucket"), F.lit(wrap).alias("_wrap"), F.lit(extra).alias("_extra"))
     nothing = F.array().cast("array<struct<_bucket:int,_wrap:int,_extra:int>>")
-    ahead = F.when(F.array_contains(bounds, F.col("_key")), F.array(cell(F.col("_own") - 1, 0, 1))).otherwise(nothing)
+    at_cut = (F.col("_own") > 0) & (cut_number(F.col("_key") - 1, cuts) < F.col("_own"))
+    ahead = F.when(at_cut, F.array(cell(F.col("_own") - 1, 0, 1))).otherwise(nothing)
     around = F.when(F.col("_key") == F.lit(low), F.array(cell(F.lit(len(cuts)), 1, 1))).otherwise(nothing)
-    dealt = df.select("*", F.inline(F.concat(F.array(cell(F.col("_own"), 0, 0)), ahead, around))).drop("_own")
+    dealt = first.select("*", F.inline(F.concat(F.array(cell(F.col("_own"), 0, 0)), ahead, around))).drop("_own")
     return dealt, Window.partitionBy("_bucket").orderBy("_wrap", "_key", "_tie")
 
 

@@ -368,21 +368,23 @@ def test_one_representative_of_every_class(spark):
 # syncmers
 
 
-def brute_syncmers(units, k, s, glue):
-    h = lambda x: hashlib.md5(glue.join(x).encode()).hexdigest()
-    out = []
-    for i in range(len(units) - k + 1):
-        inner = [h(units[i + j : i + j + s]) for j in range(k - s + 1)]
-        if min(inner) in (inner[0], inner[-1]):
-            out.append(h(units[i : i + k])[:8])
-    return out or ([h(units)[:8]] if units else [])
-
-
-def brute_fingerprint(text):
-    words = [x for x in re.split(r"[ \t-\r]+", text) if x]
-    chars = list(text) if len(text) < syncmers.SHORT_CHARS else []
-    part = lambda *a: ",".join(sorted(set(brute_syncmers(*a))))
-    return part(words, syncmers.WORD_K, syncmers.WORD_S, " ") + "|" + part(chars, syncmers.CHAR_K, syncmers.CHAR_S, "")
+def brute_fingerprint(text, k=4):
+    unspaced = lambda c: any(a <= ord(c) <= b for a, b in syncmers.UNSPACED)
+    units, run = [], ""
+    for c in text:
+        piece = not unspaced(c) and (ord(c) > 127 or c.isalnum())
+        if run and (not piece or len(run) == 3):
+            units.append(run)
+            run = ""
+        if piece:
+            run += c
+        elif c not in " \t\n\x0b\x0c\r":
+            units.append(c)
+    units += [run] if run else []
+    h = lambda x: hashlib.md5(" ".join(x).encode()).hexdigest()[:7]
+    runs = [units[i : i + k] for i in range(len(units) - k + 1)]
+    chosen = {h(r) for r in runs if min(r) in (r[0], r[-1])}
+    return ",".join(sorted(chosen or ({h(units)} if units else set())))
 
 
 def test_syncmer_query_equals_sql(spark):
@@ -415,6 +417,22 @@ def test_syncmer_next_over_many_ranges(spark):
     assert got["next"].tolist() == texts[1:] + texts[:1]
 
 
+def test_syncmer_fingerprints_of_odd_texts(spark):
+    rng = random.Random(6)
+    chars = ["a", "b", "Z", "9", " ", "\t", "\x0b", "\x1f", "é", "中", "文", "か", "ก", "_", "-", "\u00a0", "😀", "𠀀"]
+    texts = ["".join(rng.choices(chars, k=rng.randrange(0, 60))) for _ in range(300)] + ["中文" * 700, "ab" * 30000, "x y " * 20000]
+    rows = documents(spark, [(k, t, "s") for k, t in enumerate(texts)])
+    got = {r["doc_id"]: r["p"] for r in syncmers.fingerprint(rows, "text", "fp").select("doc_id", syncmers.print_text("fp").alias("p")).collect()}
+    assert got == {k: brute_fingerprint(t) for k, t in enumerate(texts)}
+
+
+def test_syncmers_tell_edited_texts_from_others(spark):
+    got = queries.op7_syncmer_fingerprints(spark, LARGER).toPandas()
+    long = got[got["n_chars"] >= 40]
+    assert (long["near_edited"] > 0.3).mean() > 0.97 and (got["near_edited"] >= got["near_next"]).mean() > 0.97
+    assert long["near_edited"].median() > 0.5 and got["near_next"].median() < 0.2
+
+
 def test_syncmer_edge_cases(spark):
     rows = documents(spark, [(1, None, "s"), (None, "", "s"), (2, "abc", "s"), (2, "abc", "s"), (3, "\U0001f600" * 9, "s")])
     got = syncmers.fingerprints(rows.withColumn("fp", F.lit(1)))
@@ -424,6 +442,14 @@ def test_syncmer_edge_cases(spark):
     assert one["edited"] == "abcdefab"
 
 
+def test_cut_number(spark):
+    rng = random.Random(8)
+    for n in (0, 1, 2, 7, 100):
+        cuts = sorted(rng.sample(range(-1000, 1000), n))
+        got = spark.range(-1005, 1005).select("id", syncmers.cut_number(F.col("id"), cuts).alias("n")).collect()
+        assert [r["n"] for r in got] == [sum(c <= r["id"] for c in cuts) for r in got]
+
+
 # secrets
 
 
