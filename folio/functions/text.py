@@ -18,8 +18,8 @@ def split_words(text: Column, separators: str) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{separators}+"), "")
 
 
-BLANKS = r"[ \t-\r]"
-"""Space and the control characters U+0009 to U+000D."""
+BLANKS = r"[ \t\n\x0B\f\r]"
+"""Space and the control characters U+0009 to U+000D. Named one by one: Java looks such classes up in a table and walks through ranges."""
 
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+NOT_WORD = "[" + "".join(rf"\x{c:02X}" for c in range(128) if not (chr(c).isdigit() or chr(c).islower())) + "]"
 """ASCII that is neither digit nor lower-case letter; all beyond ASCII belongs to words."""
