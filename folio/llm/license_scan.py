@@ -101,7 +101,7 @@ RULES = [
 ABBREVIATIONS = ("v", "vs", "no", "inc", "ltd", "corp", "e.g", "i.e")
 COMMENT_MARK = r"(?m)^[ \t]*(?:(?:#|//|/?\*|--|;|%|<!--|\"|')+(?:[*/>-]*[ \t]+|$))"
 LIST_MARK = r"\r?\n[ \t]*(?=(?:[*•-]|[(]?(?:[0-9]{1,2}|[a-z])[.)])[ \t])"
-END = "".join(rf"(?<!\b{a.replace('.', '[.]')}[.])" for a in ABBREVIATIONS) + r"(?<=[.!?])[ \t-\r]+"
+END = "".join(rf"(?<!\b{a.replace('.', '[.]')}[.])" for a in ABBREVIATIONS) + r"(?<=[.!?])[ \t\n\x0B\f\r]+"
 BREAK = rf"{END}|(?:\r?\n[ \t]*){{2,}}|{LIST_MARK}"
 LINE_ENDS = r"[\n\r]+"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from folio.llm.syncmers import UNIT
+
 OP2 = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -83,7 +85,7 @@ edits AS (
   SELECT doc_id, t, substring(t, 1, length(t) - length(t) // 4) || substring(nx, 1, length(t) // 4) AS ed FROM followed),
 bodies AS (SELECT doc_id, 0 AS kind, t AS b FROM edits UNION ALL SELECT doc_id, 1, ed FROM edits),
 units AS (
-  SELECT *, regexp_extract_all(b, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\x{E00}-\x{FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]{1,3}|[^\x09-\x0D\x20]') AS u FROM bodies),
+  SELECT *, regexp_extract_all(b, 'UNIT') AS u FROM bodies),
 chosen AS (
   SELECT *, list_filter(range(1, greatest(len(u) - 2, 1)), lambda i: least(u[i], u[i + 3]) <= least(u[i + 1], u[i + 2])) AS c FROM units),
 prints AS (
@@ -99,6 +101,8 @@ SELECT doc_id, n_chars::BIGINT AS n_chars, digest AS edited_sha256, array_to_str
        CASE WHEN f = xf THEN 1.0::DOUBLE ELSE same_x::DOUBLE / (len(f) + len(xf) - same_x) END AS near_next
 FROM shared"""
 
+OP7 = OP7.replace("UNIT", UNIT)
+
 ORACLES: dict[str, str] = {
     "op2_decontamination": OP2,
     "op6_source_mixing": OP6,

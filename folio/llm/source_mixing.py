@@ -31,7 +31,7 @@ class MixPolicy:
 
 def word_sizes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``size``: the number of runs free of ASCII white space; null has none."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count(text_col, F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long"))
+    return docs.withColumn("size", F.coalesce(F.regexp_count(text_col, F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0)).cast("long"))
 
 
 def _numbered(own: DataFrame) -> DataFrame:

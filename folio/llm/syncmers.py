@@ -13,28 +13,27 @@ PIECE = 3
 """Code points of a unit at most."""
 HEX = 7
 """Hexadecimal digits of an anchor's hash."""
-# Code points of scripts that are written without blanks (Thai to Tibetan, Myanmar, Khmer, kana, Han).
-UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))
-UNIT = (
-    r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in UNSPACED) + rf"]{{1,{PIECE}}}|[^\x09-\x0D\x20]"
-)
-"""A unit: up to ``PIECE`` letters or digits of a run of these, or any other single code point that is no blank."""
+UNIT = "[^" + "".join(rf"\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + rf"\x{{E00}}-\x{{10FFFF}}]{{1,{PIECE}}}|[^\x09\x0A\x0B\x0C\x0D\x20]"
+"""A unit: up to ``PIECE`` letters or digits of a run of these, or any other single code point that is no blank.
+
+Letters and digits are those of ASCII and all from U+0080 to U+0DFF. The scripts beyond, most of which write no blanks or write syllables, give single code points.
+"""
 
 
 def closed_runs(units: Column, k: int) -> Column:
-    """Starts, from 0, of the runs of ``k`` units that are closed syncmers: the least of their units, by code points, is the first or the last.
+    """The runs of ``k`` units, as structs, that are closed syncmers: the least of their units, by code points, is the first or the last.
 
     That depends on the run alone, so equal passages have equal anchors wherever they stand. Units that recur in any order are least
     at each place of a run equally often, so a run of four is chosen about every other time.
     """
+    n = F.greatest(F.size(units) - (k - 1), F.lit(0))
+    runs = F.arrays_zip(*[F.slice(units, i + 1, n).alias(f"u{i}") for i in range(k)])
 
-    def closed(i: Column) -> Column:
-        ends = F.least(F.get(units, i), F.get(units, i + (k - 1)))
-        middle = [F.get(units, i + j) for j in range(1, k - 1)]
-        return ends <= (F.least(*middle) if len(middle) > 1 else middle[0])
+    def closed(run: Column) -> Column:
+        middle = [run[f"u{i}"] for i in range(1, k - 1)]
+        return F.least(run["u0"], run[f"u{k - 1}"]) <= (F.least(*middle) if len(middle) > 1 else middle[0])
 
-    n = F.size(units) - (k - 1)
-    return F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), closed)
+    return F.filter(runs, closed)
 
 
 def _short(text: Column) -> Column:
@@ -51,9 +50,9 @@ def fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """
     out = df.withColumn("_u", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(UNIT), F.lit(0)))
     out = out.withColumn("_c", closed_runs(F.col("_u"), K))
-    hashed = F.transform("_c", lambda i: _short(F.array_join(F.slice("_u", i + 1, K), " ")))
+    hashed = F.transform("_c", lambda run: _short(F.concat_ws(" ", *[run[f"u{i}"] for i in range(K)])))
     whole = F.when(F.size("_u") > 0, F.array(_short(F.array_join("_u", " ")))).otherwise(F.array().cast("array<string>"))
-    return out.withColumn(name, F.array_sort(F.array_distinct(F.when(F.size("_c") > 0, hashed).otherwise(whole)))).drop("_u", "_c")
+    return out.withColumn(name, F.sort_array(F.array_distinct(F.when(F.size("_c") > 0, hashed).otherwise(whole)))).drop("_u", "_c")
 
 
 def print_text(fp: str) -> Column:
