@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.plans.lineage import store
+from folio.plans.sizes import split_join
 
 KINDS = ("assign", "access", "hex", "token")
 """In the order in which spans that start together are listed."""
@@ -93,12 +94,16 @@ def secrets(
     A value seen under one owner is ``live``, under ``copied`` or more owners an ``example`` that is widely copied,
     between them ``shared``. Base spans are reported whatever the verdict; ``token`` spans only while they are
     ``live``. ``spans`` is ``array<struct<kind,start,end,value,n_repos,n_owners,verdict>>`` by start and kind, empty
-    where nothing was found. Null and empty texts have none. Texts are read once.
+    where nothing was found. Null and empty texts have none. Texts are read once. Values of a single document need no owners
+    looked up; those that very many documents hold meet theirs in a broadcast join.
     """
     found = store(scan(docs, id_col, text_col, repo_col, owner_col).withColumn("_row", F.monotonically_increasing_id()), "secrets")
-    owned = ownership(found)
+    shared = store(ownership(found).where("n_docs > 1"), "owners")
     spans = found.where(F.size("spans") > 0).select("_row", F.explode("spans").alias("s")).select("_row", "s.*")
-    judged = spans.join(owned, "value").withColumn(
+    owned = split_join(spans, shared, ["value"], "n_docs", "left")
+    one = F.lit(1).cast("long")
+    owned = owned.withColumns({c: F.coalesce(c, one) for c in ("n_repos", "n_owners")})
+    judged = owned.withColumn(
         "verdict", F.when(F.col("n_owners") == 1, "live").when(F.col("n_owners") >= copied, "example").otherwise("shared")
     )
     judged = judged.where((F.col("kind") != "token") | (F.col("verdict") == "live"))

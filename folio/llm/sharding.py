@@ -57,7 +57,7 @@ def assign_shards(df: DataFrame, key_col: str, shards: int, rows_per_bucket: int
     Only the key and the shard count decide the shard, so equal keys share one and a further
     shard takes rows only into itself. Slots count from 0 without gaps in each shard, in the
     order of a hash bucket of the key and then of the key; rows that repeat a key are ordered
-    by their remaining columns. Buckets grow with the table (one count is read first), so no
+    by their remaining columns, maps aside. Buckets grow with the table (one count is read first), so no
     task numbers much more than ``rows_per_bucket`` rows. Columns of these three names that
     ``df`` already has are replaced. A null key goes where 0 goes.
     """
@@ -66,7 +66,7 @@ def assign_shards(df: DataFrame, key_col: str, shards: int, rows_per_bucket: int
     placed = df.withColumn("shard", shard_of(key, shards)).withColumn("grown_shard", shard_of(key, shards + 1))
     buckets = max(1, -(-df.count() // (rows_per_bucket * shards)))
     bucket = F.pmod(F.xxhash64(key_col), F.lit(buckets))
-    order = [key_col] + [c for c, k in df.dtypes if c != key_col and k in ("bigint", "int", "string")]
+    order = [key_col] + [c for c, k in df.dtypes if c != key_col and "map<" not in k and k != "variant"]
     return running_total(placed, ["shard"], bucket, order, F.lit(1).cast("long"), "slot")
 
 

@@ -11,16 +11,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions.names import free_name
 from folio.llm.quality_ranking import descend
 from folio.llm.training_rows import PER_CLASS, held_out, labelled_sample
 
 WORD = re.compile(r"[^\W_]+")
 STEMS = (3, 4, 5, 6)
 """Lengths of the word beginnings that are features besides the word itself."""
-CHAIN = 64
-"""Tokens of one chain: a text is tagged in consecutive chains of so many."""
+BLOCK = 64
+"""Tokens that are worked through one after the other; blocks of a text pass messages on, so its marginals are those of one chain."""
 NEAR = 8
-"""Words on either side of a labelled word that a training window holds."""
+"""Words on either side of a marked word that a training window holds."""
+LONGEST_WINDOW = 128
+"""Words of a training window at most; longer ones are cut."""
+UNKNOWN = -1
+"""Label of a training word that may be toxic or not."""
+SURE = 30.0
+"""Log odds that stand for certainty."""
 FAINT = 0.05
 """Marginals below this add nothing to a document's score, however many there are."""
 CACHED_WORDS = 500_000
@@ -73,6 +80,54 @@ def chain_marginals(emit: np.ndarray, mask: np.ndarray, move: np.ndarray, start:
     return p * mask, moves, starts, float(np.log(scale).sum())
 
 
+def whole_marginals(emit: np.ndarray, mask: np.ndarray, heads: np.ndarray, move: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Marginals of state 1 for chains of any length that lie in consecutive rows of ``emit``, each beginning at a row of ``heads``.
+
+    Rows are worked through together: first the product of every row's transfer matrices, then the messages that enter the rows of
+    each chain from either side, then all steps inside the rows. The result is that of forward-backward over each chain as a whole.
+    """
+    n, steps = emit.shape
+    turn, begin = np.exp(move), np.exp(start)
+    hot = np.exp(np.clip(emit, -SURE, SURE))
+
+    def step(t: int) -> np.ndarray:
+        """Transfer matrices (2 x 2 x rows) into step ``t``; a chain's first forgets what came before. Steps that a row lacks change nothing."""
+        m = np.empty((2, 2, n))
+        for i in (0, 1):
+            m[i, 0], m[i, 1] = turn[i, 0], turn[i, 1] * hot[:, t]
+            if not t:
+                m[i, 0], m[i, 1] = np.where(heads, begin[0], m[i, 0]), np.where(heads, begin[1] * hot[:, t], m[i, 1])
+        return np.where(mask[:, t], m, np.eye(2)[:, :, None])
+
+    product = np.repeat(np.eye(2)[:, :, None], n, axis=2)
+    for t in range(steps):
+        product = np.einsum("ikn,kjn->ijn", product, step(t))
+        product /= product.sum((0, 1))
+    first = np.flatnonzero(heads)
+    place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+    levels = np.split(np.argsort(place, kind="stable"), np.cumsum(np.bincount(place))[:-1])
+    ahead, behind = np.zeros((2, n)), np.ones((2, n))
+    ahead[0, first] = 1.0
+    for rows in levels[1:]:
+        m = np.einsum("in,ijn->jn", ahead[:, rows - 1], product[:, :, rows - 1])
+        ahead[:, rows] = m / m.sum(0)
+    for rows in reversed(levels[1:]):
+        m = np.einsum("ijn,jn->in", product[:, :, rows], behind[:, rows])
+        behind[:, rows - 1] = m / m.sum(0)
+    seen = np.empty((steps, 2, n))
+    for t in range(steps):
+        ahead = np.einsum("in,ijn->jn", ahead, step(t))
+        ahead /= ahead.sum(0)
+        seen[t] = ahead
+    p = np.zeros((n, steps))
+    for t in range(steps - 1, -1, -1):
+        here = seen[t] * behind
+        p[:, t] = here[1] / here.sum(0)
+        behind = np.einsum("ijn,jn->in", step(t), behind)
+        behind /= behind.sum(0)
+    return p * mask
+
+
 @dataclass(frozen=True)
 class ToxicModel:
     """Feature weights of the toxic state, transition scores, and the calibration of document scores."""
@@ -100,23 +155,24 @@ class ToxicModel:
                     e = cache[x] = self.emission(x.lower())
                 emit.append(e)
         sizes = np.array([len(w) for w in words], dtype=np.int64)
-        chains = -(-sizes // CHAIN)
         begin = np.concatenate([[0], np.cumsum(sizes)])
         if not len(emit):
             return words, np.zeros(0), begin
-        first = np.concatenate([[0], np.cumsum(chains)])[:-1] * CHAIN
-        slot = np.repeat(first - begin[:-1], sizes) + np.arange(len(emit))
-        grid, mask = np.zeros(chains.sum() * CHAIN), np.zeros(chains.sum() * CHAIN, dtype=bool)
+        rows = -(-sizes // BLOCK)
+        first = np.concatenate([[0], np.cumsum(rows)])[:-1]
+        slot = np.repeat(first * BLOCK - begin[:-1], sizes) + np.arange(len(emit))
+        grid, mask = np.zeros(rows.sum() * BLOCK), np.zeros(rows.sum() * BLOCK, dtype=bool)
         grid[slot], mask[slot] = emit, True
-        p, *_ = chain_marginals(grid.reshape(-1, CHAIN), mask.reshape(-1, CHAIN), self.move, self.start, expect=False)
+        heads = np.zeros(rows.sum(), dtype=bool)
+        heads[first[sizes > 0]] = True
+        p = whole_marginals(grid.reshape(-1, BLOCK), mask.reshape(-1, BLOCK), heads, self.move, self.start)
         return words, p.ravel()[slot], begin
 
-    def summaries(self, texts: list[str | None], cache: dict[str, float] | None = None) -> np.ndarray:
-        """Per text: log of one plus the evidence, the greatest marginal, log of one plus the tagged words.
+    def summaries(self, p: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Per text of a ``tag`` result: log of one plus the evidence, the greatest marginal, log of one plus the tagged words.
 
         Evidence is the sum of ``-log(1 - p)``, so it says how sure it is that any word is toxic.
         """
-        _, p, begin = self.tag(texts, cache)
         clear = np.where(p >= FAINT, -np.log(np.maximum(1 - p, 1e-4)), 0.0)
         total = np.concatenate([[0.0], np.cumsum(clear)])
         tagged = np.concatenate([[0], np.cumsum(p >= 0.5)])
@@ -128,9 +184,8 @@ class ToxicModel:
         z = self.calibration[0] + summary @ self.calibration[1:]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def spans(self, texts: list[str | None], least: float = 0.5) -> list[list[dict]]:
-        """``{start, end, p}`` of the words tagged toxic, in code points; a run of tagged words is one span."""
-        words, p, begin = self.tag(texts)
+    def spans(self, texts: list[str | None], p: np.ndarray, begin: np.ndarray, least: float = 0.5) -> list[list[dict]]:
+        """``{start, end, p}`` of the words tagged toxic in ``tag``'s result, in code points; a run of tagged words is one span."""
         out = []
         for k, text in enumerate(texts):
             own = p[begin[k] : begin[k + 1]]
@@ -180,7 +235,11 @@ def choose_lexicon(documents: list[list[str]], least: int, common: float = 0.03)
 
 
 def fit_chain(windows: list[list[str]], labels: list[list[int]], features: list[str], ridge: float = 1e-4, steps: int = 250) -> ToxicModel:
-    """Conditional likelihood of labelled word windows, maximised by Adam over all windows at once."""
+    """Conditional likelihood of labelled word windows, maximised by Adam over all windows at once.
+
+    ``UNKNOWN`` labels are summed over: what the model expects of moves and states is held against what it expects given the known
+    labels, so features that no labelled toxic word has can gain weight from the words they stand beside.
+    """
     at = {f: i for i, f in enumerate(features)}
     n, longest = len(windows), max(map(len, windows))
     mask, y = np.zeros((n, longest), dtype=bool), np.zeros((n, longest))
@@ -194,21 +253,17 @@ def fit_chain(windows: list[list[str]], labels: list[list[int]], features: list[
                     tokens.append(k * longest + t)
                     held.append(at[f])
     tokens, held = np.array(tokens, dtype=np.int64), np.array(held, dtype=np.int64)
-    seen_moves = np.zeros((2, 2))
-    both = mask[:, 1:]
-    for i in (0, 1):
-        for j in (0, 1):
-            seen_moves[i, j] = ((y[:, :-1] == i) & (y[:, 1:] == j) & both).sum()
-    seen_start = np.array([(y[:, 0] == 0).sum(), (y[:, 0] == 1).sum()], dtype=float)
+    known = np.where(y == UNKNOWN, 0.0, np.where(y == 1, SURE, -SURE))
     d = len(features)
     theta, m, v = np.zeros(d + 7), np.zeros(d + 7), np.zeros(d + 7)
     for step in range(1, steps + 1):
         emit = np.bincount(tokens, weights=theta[held], minlength=n * longest).reshape(n, longest) + theta[d]
         p, moves, starts, _ = chain_marginals(emit, mask, theta[d + 1 : d + 5].reshape(2, 2), theta[d + 5 :])
-        off = (p - y * mask).ravel()
+        q, seen_moves, seen_starts, _ = chain_marginals(emit + known, mask, theta[d + 1 : d + 5].reshape(2, 2), theta[d + 5 :])
+        off = (p - q).ravel()
         g = np.concatenate([
             np.bincount(held, weights=off[tokens], minlength=d), [off.sum()],
-            (moves - seen_moves).ravel(), starts - seen_start,
+            (moves - seen_moves).ravel(), starts - seen_starts,
         ]) / n + ridge * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -219,7 +274,7 @@ def candidate_features(sample: DataFrame, toxic: int, clean: int, precision: flo
     """Features that at least 0.4 % of the toxic sample texts hold and that point at toxic texts with ``precision``.
 
     Counted by texts over the sample, classes weighing the same; the distinct features of a text are exploded and
-    counted with map-side combining. At most 5,000 features, those in most toxic texts, come back.
+    counted with map-side combining. All that qualify come back: at most 250 for each feature that a toxic text has on average.
     """
 
     @F.pandas_udf("array<string>")
@@ -230,16 +285,16 @@ def candidate_features(sample: DataFrame, toxic: int, clean: int, precision: flo
     tally = held.groupBy("f").agg(F.sum("_label").alias("bad"), F.sum(1 - F.col("_label")).alias("good"))
     share = (F.col("bad") / toxic) / (F.col("bad") / toxic + F.col("good") / clean)
     least = max(3, int(0.004 * toxic))
-    kept = tally.where((F.col("bad") >= least) & (share >= precision)).orderBy(F.desc("bad"), "f").limit(5000)
-    return [r["f"] for r in kept.collect()]
+    kept = tally.where((F.col("bad") >= least) & (share >= precision))
+    return sorted(r["f"] for r in kept.select("f").collect())
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> ToxicModel:
     """Fit on a bounded labelled sample; without both classes the model finds nothing.
 
     Documents carry labels, words do not: words that hold a feature of the lexicon are labelled toxic in toxic
-    documents and clean in clean ones. The chain is fitted on windows around such words (up to three a text)
-    and one window of every text; document scores by logistic loss on the marginals' summaries, each
+    documents, those that hold another candidate feature are left open, all others and those of clean documents are clean. The
+    chain is fitted over all candidate features, on windows around such words and one window of every text; document scores by logistic loss on the marginals' summaries, each
     sampled row weighing as many as its class has rows for it.
     """
     sample, counts = labelled_sample(docs, labels, label_col, id_col, text_col, per_class)
@@ -260,29 +315,37 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         if not lexicon:
             return ToxicModel()
         chosen = frozenset(lexicon)
+        features = sorted(known_set | chosen)
 
         @F.pandas_udf("array<struct<words:array<string>,labels:array<int>>>")
         def windows(texts: pd.Series, marks: pd.Series) -> pd.Series:
             out = []
             for t, mark in zip(texts, marks, strict=True):
                 ws = WORD.findall(t.lower() if t else "")
-                held_at = [i for i, w in enumerate(ws) if not chosen.isdisjoint(word_features(w))]
-                ys = [0] * len(ws)
-                for i in held_at:
-                    ys[i] = int(mark)
-                hits = held_at[:3]
-                middles = [*hits, len(ws) // 2] if ws else []
-                out.append([{"words": ws[max(0, i - NEAR) : i + NEAR + 1], "labels": ys[max(0, i - NEAR) : i + NEAR + 1]} for i in middles])
+                held_at, ys = [], [0] * len(ws)
+                for i, w in enumerate(ws):
+                    own = word_features(w)
+                    if not known_set.isdisjoint(own):
+                        held_at.append(i)
+                        ys[i] = 0 if not mark else 1 if not chosen.isdisjoint(own) else UNKNOWN
+                cuts: list[list[int]] = []
+                for i in sorted([*held_at, len(ws) // 2]) if ws else []:
+                    a, b = max(0, i - NEAR), min(len(ws), i + NEAR + 1)
+                    if cuts and a <= cuts[-1][1] and b - cuts[-1][0] <= LONGEST_WINDOW:
+                        cuts[-1][1] = b
+                    else:
+                        cuts.append([max(a, cuts[-1][1]) if cuts else a, b])
+                out.append([{"words": ws[a:b], "labels": ys[a:b]} for a, b in cuts if b > a])
             return pd.Series(out, dtype=object)
 
         cut = sample.select("_id", F.explode(windows("_text", "_label")).alias("w")).select("_id", "w.words", "w.labels")
         got = cut.toPandas()
         got = got.assign(k=got["words"].map(" ".join)).sort_values(["_id", "k"], kind="stable")
-        chain = fit_chain([list(w) for w in got["words"]], [list(y) for y in got["labels"]], lexicon)
+        chain = fit_chain([list(w) for w in got["words"]], [list(y) for y in got["labels"]], features)
 
         @F.pandas_udf("array<double>")
         def summed(texts: pd.Series) -> pd.Series:
-            return pd.Series(chain.summaries(list(texts)).tolist(), dtype=object)
+            return pd.Series(chain.summaries(*chain.tag(list(texts))[1:]).tolist(), dtype=object)
 
         rows = sample.select("_id", "_label", summed("_text").alias("x")).toPandas().sort_values("_id", kind="stable")
         x = np.hstack([np.ones((len(rows), 1)), np.array(rows["x"].tolist())])
@@ -308,16 +371,13 @@ def tag_documents(docs: DataFrame, model: ToxicModel, text_col: str = "text") ->
             scores, spans = [], []
             for at in range(0, len(texts), 500):
                 part = list(texts.iloc[at : at + 500])
-                summary = model.summaries(part, cache)
-                scores += model.document_scores(summary).tolist()
-                hot = [k for k in range(len(part)) if summary[k, 1] >= 0.5]
-                found = dict(zip(hot, model.spans([part[k] for k in hot]), strict=True))
-                spans += [found.get(k, []) for k in range(len(part))]
+                _, p, begin = model.tag(part, cache)
+                scores += model.document_scores(model.summaries(p, begin)).tolist()
+                spans += model.spans(part, p, begin)
             yield pd.DataFrame({"score": pd.Series(scores, dtype=float), "spans": pd.Series(spans, dtype=object)})
 
-    return docs.withColumn("_tagged", tagged(F.col(text_col))).withColumns(
-        {"score": F.col("_tagged.score"), "spans": F.col("_tagged.spans")}
-    ).drop("_tagged")
+    name = free_name(docs.columns, "tagged")
+    return docs.withColumn(name, tagged(F.col(text_col))).withColumns({"score": F.col(f"{name}.score"), "spans": F.col(f"{name}.spans")}).drop(name)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

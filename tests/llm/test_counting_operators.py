@@ -189,6 +189,8 @@ def test_sharding_edge_cases(spark):
     assert got.count() == 5
     for _, own in got.toPandas().groupby("shard"):
         assert sorted(own["slot"]) == list(range(len(own)))
+    kept = sharding.assign_shards(documents(spark, [(1, "w " * 300_000, "s"), (2, "x", "s")]).withColumn("_bucket", F.col("doc_id") + 70), "doc_id", 3)
+    assert sorted((r["doc_id"], r["_bucket"]) for r in kept.select("doc_id", "_bucket").collect()) == [(1, 71), (2, 72)]
     assert sharding.assign_shards(documents(spark, []), "doc_id", 3).count() == 0
     with pytest.raises(ValueError):
         sharding.assign_shards(rows, "doc_id", 0)
@@ -491,6 +493,15 @@ def test_secret_ownership(spark):
     assert secret_scan.secrets(documents(spark, [])).count() == 0
 
 
+def test_secrets_that_most_documents_hold(spark):
+    own = "Zq7" + "aB3x" * 8
+    rows = [(k, f"x {own}{k} password=common123" + (" y" * 100_000 if k == 3 else ""), "abc"[k % 3]) for k in range(60)]
+    docs = documents(spark, rows).withColumn("spans", F.lit(1)).withColumn("value", F.lit("v")).withColumn("_row", F.lit(0)).withColumn("n_docs", F.lit(9))
+    whole = secret_scan.secrets(docs).collect()
+    assert {tuple((s["kind"], s["verdict"]) for s in r["spans"]) for r in whole} == {(("token", "live"), ("assign", "example"))}
+    assert len(whole) == 60
+
+
 def test_canonical_orders_rows():
     import pandas as pd
 

@@ -50,6 +50,69 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(p[0], each / total) and np.isclose(z, np.log(total)) and np.isclose(moves.sum(), 3) and np.isclose(starts.sum(), 1)
 
 
+def test_whole_texts_are_one_chain(spark):
+    rng = np.random.default_rng(2)
+    move, start = rng.normal(size=(2, 2)) * 2, rng.normal(size=2)
+    model = toxic_spans.ToxicModel({"bad": 3.0, "worse": 5.0}, -2.0, move, start)
+    texts = [" ".join(rng.choice(["bad", "worse", "fine", "ok"], size=n)) for n in (0, 1, 63, 64, 65, 128, 500, 20_000)] + [None, ""]
+    words, p, begin = model.tag(texts)
+    for k, text in enumerate(texts):
+        own = p[begin[k] : begin[k + 1]]
+        ws = (text or "").split()
+        assert words[k] == ws and len(own) == len(ws)
+        if not ws:
+            continue
+        e = np.array([[0.0, model.emission(w)] for w in ws])
+        a, b = np.zeros((len(ws), 2)), np.zeros((len(ws), 2))
+        a[0] = start + e[0]
+        for t in range(1, len(ws)):
+            a[t] = np.logaddexp(a[t - 1][0] + move[0], a[t - 1][1] + move[1]) + e[t]
+        for t in range(len(ws) - 2, -1, -1):
+            b[t] = np.logaddexp(*(move[:, j] + e[t + 1][j] + b[t + 1][j] for j in (0, 1)))
+        log = a + b
+        assert np.allclose(own, np.exp(log[:, 1] - np.logaddexp(log[:, 0], log[:, 1])), atol=1e-9)
+
+
+def test_fitted_chain_is_at_an_optimum():
+    windows = [["kind", "bad", "word"], ["bad", "bad"], ["kind", "word"], ["odd", "bad"], ["word"]]
+    labels = [[0, 1, 0], [1, 1], [0, 0], [toxic_spans.UNKNOWN, 1], [0]]
+    features = ["bad", "odd", "kind"]
+    model = toxic_spans.fit_chain(windows, labels, features, ridge=1e-2, steps=4000)
+
+    def loss(theta):
+        weights, bias, move, start = dict(zip(features, theta[:3], strict=True)), theta[3], theta[4:8].reshape(2, 2), theta[8:]
+        out = 0.0
+        for ws, ys in zip(windows, labels, strict=True):
+            score = lambda path: start[path[0]] + sum(weights.get(w, 0.0) * s + bias * s for w, s in zip(ws, path, strict=True)) + sum(move[a, b] for a, b in zip(path, path[1:], strict=False))  # noqa: B023, E731
+            every = list(np.ndindex(*[2] * len(ws)))
+            held = [p for p in every if all(y in (toxic_spans.UNKNOWN, s) for y, s in zip(ys, p, strict=True))]
+            out += np.logaddexp.reduce([score(p) for p in every]) - np.logaddexp.reduce([score(p) for p in held])
+        return out / len(windows) + 0.5e-2 * theta @ theta
+
+    theta = np.array([*[model.weights[f] for f in features], model.bias, *model.move.ravel(), *model.start])
+    for k in range(len(theta)):
+        bump = np.zeros(len(theta))
+        bump[k] = 1e-4
+        assert abs(loss(theta + bump) - loss(theta - bump)) / 2e-4 < 2e-3
+
+
+def test_quality_fit_is_at_an_optimum_and_ties_agree():
+    rng = np.random.default_rng(1)
+    rows = np.vstack([rng.normal(size=(30, 4)) + 0.7, rng.normal(size=(30, 4))])
+    labels = np.repeat([1, 0], 30)
+    model = quality_ranking.fit(rows, labels, {0: 300, 1: 30}, pairs=500, ridge=1.0)
+    x = quality_ranking.expand(rows, model.mean, model.scale)
+    draw = np.random.default_rng(7)
+    better, worse = draw.choice(np.flatnonzero(labels == 1), 500), draw.choice(np.flatnonzero(labels == 0), 500)
+    loss = lambda w: np.log1p(np.exp(-(x[better] - x[worse]) @ w)).sum() + 0.5 * w @ w
+    for k in range(8):
+        bump = np.zeros(8)
+        bump[k] = 1e-4
+        assert abs(loss(model.weights + bump) - loss(model.weights - bump)) / 2e-4 < 1e-2
+    scores = model.score(np.vstack([rows[:1], rows[:1], rows[1:2]]))
+    assert scores[0] == scores[1] and np.array_equal(np.argsort(model.raw(rows)), np.argsort(model.score(rows)))
+
+
 def test_toxic_spans_point_at_words(spark):
     rows = [(k, f"nice day number w{k} you zzgrubel person" if k % 2 else f"nice day number w{k} you kind person", "s") for k in range(400)]
     docs = documents(spark, rows)
