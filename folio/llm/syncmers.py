@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 K = 4
 """Units of a syncmer; its inner runs are single units."""
-PIECE = 3
+PIECE = 5
 """Code points of a unit at most."""
 HEX = 7
 """Hexadecimal digits of an anchor's hash."""

@@ -22,7 +22,7 @@ BLOCK = 64
 """Tokens that are worked through one after the other; blocks of a text pass messages on, so its marginals are those of one chain."""
 NEAR = 8
 """Words on either side of a marked word that a training window holds."""
-LONGEST_WINDOW = 128
+LONGEST_WINDOW = 32
 """Words of a training window at most; longer ones are cut."""
 UNKNOWN = -1
 """Label of a training word that may be toxic or not."""
@@ -234,7 +234,7 @@ def choose_lexicon(documents: list[list[str]], least: int, common: float = 0.03)
     return chosen
 
 
-def fit_chain(windows: list[list[str]], labels: list[list[int]], features: list[str], ridge: float = 1e-4, steps: int = 250) -> ToxicModel:
+def fit_chain(windows: list[list[str]], labels: list[list[int]], features: list[str], ridge: float = 1e-4, steps: int = 150) -> ToxicModel:
     """Conditional likelihood of labelled word windows, maximised by Adam over all windows at once.
 
     ``UNKNOWN`` labels are summed over: what the model expects of moves and states is held against what it expects given the known

@@ -375,7 +375,7 @@ def brute_fingerprint(text, k=4):
     units, run = [], ""
     for c in text:
         piece = not unspaced(c) and (ord(c) > 127 or c.isalnum())
-        if run and (not piece or len(run) == 3):
+        if run and (not piece or len(run) == syncmers.PIECE):
             units.append(run)
             run = ""
         if piece:
