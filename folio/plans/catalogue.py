@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.operators import catalog, identity, organize, search, understanding
-from folio.plans import content_queries, document_queries, state_queries, text_queries  # noqa: F401  (they register their queries)
-from folio.plans.registry import FACTS_SQL, FILES_SQL, ORACLES, QUERIES, STATES_SQL, TEXT_SQL, TOKENS_SQL, WATCH_SQL, doc_text, documents, files, query, states  # noqa: F401
+from folio.operators import catalog, identity, index, organize, search, understanding
+from folio.plans import content_queries, document_queries, hybrid_queries, ledger_queries, state_queries, text_queries  # noqa: F401  (they register their queries)
+from folio.plans.registry import FACTS_SQL, FILES_SQL, ORACLES, QUERIES, STATES_SQL, TEXT_SQL, TOKENS_SQL, WATCH_SQL, asked_tokens, doc_text, documents, files, query, states, text_index  # noqa: F401
 from folio.sources.adapters import FACTS, OCCURRENCES, PREDICTIONS, WATCH, adapted, plain
 from folio.sources.tables import table
 from folio.streaming import watch
@@ -102,12 +102,6 @@ ASKED_SQL = f"""WITH asked AS (SELECT unnest(list_slice({TOKENS_SQL}, 1, 6)) AS
   body AS (SELECT doc_id, text, lang, source, {TOKENS_SQL} AS ts FROM documents)"""
 
 
-def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query that the retrieval examples ask: the first six tokens of the benchmark's first item."""
-    first = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1)
-    return first.select(F.explode(F.slice(search.tokens(F.col("text")), 1, 6)).alias("token"))
-
-
 @query(f"SELECT doc_id, len({TOKENS_SQL})::BIGINT AS n_tokens, len(list_distinct({TOKENS_SQL}))::BIGINT AS n_distinct FROM documents")
 def text_tokens(spark, sf_dir):
     t = search.tokens(F.col("text"))
@@ -127,7 +121,7 @@ TFIDF_SQL = f"""{ASKED_SQL}, times AS (SELECT token, count(*) AS times FROM aske
 
 @query(f"{TFIDF_SQL} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scores ORDER BY score DESC, doc_id LIMIT 20")
 def search_tfidf_topk(spark, sf_dir):
-    scores = search.tfidf(documents(spark, sf_dir), "doc_id", "text", asked(spark, sf_dir))
+    scores = index.tfidf(spark, text_index(spark, sf_dir), "doc_id", "text", asked_tokens(spark, sf_dir))
     return search.ranked(scores.withColumn("score", F.round("score", 6)), "doc_id", 20)
 
 
@@ -138,7 +132,7 @@ def search_tfidf_topk(spark, sf_dir):
   scores AS (SELECT doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM tf JOIN dfs USING (token), n GROUP BY doc_id)
   SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scores ORDER BY score DESC, doc_id LIMIT 20""")
 def search_bm25_fields(spark, sf_dir):
-    scores = search.bm25(documents(spark, sf_dir), "doc_id", {"text": 1.0, "source": 3.5}, asked(spark, sf_dir))
+    scores = index.bm25(spark, text_index(spark, sf_dir), "doc_id", {"text": 1.0, "source": 3.5}, asked_tokens(spark, sf_dir))
     return search.ranked(scores.withColumn("score", F.round("score", 6)), "doc_id", 20)
 
 
@@ -193,7 +187,7 @@ def vector_hashed_embedding(spark, sf_dir):
   b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM sims ORDER BY rank LIMIT 50)
   SELECT doc_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (FROM a UNION ALL FROM b) AS u GROUP BY doc_id""")
 def search_rank_fusion(spark, sf_dir):
-    lexical = search.tfidf(documents(spark, sf_dir), "doc_id", "text", asked(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    lexical = index.tfidf(spark, text_index(spark, sf_dir), "doc_id", "text", asked_tokens(spark, sf_dir)).withColumn("score", F.round("score", 6))
     near = _similar(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "score")
     fused = search.fuse([search.ranked(lexical, "doc_id", 50), search.ranked(near, "doc_id", 50)], "doc_id")
     return fused.withColumn("score", F.round("score", 6))

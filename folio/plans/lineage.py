@@ -48,3 +48,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(spark: SparkSession, name: str, build) -> str:
+    """The folder of what ``build(folder)`` wrote for ``name``; written at the first call of a session and removed with its other stored tables."""
+    key = f"{FOLDER}.{uuid.uuid5(uuid.NAMESPACE_URL, name).hex}"
+    known = spark.conf.get(key, None)
+    if known:
+        return known
+    folder = f"{scratch(spark)}/kept-{uuid.uuid4().hex}"
+    build(folder)
+    spark.conf.set(key, folder)
+    return folder

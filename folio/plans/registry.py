@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.operators import catalog
+from folio.operators import catalog, index, search
+from folio.plans.lineage import kept
 from folio.sources.adapters import DOC_TEXT, FACTS, FILES, WATCH, adapted, plain
 from folio.sources.tables import table
 
@@ -49,6 +50,26 @@ def doc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapted(spark, sf_dir, DOC_TEXT)
 
 
+FIELDS = ["filename", "path", "text", "source", "metadata"]
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> str:
+    """The stored index of all files, written by the first search of a session."""
+
+    def write(folder: str) -> None:
+        rows = files(spark, sf_dir).select(F.col("file_id").alias("doc_id"), "filename", F.col("parent_path").alias("path"), "text", "source", F.col("lang").alias("metadata"))
+        index.build(rows, "doc_id", FIELDS, folder)
+
+    return kept(spark, f"index of {sf_dir}", write)
+
+
+def asked_tokens(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The query that the retrieval examples ask: the first six tokens of the benchmark's first item."""
+    first = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1)
+    row = first.select(F.slice(search.tokens(F.col("text")), 1, 6).alias("ts")).first()
+    return list(row["ts"]) if row else []
+
+
 def half_time(events: DataFrame) -> int | None:
     """The middle of the events' time; null without events."""
     return events.agg(F.expr("(min(at_ms) + max(at_ms)) div 2")).first()[0]

@@ -14,7 +14,7 @@ SELECT doc_id AS file_id,
        CASE doc_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'xlsx'
                        WHEN 3 THEN 'txt' WHEN 4 THEN 'jpg' ELSE 'zip' END AS extension,
        concat(coalesce(source, 'none'), '/', coalesce(lang, 'none')) AS parent_path,
-       n_chars AS byte_size, md5(text) AS digest, doc_id * 3600000 AS modified_ms, text
+       n_chars AS byte_size, md5(text) AS digest, doc_id * 3600000 AS modified_ms, text, source, lang
 FROM {documents}"""
 
 WATCH = """
