@@ -60,12 +60,19 @@ def proposal_diff(before: DataFrame, after: DataFrame, id_col: str, folder: str)
     return a.join(b, id_col, "full").groupBy(status.alias("status")).agg(F.count("*").alias("files"))
 
 
-def broken_chain(events: DataFrame, key: list[str], seq: str, digest: str, previous: str) -> DataFrame:
-    """Events that do not name the digest of the event before them, or leave a gap in the sequence."""
-    order = Window.partitionBy(*key).orderBy(seq)
-    before, last = F.lag(digest).over(order), F.lag(seq).over(order)
-    rows = events.withColumns({"_d": before, "_s": last})
-    return rows.where(F.col("_s").isNotNull() & (~F.col("_d").eqNullSafe(F.col(previous)) | (F.col(seq) != F.col("_s") + 1))).drop("_d", "_s")
+def broken_chain(events: DataFrame, key: list[str], seq: str, tie: str, digest: str, previous: str, span: int = 10_000) -> DataFrame:
+    """Events that do not name the digest of the event before them (by ``seq``, then ``tie``), or leave a gap in the sequence.
+
+    A key's events are followed in stretches of ``span`` numbers, so one that holds most of them is many tasks; only the last event of each stretch
+    meets the others of its key.
+    """
+    rows = events.withColumn("_b", F.expr(f"{seq} div {span}"))
+    inside = Window.partitionBy(*key, "_b").orderBy(seq, tie)
+    last = rows.groupBy(*key, "_b").agg(F.max_by(F.struct(F.col(digest).alias("d"), F.col(seq).alias("s")), F.struct(seq, tie)).alias("_last"))
+    before = last.select(*key, "_b", F.lag("_last").over(Window.partitionBy(*key).orderBy("_b")).alias("_edge"))
+    own = rows.withColumns({"_d": F.lag(digest).over(inside), "_s": F.lag(seq).over(inside)}).join(before, [*key, "_b"])
+    d, s = F.when(F.col("_s").isNull(), F.col("_edge.d")).otherwise(F.col("_d")), F.coalesce("_s", "_edge.s")
+    return own.where(s.isNotNull() & (~d.eqNullSafe(F.col(previous)) | (F.col(seq) != s + 1))).select(*events.columns)
 
 
 # Folders by what a document's name says.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.operators import catalog, identity, index, organize, search, understanding
-from folio.plans import content_queries, document_queries, hybrid_queries, ledger_queries, state_queries, text_queries  # noqa: F401  (they register their queries)
+from folio.plans import content_queries, document_queries, hybrid_queries, identity_queries, ledger_queries, state_queries, text_queries  # noqa: F401  (they register their queries)
 from folio.plans.registry import FACTS_SQL, FILES_SQL, ORACLES, QUERIES, STATES_SQL, TEXT_SQL, TOKENS_SQL, WATCH_SQL, asked_tokens, doc_text, documents, files, query, states, text_index  # noqa: F401
 from folio.sources.adapters import FACTS, OCCURRENCES, PREDICTIONS, WATCH, adapted, plain
 from folio.sources.tables import table
@@ -429,10 +429,7 @@ def audit_chain_check(spark, sf_dir):
     digest, over = F.md5(F.col("seq").cast("string")), Window.partitionBy("root_id").orderBy("seq")
     rows = adapted(spark, sf_dir, WATCH).select("seq", "root_id", digest.alias("d"), F.when(F.col("seq") % 13 == 0, "x").otherwise(F.lag(digest).over(over)).alias("p"),
         (F.row_number().over(over) + F.when(F.col("seq") % 17 == 0, 1).otherwise(0)).alias("n"))
-    ordered = rows.withColumn("at", F.struct("n", "seq"))
-    order = Window.partitionBy("root_id").orderBy("at")
-    marked = ordered.withColumns({"_d": F.lag("d").over(order), "_n": F.lag("n").over(order)})
-    return marked.where(F.col("_n").isNotNull() & (~F.col("_d").eqNullSafe(F.col("p")) | (F.col("n") != F.col("_n") + 1))).select("seq")
+    return organize.broken_chain(rows, ["root_id"], "n", "seq", "d", "p", span=1000).select("seq")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folio.operators import catalog, chunks, detection, organize, ranking, search, understanding, vectors
+from folio.operators import catalog, detection, organize, ranking, search, understanding, vectors
 from folio.plans.registry import FACTS_SQL, FILES_SQL, TEXT_SQL, doc_text, documents, files, query
 from folio.sources.adapters import FACTS, OCCURRENCES, adapted, plain
 from folio.sources.tables import table
@@ -95,8 +95,9 @@ def extract_labelled(spark, sf_dir):
     return understanding.labelled(doc_text(spark, sf_dir), "file_id", "extracted_text", LABELS)
 
 
-@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN concat('+', n) WHEN 1 THEN n END AS phone
-  FROM (SELECT c_custkey, (30000000 + c_custkey * 7919)::VARCHAR AS n FROM customer) AS c""")
+@query(r"""WITH n AS (SELECT c_custkey, (30000000 + c_custkey * 7919)::VARCHAR AS n FROM customer), s AS (SELECT c_custkey, substr(n, 1, 2) || ' ' || substr(n, 3) AS n FROM n),
+  raw AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '+' || n WHEN 1 THEN '(' || n || ')' ELSE n || ' ext' END AS t FROM s), d AS (SELECT *, regexp_replace(t, '[^0-9]', '', 'g') AS digits FROM raw)
+  SELECT c_custkey, CASE WHEN regexp_matches(t, '^[+]?[0-9 .()-]+$') AND length(digits) BETWEEN 8 AND 15 THEN CASE WHEN starts_with(t, '+') THEN '+' ELSE '' END || digits END AS phone FROM d""")
 def extract_phones(spark, sf_dir):
     digits = (30_000_000 + F.col("c_custkey") * 7919).cast("string")
     spaced = F.concat_ws(" ", F.substring(digits, F.lit(1), F.lit(2)), F.substring(digits, F.lit(3), F.lit(30)))
@@ -122,11 +123,6 @@ def semantic_review_reasons(spark, sf_dir):
     return understanding.review_reasons(fields, "customer_name")
 
 
-@query(None)
-def semantic_chunks(spark, sf_dir):
-    return chunks.windows(documents(spark, sf_dir), "doc_id", "text")
-
-
 # facts and ranking
 
 INTENT_SQL = f"""{FACTS_SQL}, s AS (SELECT customer_name, user_confirmed AS u,

@@ -67,7 +67,7 @@ def test_collisions_ignore_case(spark):
 
 def test_broken_chain(spark):
     rows = [("e", 0, "d0", None), ("e", 1, "d1", "d0"), ("e", 2, "d2", "bad"), ("e", 4, "d4", "d2")]
-    got = organize.broken_chain(spark.createDataFrame(rows, "k string, seq long, d string, p string"), ["k"], "seq", "d", "p")
+    got = organize.broken_chain(spark.createDataFrame(rows, "k string, seq long, d string, p string"), ["k"], "seq", "seq", "d", "p", span=2)
     assert sorted(r["seq"] for r in got.collect()) == [2, 4]
 
 
