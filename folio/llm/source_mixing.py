@@ -102,7 +102,7 @@ def schedule(goals: DataFrame, bits: int, block: int) -> DataFrame:
     return running_total(filled, ["src"], F.expr("slot div 65536"), ["slot"], F.lit(1).cast("long"), "rank").select("src", "rank", "slot")
 
 
-def scheduled_blocks(sized: DataFrame, policy: MixPolicy = MixPolicy(), rows_per_bucket: int = 100_000) -> DataFrame:
+def scheduled_blocks(sized: DataFrame, policy: MixPolicy = MixPolicy(), rows_per_bucket: int = 2_000) -> DataFrame:
     """Rows of ``(_id, source, size)``, as ``_sizes`` gives them, with ``source_size``, ``target``, and an entry per block that reads them: ``_read``, ``slot`` and ``words``.
 
     Each source's documents, shuffled by the MD5 of their id, form a stream that is read up to ``most_repeats`` times and cut into
