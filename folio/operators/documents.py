@@ -66,12 +66,12 @@ def type_scores(docs: DataFrame, id_col: str, text: Column, filename: Column, q:
     """``(id_col, document_type, score)``: every type that indicators or the file's name point at.
 
     Indicators of a type add up, a filename that holds the type's first header word adds .2; at most .99, times half and half the quality.
-    A type that only the name points at has at most .4.
+    A type that only the name points at has at most .4. Lower-cased texts, header lines and quality are columns of their own, computed once a row.
     """
-    low, name = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(filename, F.lit("")))
-    lines = F.slice(F.split(low, "\n"), 1, HEADER_LINES)
-    starts = F.transform(lines, lambda x: F.ltrim(x))
-    top = F.array_join(F.slice(lines, 1, TOP_LINES), "\n")
+    low, name, quality_of, starts, top = (F.col(c) for c in ("low", "name", "q", "starts", "top"))
+    read = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(text, F.lit(""))).alias("low"), F.lower(F.coalesce(filename, F.lit(""))).alias("name"), q.alias("q"))
+    read = read.withColumn("lines", F.slice(F.split(low, "\n"), 1, HEADER_LINES))
+    read = read.select("id", "low", "name", "q", F.transform("lines", lambda x: F.ltrim(x)).alias("starts"), F.array_join(F.slice("lines", 1, TOP_LINES), "\n").alias("top"))
 
     def hit(phrases: tuple[str, ...], header: bool) -> Column:
         if not header:
@@ -83,9 +83,9 @@ def type_scores(docs: DataFrame, id_col: str, text: Column, filename: Column, q:
     for kind, indicators in INDICATORS.items():
         content = reduce(lambda a, b: a + b, [F.when(hit(ps, header), w).otherwise(0.0) for ps, w, header in indicators])
         named = F.when(F.contains(name, F.lit(kind.replace("_", " "))) | F.contains(name, F.lit(kind)), 0.2).otherwise(0.0)
-        score = F.when(content > 0, F.least(content + named, F.lit(0.99)) * (0.5 + 0.5 * q)).otherwise(F.least(named, F.lit(0.4)))
+        score = F.when(content > 0, F.least(content + named, F.lit(0.99)) * (0.5 + 0.5 * quality_of)).otherwise(F.least(named, F.lit(0.4)))
         options.append(F.struct(F.lit(kind).alias("document_type"), score.alias("score")))
-    return docs.select(id_col, F.inline(F.filter(F.array(*options), lambda o: o["score"] > 0)))
+    return read.select(F.col("id").alias(id_col), F.inline(F.filter(F.array(*options), lambda o: o["score"] > 0)))
 
 
 def best_type(scores: DataFrame, id_col: str) -> DataFrame:
