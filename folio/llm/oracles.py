@@ -103,8 +103,86 @@ FROM shared"""
 
 OP7 = OP7.replace("UNIT", UNIT)
 
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+bodies AS (SELECT min(doc_id) AS node, s FROM (SELECT doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0) GROUP BY s),
+posts AS (SELECT node, len(s) AS n, hash(x) AS x FROM (SELECT node, s, unnest(s) AS x FROM bodies)),
+shared AS (
+  SELECT a.node AS u, b.node AS v, a.n AS nu, b.n AS nv, count(*) AS common FROM posts a JOIN posts b ON a.x = b.x AND a.node < b.node GROUP BY ALL),
+links AS (SELECT u, v FROM shared WHERE 100 * common >= 85 * (nu + nv - common)),
+sides AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT node, node AS far FROM bodies UNION SELECT reach.node, sides.v FROM reach JOIN sides ON reach.far = sides.u),
+classes AS (SELECT node, min(far) AS component_id FROM reach GROUP BY node),
+named AS (SELECT sets.doc_id, len(sets.s) AS n, coalesce(classes.component_id, sets.doc_id) AS component_id
+  FROM sets LEFT JOIN bodies ON list_sort(sets.s) = bodies.s LEFT JOIN classes USING (node))
+SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM named"""
+
+OP12 = r"""
+WITH RECURSIVE steps AS (
+  SELECT i::BIGINT AS i, i::BIGINT AS v, 0 AS k FROM range(256) AS r(i) UNION ALL SELECT i, xor(v >> 1, (v & 1) * 3988292384), k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS l FROM steps WHERE k = 8),
+own AS (
+  SELECT conv_id, list(md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) ORDER BY turn NULLS FIRST, md5(coalesce(role, '')), md5(coalesce(text, ''))) AS t,
+         list(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) ORDER BY turn NULLS FIRST, md5(coalesce(role, '')), md5(coalesce(text, ''))) AS w
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (
+  SELECT conv_id, t, w, conv_id - conv_id % 20 AS of, xor(list_reduce(list_prepend(4294967295::BIGINT,
+           list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ord(substr(conv_id::VARCHAR, i, 1))::BIGINT)), lambda c, b: xor(c >> 8, l[(xor(c, b) & 255) + 1])), 4294967295) % 4 AS h
+  FROM own, crc),
+made AS (
+  SELECT a.conv_id, coalesce(b.t[1:h], []) || a.t[h + 1:] AS t, coalesce(b.w[1:h], []) || a.w[h + 1:] AS w FROM heads a LEFT JOIN own b ON a.of = b.conv_id),
+members AS (SELECT conv_id, d, t[1:d] AS k, CASE WHEN d = 0 THEN 0 ELSE w[d] END AS words, len(t) = d AS ends FROM made, unnest(generate_series(0, len(t))) AS g(d)),
+nodes AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends FROM members GROUP BY k, d),
+children AS (SELECT k[1:d - 1] AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (k)),
+below AS (
+  SELECT k[1:a] AS k, sum((n_convs - 1) * words)::BIGINT AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+  FROM full_nodes, unnest(generate_series(0, d)) AS g(a) GROUP BY 1)
+SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, below.leaves AS n_leaves, below.saved AS saved_tokens, f.ends AS ends_sha256
+FROM full_nodes f JOIN below USING (k) LEFT JOIN nodes p ON f.d > 0 AND p.k = f.k[1:f.d - 1]"""
+
+OP13 = rf"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {LOWER.format("coalesce(text, '')")} AS t FROM documents),
+listed AS (SELECT row_number() OVER () AS doc, lang, source, regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM docs),
+posts AS (SELECT doc, lang, source, unnest(w) AS term FROM listed),
+kept AS (SELECT lang, term FROM posts GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+kinds AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counted AS (SELECT lang, source, term, count(*) AS n FROM posts JOIN kept USING (lang, term) GROUP BY ALL),
+full_counts AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM groups g JOIN kept k USING (lang)
+  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+own AS (
+  SELECT *, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + v) AS p FROM full_counts JOIN kinds USING (lang)),
+whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + v) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM full_counts GROUP BY lang, term) JOIN kinds USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+silent AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, 0 AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  WHERE a.lang NOT IN (SELECT lang FROM kinds)),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (FROM pairs UNION ALL FROM silent UNION ALL FROM terms))
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
 ORACLES: dict[str, str] = {
     "op2_decontamination": OP2,
     "op6_source_mixing": OP6,
     "op7_syncmer_fingerprints": OP7,
+    "op11_minhash_forest": OP11,
+    "op12_conversation_trie": OP12,
+    "op13_source_divergence": OP13,
 }

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters over whole tables."""
+"""The registered queries of the thirteen operators, with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import (
-    decontamination, html_text, license_scan, quality_ranking, secret_scan, sharding, simhash_dedup, source_mixing,
-    syncmers, toxic_spans,
+    conversation_trie, decontamination, html_text, license_scan, minhash_forest, quality_ranking, secret_scan, sharding,
+    simhash_dedup, source_divergence, source_mixing, syncmers, toxic_spans,
 )
 from folio.sources.tables import table
 
@@ -98,6 +98,22 @@ def op5_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ranking.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document by the overlap of its five-word shingles."""
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, each with the head of its block's first."""
+    lists = conversation_trie.turn_lists(table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(conversation_trie.rebuilt(lists))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source of a language from the others and from the whole."""
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
@@ -109,4 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_secret_ownership": op9_secret_ownership,
     "op10_html_text": op10_html_text,
+    "op11_minhash_forest": op11_minhash_forest,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_source_divergence": op13_source_divergence,
 }
