@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,3 +25,8 @@ BLANKS = r"[ \t\n\x0B\f\r]"
 
 NOT_WORD = "[" + "".join(rf"\x{c:02X}" for c in range(128) if not (chr(c).isdigit() or chr(c).islower())) + "]"
 """ASCII that is neither digit nor lower-case letter; all beyond ASCII belongs to words."""
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -193,10 +193,17 @@ def business_fields(labelled: DataFrame, types: DataFrame, id_col: str) -> DataF
     return met.groupBy(id_col, "field").agg(first).select(id_col, "field", F.col("b.value").alias("value"))
 
 
-def analysis_status(text: Column, document_type: Column, q: Column) -> Column:
-    """``completed``, ``partial`` (a type, but poor input), ``no_text`` or ``unrecognised``."""
-    empty = F.btrim(F.coalesce(text, F.lit(""))) == ""
-    return F.when(empty, "no_text").when(F.coalesce(document_type, F.lit("unknown")) == "unknown", "unrecognised").when(q < 0.6, "partial").otherwise("completed")
+def analysis_status(fields: DataFrame, quality: DataFrame, id_col: str) -> DataFrame:
+    """``(id_col, status)`` of every row of ``quality`` ``(id_col, band)`` by its ``fields`` ``(id_col, field, value, status)``.
+
+    ``unknown`` without a field that says anything: one with a value, other than an unknown type or context. Else ``partial`` if the input is not
+    good or a field is ambiguous or conflicting, and ``success`` if neither.
+    """
+    says = F.col("value").isNotNull() & ~(F.col("field").isin("document_type", "context") & (F.col("value") == "unknown"))
+    held = fields.groupBy(id_col).agg(F.bool_or(says).alias("_says"), F.bool_or(F.col("status").isin("ambiguous", "conflicting")).alias("_open"))
+    rows = quality.select(id_col, "band").join(held, id_col, "left")
+    poor = (F.col("band") != "good") | F.coalesce("_open", F.lit(False))
+    return rows.select(id_col, F.when(~F.coalesce("_says", F.lit(False)), "unknown").when(poor, "partial").otherwise("success").alias("status"))
 
 
 def first_by(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

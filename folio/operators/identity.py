@@ -41,17 +41,26 @@ def block_sizes(keys: DataFrame) -> DataFrame:
     return sizes.withColumn("skipped", ~F.col("strong") & (F.col("members") > WEAK_LIMIT))
 
 
-def candidate_pairs(keys: DataFrame) -> DataFrame:
-    """``(a, b, blocks)``: each member with the next 16 (strong block: 32) of its block, by key, and how many blocks say so.
-
-    The followers are a window frame, so a block costs its members times 32 and is never joined with itself.
-    """
+def _followers(keys: DataFrame) -> DataFrame:
+    """``(block, a, b)``: each member with the next 16 (strong block: 32) of its block, by key; a window frame, so a block costs its members times 32."""
     used = keys.join(block_sizes(keys).where("not skipped").select("block"), "block")
     order = Window.partitionBy("block").orderBy("occurrence_key")
     ahead = F.collect_list("occurrence_key").over(order.rowsBetween(1, STRONG_WINDOW))
     near = F.when(F.col("strong"), F.col("ahead")).otherwise(F.slice("ahead", 1, WEAK_WINDOW))
-    rows = used.withColumn("ahead", ahead).select(F.col("occurrence_key").alias("a"), F.explode(near).alias("b"))
-    return rows.groupBy("a", "b").agg(F.count("*").alias("blocks"))
+    return used.withColumn("ahead", ahead).select("block", F.col("occurrence_key").alias("a"), F.explode(near).alias("b"))
+
+
+def candidate_pairs(keys: DataFrame) -> DataFrame:
+    """``(a, b, blocks)``: each member with the next 16 (strong block: 32) of its block, by key, and how many blocks say so; no block is joined with itself."""
+    return _followers(keys).groupBy("a", "b").agg(F.count("*").alias("blocks"))
+
+
+def prioritised_pairs(keys: DataFrame) -> DataFrame:
+    """``candidate_pairs`` as ``(a, b, blocks, priority)``, with the priority of the best block that says so: 0 for identifiers, 1 for equal names, 2 for core names, 3 for others."""
+    kind = F.substring_index("block", ":", 1)
+    rank = F.when(kind == "id", 0).when(kind == "name", 1).when(kind == "core", 2).otherwise(3)
+    pairs = _followers(keys).withColumn("_r", rank)
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("blocks"), F.min("_r").cast("long").alias("priority"))
 
 
 def assess(pairs: DataFrame, occ: DataFrame) -> DataFrame:

@@ -120,9 +120,9 @@ def identity_page(groups: DataFrame, offset: int, limit: int) -> DataFrame:
     return groups.orderBy(F.desc("needs_review"), F.desc("top_score"), "group_id").offset(offset).limit(limit)
 
 
-def eligible_relations(rows: DataFrame, least: float = 0.65) -> DataFrame:
-    """Relationships that count: confirmed ones, and others of confidence ``least`` or more that nobody rejected."""
-    return rows.where((F.col("status") == "confirmed") | ((F.col("confidence") >= least) & (F.col("status") != "rejected")))
+def eligible_relations(rows: DataFrame, least: float = 0.9) -> DataFrame:
+    """Relationships that count: those that a user confirmed, and automatic links of confidence ``least`` or more."""
+    return rows.where((F.col("status") == "confirmed") | ((F.col("status") == "auto_linked") & (F.col("confidence") >= least)))
 
 
 def strongest_relations(rows: DataFrame, id_col: str, kind: str, identity: str) -> DataFrame:
@@ -137,10 +137,24 @@ def by_priority(rows: DataFrame, id_col: str, field: str, value: str, order: lis
     return rows.where(F.col(field).isin(*order) & F.col(value).isNotNull()).groupBy(id_col).agg(F.min_by(value, F.struct(rank, F.col(value))).alias(value))
 
 
-def top_partner(rows: DataFrame, group: str, partner: str) -> DataFrame:
-    """``(group, partner)``: whom most of a group's rows name, ties by name."""
-    counts = rows.where(F.col(partner).isNotNull()).groupBy(group, partner).agg(F.count("*").alias("_n"))
-    return counts.groupBy(group).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(partner).alias("p"))).alias("b")).select(group, F.col("b.p").alias(partner))
+def top_partner(rows: DataFrame, group: str, partner: str, status: str = "status", confidence: str = "confidence") -> DataFrame:
+    """``(group, partner)``: of the links of a group that are confirmed or automatic, the confirmed ones first, then the most confident, then by name."""
+    rank = F.struct((F.col(status) != "confirmed").alias("s"), (-F.col(confidence)).alias("c"), F.col(partner).alias("p"))
+    links = rows.where(F.col(partner).isNotNull() & F.col(status).isin("confirmed", "auto_linked"))
+    return links.groupBy(group).agg(F.min(rank).alias("b")).select(group, F.col("b.p").alias(partner))
+
+
+def nearest_rank(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """``(group, n, …)``: of each group's sorted values the one at ``round((n - 1) * share)`` for every named share; nulls are left out.
+
+    Values are counted first, so a group holds one row a distinct value in the window that adds the counts up.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c"))
+    over = Window.partitionBy(group)
+    upto = F.sum("_c").over(over.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumns({"_upto": upto, "_n": F.sum("_c").over(over)})
+    at = lambda q: F.floor((F.col("_n") - 1) * q + 0.5)
+    return ranked.groupBy(group).agg(F.max("_n").alias("n"), *[F.min(F.when(F.col("_upto") > at(q), F.col(value))).alias(name) for name, q in shares.items()])
 
 
 def gaps(files: DataFrame, id_col: str, done: dict[str, DataFrame]) -> DataFrame:

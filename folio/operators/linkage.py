@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.operators.normalise import jaccard, name_parts
@@ -61,22 +61,30 @@ def assessed(pairs: DataFrame, mentions: DataFrame, signals: DataFrame) -> DataF
     return rows.select("a", "b", F.when(alike, score).otherwise(0.0).alias("score"), decision.alias("decision"), F.when(alike, F.array_join(F.array_sort(held), ",")).otherwise("").alias("evidence"))
 
 
-def prioritised(judged: DataFrame) -> DataFrame:
-    """``judged`` pairs with ``place``, from 1: automatic links first, then reviews, by falling score and the pair; numbered within each decision."""
-    order = Window.partitionBy("decision").orderBy(F.desc("score"), "a", "b")
-    return judged.withColumn("place", F.row_number().over(order).cast("long"))
+def merge_ends(merges: DataFrame) -> DataFrame:
+    """``(other, kept)``: where each merged identity ends when merges ``(kept, other)`` are followed.
+
+    Each identity keeps one merge, that with the least ``kept``, so merges form chains; the classes that they connect come from ``components``, and the
+    end of a class is the identity that is merged into nothing, or the least one if its merges come round.
+    """
+    one = merges.where("kept <> other").groupBy("other").agg(F.min("kept").alias("kept"))
+    classes = components(one.select(F.col("other").alias("u"), F.col("kept").alias("v")))
+    ends = classes.join(one.select(F.col("other").alias("node")), "node", "left_anti").groupBy("root").agg(F.min("node").alias("kept"))
+    rows = classes.join(ends, "root", "left").select(F.col("node").alias("other"), F.coalesce("kept", "root").alias("kept"))
+    return rows.where("other <> kept")
 
 
 def stored_identities(mentions: DataFrame, links: DataFrame, merges: DataFrame, unlinked: DataFrame) -> DataFrame:
     """``(mention, identity, locked)`` after automatic ``links`` ``(a, b)`` and users' decisions.
 
-    An automatic identity is the least of its mentions. A merge ``(kept, other)`` of identities stands for all members and keeps the one that the user chose; the
-    last of several wins by the least ``kept``. A mention in ``unlinked`` gets a locked identity of its own, and what it leaves is locked too; its
+    An automatic identity is the least of its mentions. A merge ``(kept, other)`` of identities stands for all members and keeps the one that the user chose; of
+    several for one identity that with the least ``kept`` counts. Merges are followed to their end, also through identities that were merged before; where they
+    come round, or meet in a class that no merge leaves open, the least identity of it stands. A mention in ``unlinked`` gets a locked identity of its own, and what it leaves is locked too; its
     own merges do not move it.
     """
     classes = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     rows = mentions.select("mention").join(classes, F.col("mention") == F.col("node"), "left").select("mention", F.coalesce("root", "mention").alias("_auto"))
-    chosen = merges.groupBy(F.col("other").alias("_auto")).agg(F.min("kept").alias("_kept"))
+    chosen = merge_ends(merges).select(F.col("other").alias("_auto"), F.col("kept").alias("_kept"))
     rows = rows.join(chosen, "_auto", "left").join(unlinked.select("mention", F.lit(True).alias("_own")).distinct(), "mention", "left")
     rows = rows.withColumn("_identity", F.coalesce("_kept", "_auto"))
     left = rows.where("_own").select("_identity", F.lit(True).alias("_left")).distinct()

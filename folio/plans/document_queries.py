@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folio.operators import documents as docs_ops
 from folio.operators import understanding
+from folio.plans.lineage import kept
 from folio.plans.registry import FACTS_SQL, TEXT_SQL, doc_text, documents, query
 from folio.sources.adapters import FACTS, PREDICTIONS, adapted, plain
 
@@ -52,9 +53,14 @@ def _status(id_col):
 
 
 def _best(spark, sf_dir):
-    rows = _papers(spark, sf_dir)
-    q = docs_ops.quality(_status("file_id"), F.col("body"), F.lit(False), F.lit(False), F.lit(None).cast("double"))
-    return docs_ops.best_type(docs_ops.type_scores(rows, "file_id", F.col("body"), F.col("filename"), q), "file_id")
+    """The best type of every paper, classified once a session and kept for the queries that need it."""
+
+    def write(folder: str) -> None:
+        rows = _papers(spark, sf_dir)
+        q = docs_ops.quality(_status("file_id"), F.col("body"), F.lit(False), F.lit(False), F.lit(None).cast("double"))
+        docs_ops.best_type(docs_ops.type_scores(rows, "file_id", F.col("body"), F.col("filename"), q), "file_id").write.parquet(folder)
+
+    return spark.read.parquet(kept(spark, f"paper types of {sf_dir}", write))
 
 
 @query(f"{TYPES_SQL} SELECT file_id, document_type, round(score, 6) AS score FROM best")
@@ -133,11 +139,18 @@ def semantic_business_fields(spark, sf_dir):
     return docs_ops.business_fields(understanding.labelled(rows, "file_id", "extracted_text", list(dict.fromkeys(labels))), types, "file_id")
 
 
-@query(f"""{TYPES_SQL} SELECT file_id, CASE WHEN document_type IS NULL THEN 'unrecognised' WHEN q < 0.6 THEN 'partial' ELSE 'completed' END AS status FROM lined LEFT JOIN best USING (file_id)""")
+@query(f"""{TYPES_SQL}, fields AS (SELECT file_id, 'document_type' AS field, CASE WHEN score >= 0.25 THEN document_type ELSE 'unknown' END AS value, CASE WHEN score >= 0.85 THEN 'confirmed' WHEN score >= 0.65 THEN 'inferred' ELSE 'ambiguous' END AS status FROM best
+    UNION ALL SELECT file_id, 'context', CASE WHEN file_id % 3 = 0 THEN 'unknown' WHEN file_id % 3 = 1 THEN 'business' END, 'inferred' FROM lined),
+  held AS (SELECT file_id, bool_or(value IS NOT NULL AND value <> 'unknown') AS says, bool_or(status IN ('ambiguous', 'conflicting')) AS unsure FROM fields GROUP BY file_id)
+  SELECT file_id, CASE WHEN NOT coalesce(says, false) THEN 'unknown' WHEN q < 0.85 OR unsure THEN 'partial' ELSE 'success' END AS status FROM lined LEFT JOIN held USING (file_id)""")
 def semantic_status(spark, sf_dir):
-    rows = _papers(spark, sf_dir).join(_best(spark, sf_dir), "file_id", "left")
+    rows = _papers(spark, sf_dir)
+    score, context = F.col("score"), F.when(F.col("file_id") % 3 == 0, "unknown").when(F.col("file_id") % 3 == 1, "business")
+    sure = F.when(score >= 0.85, "confirmed").when(score >= 0.65, "inferred").otherwise("ambiguous")
+    types = _best(spark, sf_dir).select("file_id", F.lit("document_type").alias("field"), F.when(score >= 0.25, F.col("document_type")).otherwise("unknown").alias("value"), sure.alias("status"))
+    fields = types.unionByName(rows.select("file_id", F.lit("context").alias("field"), context.alias("value"), F.lit("inferred").alias("status")))
     q = docs_ops.quality(_status("file_id"), F.col("body"), F.lit(False), F.lit(False), F.lit(None).cast("double"))
-    return rows.select("file_id", docs_ops.analysis_status(F.col("body"), F.col("document_type"), q).alias("status"))
+    return docs_ops.analysis_status(fields, rows.select("file_id", docs_ops.quality_band(q, F.col("body")).alias("band")), "file_id")
 
 
 @query(f"""{FACTS_SQL}, e AS (SELECT DISTINCT customer_name, coalesce(currency, 'none') AS kind, file_id // 40 AS "offset", substr(iso_date, 1, 4) AS text FROM facts),

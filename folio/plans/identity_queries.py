@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folio.operators import chunks, linkage
+from folio.operators import chunks, identity, linkage
 from folio.plans.prefix import running_total
 from folio.plans.registry import documents, query
-from folio.sources.adapters import adapted, plain
+from folio.sources.adapters import OCCURRENCES, adapted, plain
 
 MENTIONS = """
 SELECT concat('m', lpad(CAST(c_custkey AS STRING), 7, '0')) AS mention, c_custkey AS n, CASE c_custkey % 3 WHEN 0 THEN 'organization' WHEN 1 THEN 'person' ELSE 'project' END AS kind,
@@ -50,9 +50,16 @@ def identity_typed_assessment(spark, sf_dir):
     return _judged(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
-@query(f"{BASE_SQL} SELECT a, b, decision, row_number() OVER (PARTITION BY decision ORDER BY round(score, 6) DESC, a, b) AS place FROM judged")
+@query(r"""WITH o AS (SELECT concat('c', c_custkey) AS k, trim(regexp_replace(lower(concat('Firm ', c_custkey % 60, CASE c_custkey % 4 WHEN 0 THEN ' SAS' WHEN 1 THEN ' SARL' WHEN 2 THEN '' ELSE ' S.A.S' END)), '[^\p{L}\p{N}]+', ' ', 'g')) AS name,
+    concat('firm', c_custkey % 60, '.example') AS domain, CASE WHEN c_custkey % 7 <> 0 THEN concat('FR', lpad((c_custkey % 45)::VARCHAR, 9, '7')) END AS cid FROM customer
+    UNION ALL SELECT concat('s', s_suppkey), trim(regexp_replace(lower(upper(concat('Firm ', s_suppkey % 60))), '[^\p{L}\p{N}]+', ' ', 'g')), CASE WHEN s_suppkey % 2 <> 0 THEN concat('firm', s_suppkey % 60, '.example') END, concat('FR', lpad((s_suppkey % 45)::VARCHAR, 9, '7')) FROM supplier),
+  keys AS (SELECT k, 'name:' || name AS block, 1 AS r, 16 AS reach FROM o UNION ALL SELECT k, 'core:' || regexp_replace(name, ' (s a s|s a|sas|sarl|sa|ltd|inc|llc|gmbh)$', ''), 2, 16 FROM o
+    UNION ALL SELECT k, 'domain:' || domain, 3, 16 FROM o WHERE domain IS NOT NULL UNION ALL SELECT k, 'id:' || cid, 0, 32 FROM o WHERE cid IS NOT NULL),
+  sized AS (SELECT *, count(*) OVER (PARTITION BY block) AS members, row_number() OVER (PARTITION BY block ORDER BY k) AS i FROM keys),
+  pairs AS (SELECT x.k AS a, y.k AS b, min(x.r) AS priority, count(*) AS blocks FROM sized x JOIN sized y ON x.block = y.block AND y.i > x.i AND y.i <= x.i + x.reach WHERE x.reach = 32 OR x.members <= 512 GROUP BY ALL)
+  SELECT a, b, priority::BIGINT AS priority, blocks FROM pairs""")
 def identity_priorities(spark, sf_dir):
-    return linkage.prioritised(_judged(spark, sf_dir).withColumn("score", F.round("score", 6))).select("a", "b", "decision", "place")
+    return identity.prioritised_pairs(identity.blocking_keys(identity.prepared(adapted(spark, sf_dir, OCCURRENCES))))
 
 
 STORED_SQL = f"""{BASE_SQL}, links AS (SELECT a AS u, b AS v FROM judged WHERE decision = 'auto_link' UNION ALL SELECT b, a FROM judged WHERE decision = 'auto_link'),

@@ -104,10 +104,10 @@ def ocr_lines(spark, sf_dir):
     return ledger.ocr_words(adapted(spark, sf_dir, OCR), "file_id", "tsv").withColumn("confidence", F.round("confidence", 6))
 
 
-@query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6)::DOUBLE AS p50, round(quantile_cont(value, 0.95), 6)::DOUBLE AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type")
+@query("""WITH l AS (SELECT event_type, list(value ORDER BY value) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type)
+  SELECT event_type, len(v)::BIGINT AS n, v[floor((len(v) - 1) * 0.5 + 0.5)::BIGINT + 1] AS p50, v[floor((len(v) - 1) * 0.95 + 0.5)::BIGINT + 1] AS p95 FROM l""")
 def metrics_latency(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("value is not null")
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), *[F.round(F.percentile("value", p), 6).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95))])
+    return ledger.nearest_rank(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 REVIEWS_SQL = f"""{WATCH_SQL}, cut AS (SELECT (min(at_ms) + max(at_ms)) // 2 AS c FROM watch),
@@ -154,7 +154,7 @@ def identity_review_page(spark, sf_dir):
 
 RELATIONS = """
 SELECT l_orderkey AS file_id, CASE l_linenumber % 2 WHEN 0 THEN 'supplier' ELSE 'customer' END AS relation, concat('id-', CAST(l_suppkey AS STRING)) AS identity,
-  (l_partkey * 31 % 100) / 100.0 AS confidence, CASE l_partkey % 7 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rejected' ELSE 'inferred' END AS status
+  (l_partkey * 31 % 100) / 100.0 AS confidence, CASE l_partkey % 7 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rejected' WHEN 2 THEN 'inferred' ELSE 'auto_linked' END AS status
 FROM {lineitem}"""
 
 
@@ -163,7 +163,7 @@ def _relations(spark, sf_dir):
     return rows.withColumn("confidence", F.col("confidence").cast("double"))
 
 
-@query(f"""WITH r AS ({RELATIONS.format(lineitem='lineitem')}), e AS (SELECT * FROM r WHERE status = 'confirmed' OR (confidence >= 0.65 AND status <> 'rejected'))
+@query(f"""WITH r AS ({RELATIONS.format(lineitem='lineitem')}), e AS (SELECT * FROM r WHERE status = 'confirmed' OR (confidence >= 0.9 AND status = 'auto_linked'))
   SELECT file_id, relation, identity, confidence::DOUBLE AS confidence FROM e QUALIFY row_number() OVER (PARTITION BY file_id, relation ORDER BY confidence DESC, identity) = 1""")
 def search_relationships(spark, sf_dir):
     return ledger.strongest_relations(ledger.eligible_relations(_relations(spark, sf_dir)), "file_id", "relation", "identity")
@@ -178,10 +178,11 @@ def organize_field_priority(spark, sf_dir):
     return ledger.by_priority(rows.select("file_id", F.inline(options)), "file_id", "field", "value", ["issue_date", "document_date"])
 
 
-@query(f"""{FACTS_SQL}, c AS (SELECT substr(iso_date, 1, 7) AS project, customer_name, count(*) AS n FROM facts GROUP BY 1, 2)
-  SELECT project, customer_name FROM c QUALIFY row_number() OVER (PARTITION BY project ORDER BY n DESC, customer_name) = 1""")
+@query(f"""{FACTS_SQL}, c AS (SELECT substr(iso_date, 1, 7) AS project, customer_name, confidence, CASE WHEN user_confirmed THEN 'confirmed' WHEN confidence >= 0.2 THEN 'auto_linked' ELSE 'review' END AS status FROM facts)
+  SELECT project, customer_name FROM c WHERE status <> 'review' QUALIFY row_number() OVER (PARTITION BY project ORDER BY status = 'confirmed' DESC, confidence DESC, customer_name) = 1""")
 def organize_project_customers(spark, sf_dir):
-    return ledger.top_partner(adapted(spark, sf_dir, FACTS).withColumn("project", F.substring("iso_date", 1, 7)), "project", "customer_name")
+    status = F.when(F.col("user_confirmed"), "confirmed").when(F.col("confidence") >= 0.2, "auto_linked").otherwise("review")
+    return ledger.top_partner(adapted(spark, sf_dir, FACTS).withColumns({"project": F.substring("iso_date", 1, 7), "status": status}), "project", "customer_name")
 
 
 @query(f"""{FILES_SQL}, f AS ({plain(FACTS)}), g AS (SELECT file_id, concat_ws(',', CASE WHEN coalesce(text, '') = '' THEN 'text' END, CASE WHEN file_id NOT IN (SELECT file_id FROM f) THEN 'analysis' END, CASE WHEN file_id NOT IN (SELECT vec_id FROM embeddings) THEN 'vector' END) AS missing FROM files)
