@@ -103,7 +103,7 @@ def machine_name(p: Preferences) -> Column:
     kind, party = F.col("document_type"), F.coalesce("supplier", "customer")
     label = F.when(kind != "unknown", F.coalesce(_named(kind, SINGULAR), F.lit("Document")))
     known = F.array_compact(F.array(F.col("date"), party, label, F.col("identifier")))
-    parts = F.filter(F.transform(F.split(F.array_join(known, "_"), "_"), F.btrim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.array_join(known, "_"), "_"), lambda x: F.btrim(x)), lambda x: x != "")
     ending = F.regexp_extract("name", r"^.+([.][^.]+)$", 1)
     telling = (F.col("confidence") >= HIGH) & generic_name(F.col("name")) & (F.size(known) >= 2)
     return F.when(telling, F.concat(F.array_join(parts, "_"), ending)).otherwise(F.col("name"))
@@ -115,7 +115,7 @@ def equal_paths(a: Column, b: Column) -> Column:
 
 def disruption(source: Column, destination: Column, name: Column, new_name: Column) -> Column:
     """How much a move disturbs: the share of folders that change by .85, and .15 for a new name."""
-    a, b = (F.array_distinct(F.transform(c, F.lower)) for c in (source, destination))
+    a, b = (F.array_distinct(F.transform(c, lambda x: F.lower(x))) for c in (source, destination))
     shared = F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b), F.lit(1))
     renamed = F.when(F.lower(name) == F.lower(new_name), 0.0).otherwise(0.15)
     return F.when(equal_paths(source, destination) & (F.lower(name) == F.lower(new_name)), 0.0).otherwise((1 - shared) * 0.85 + renamed)
@@ -204,7 +204,7 @@ def compiled(files: DataFrame, p: Preferences = Preferences()) -> DataFrame:  #
 
 def _prefixes(folders: Column) -> Column:
     """Every folder on the way to a destination, lower-cased and joined; none of an empty one."""
-    low = F.transform(folders, F.lower)
+    low = F.transform(folders, lambda x: F.lower(x))
     return F.when(F.size(folders) > 0, F.transform(F.sequence(F.lit(1), F.size(folders)), lambda n: F.array_join(F.slice(low, 1, n), "\\"))).otherwise(F.array().cast("array<string>"))
 
 

@@ -8,23 +8,23 @@ from pyspark.sql import functions as F
 from folio.plans.lineage import store
 
 
-def _chains(edges: DataFrame, node: str, other: str) -> DataFrame:
-    """Nodes that hang on a node without parents by single parents alone, through any length; with ``node`` and ``other`` swapped, by single children.
+def _hanging(edges: DataFrame) -> DataFrame:
+    """Nodes of ``(u, v)`` edges that hang on a node without parents by single parents alone, through any length, or so on one without children.
 
-    Each node with one parent points at it; pointers are doubled until all have met a node that has none or several parents. A node still
-    pointing at one with a single parent after as many doublings as there are digits in their number hangs on a cycle of such nodes.
+    Each node with one parent points at it, each with one child at that; pointers are doubled until none moves on, which takes as many steps as the
+    longest chain has digits. A pointer that moves for longer goes round a cycle.
     """
-    parents = edges.groupBy(F.col(node).alias("n")).agg(F.count("*").alias("d"), F.min(other).alias("p"))
-    starts = edges.select(F.col(other).alias("n")).distinct().join(parents.select("n"), "n", "left_anti")
-    single = store(parents.where("d = 1").select("n", "p"), "single-parents")
-    pointers, left = single, single.count()
-    done = starts.withColumn("root", F.lit(True))
-    while left > 0:
-        # a pointer that is itself single moves on to where that points
-        ahead = pointers.select(F.col("n").alias("p"), F.col("p").alias("q"))
-        pointers = store(pointers.join(ahead, "p", "left").select("n", F.coalesce("q", "p").alias("p")), "pointers")
-        left >>= 1
-    return pointers.join(done.select(F.col("n").alias("p")), "p", "left_semi").select("n").unionByName(starts)
+    both = edges.select(F.lit("up").alias("d"), F.col("v").alias("n"), F.col("u").alias("p")).unionByName(edges.select(F.lit("down").alias("d"), F.col("u").alias("n"), F.col("v").alias("p")))
+    near = store(both.groupBy("d", "n").agg(F.count("*").alias("k"), F.min("p").alias("p")), "neighbours")
+    starts = store(both.select("d", F.col("p").alias("n")).distinct().join(near.select("d", "n"), ["d", "n"], "left_anti"), "ends")
+    pointers = store(near.where("k = 1").select("d", "n", "p"), "pointers")
+    left = pointers.count()
+    while left:
+        ahead = pointers.select("d", F.col("n").alias("p"), F.col("p").alias("q"))
+        moved = store(pointers.join(ahead, ["d", "p"], "left").select("d", "n", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "pointers")
+        pointers = moved.drop("moved")
+        left = 0 if moved.where("moved").isEmpty() else left >> 1
+    return pointers.join(starts.select("d", F.col("n").alias("p")), ["d", "p"], "left_semi").select("n").unionByName(starts.select("n")).distinct()
 
 
 def cyclic(edges: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
@@ -37,8 +37,7 @@ def cyclic(edges: DataFrame, parent: str = "parent", child: str = "child") -> Da
     left = store(edges.select(F.col(parent).alias("u"), F.col(child).alias("v")).where("u is not null and v is not null").distinct(), "taxonomy")
     count = left.count()
     while count:
-        free = _chains(left, "v", "u").unionByName(_chains(left, "u", "v")).distinct()
-        free = store(free, "acyclic-nodes")
+        free = store(_hanging(left), "acyclic-nodes")
         rest = left.join(free.select(F.col("n").alias("u")), "u", "left_anti").join(free.select(F.col("n").alias("v")), "v", "left_anti")
         left = store(rest.select("u", "v"), "taxonomy")
         now = left.count()

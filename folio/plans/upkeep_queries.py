@@ -278,12 +278,12 @@ def identity_superseded(spark, sf_dir):
 # taxonomies
 
 EDGES = """
-SELECT CAST(l_partkey % 90 AS BIGINT) AS parent, CAST(l_partkey % 90 + 1 + l_suppkey % 7 AS BIGINT) AS child FROM {lineitem}
-UNION ALL SELECT CAST(100 + c_custkey AS BIGINT), CAST(101 + c_custkey AS BIGINT) FROM {customer}
+SELECT CAST(l_partkey % 90 AS BIGINT) AS parent, CAST(l_partkey % 90 + 8 + l_suppkey % 12 AS BIGINT) AS child FROM {lineitem}
+UNION ALL SELECT CAST(200 + c_custkey AS BIGINT), CAST(201 + c_custkey AS BIGINT) FROM {customer}
 UNION ALL SELECT CAST(30 + n_nationkey AS BIGINT), CAST(20 + n_nationkey AS BIGINT) FROM {nation} WHERE n_nationkey < 3"""
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT parent, child FROM ({EDGES.format(lineitem='lineitem', customer='customer', nation='nation')}) AS x), small AS (SELECT * FROM e WHERE parent < 100),
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT parent, child FROM ({EDGES.format(lineitem='lineitem', customer='customer', nation='nation')}) AS x), small AS (SELECT * FROM e WHERE parent < 200),
   reach AS (SELECT parent AS u, child AS v FROM small UNION SELECT u, child FROM reach JOIN small ON v = parent), ring AS (SELECT DISTINCT u FROM reach WHERE u = v),
   below AS (SELECT u AS n FROM ring UNION SELECT v FROM reach WHERE u IN (FROM ring)), above AS (SELECT u AS n FROM ring UNION SELECT u FROM reach WHERE v IN (FROM ring))
   SELECT parent, child FROM small WHERE parent IN (FROM below) AND child IN (FROM above)""")
