@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,7 +33,8 @@ SAME = {
 }
 """For a start tag: the open elements that it closes, and those that shield outer ones."""
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPENING = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)", re.S)
+MARK = re.compile("[>\"']")
 HINT = re.compile(r"(?<![\w-])(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.S)
 # Words of class and id names that set an element aside, and those that may stand beside them in such a name.
 ASIDE = frozenset(
@@ -41,9 +43,11 @@ ASIDE = frozenset(
     "subscribe subscription share sharing social comment comments commentlist disqus replies respond widget widgets login signup searchform paywall "
     "pagination pager toolbar skiplink".split()
 )
+BOXES = ASIDE | frozenset("discussion responses related recommended rail adsbygoogle cookiebar bio".split())
+"""With names that set a box aside, but no single paragraph or heading."""
 BESIDE = frozenset(
-    "area bar blog body bottom box block buttons col column container content form global group holder icons inner item items left line link links list "
-    "main message mobile outer page panel post primary reader right row section secondary site slot text thread title top unit user wrap wrapper zone".split()
+    "area article author bar blog body bottom box block buttons col column container content form global group holder icons inner item items left line link links list "
+    "main message mobile outer page panel post posts primary reader right row section secondary site slot text thread title top unit user wrap wrapper zone".split()
 )
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -63,11 +67,11 @@ class Node:
         self.titled = tag == "h1"
 
 
-def _named_aside(value: str) -> bool:
+def _named_aside(value: str, names: frozenset[str] = ASIDE) -> bool:
     """Whether a class or id attribute names something set aside: one of its names has such a word and otherwise only words that tell where or how it stands."""
     for name in value.lower().split():
-        words = [w for w in re.split(r"[-_]+", name.replace("side-bar", "sidebar").replace("skip-link", "skiplink").replace("search-form", "searchform")) if w and not w.isdigit()]
-        if any(w in ASIDE for w in words) and all(w in ASIDE or w in BESIDE for w in words):
+        words = [w for w in re.split(r"[-_]+", name.replace("side-bar", "sidebar").replace("skip-link", "skiplink").replace("search-form", "searchform")) if w and not re.fullmatch("[0-9]+(x[0-9]+)?", w)]
+        if any(w in names for w in words) and all(w in names or w in BESIDE for w in words):
             return True
     return False
 
@@ -86,7 +90,7 @@ def _set_aside(tag: str, attributes: str, inside_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and _named_aside(value):
+        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and _named_aside(value, ASIDE if tag in ("p", *HEADINGS) else BOXES):
             return True
     return False
 
@@ -96,55 +100,111 @@ def _page_header(attributes: str) -> bool:
     return any(re.search(r"(?:^|\s)(?:(?:site|page|top|global|main)[-_])?header(?:[-_](?:bar|inner|wrap|wrapper|container))?(?:$|\s)", m[2] or m[3] or m[4] or "", re.I) for m in HINT.finditer(attributes) if m[1].lower() in ("class", "id"))
 
 
+class Tags:
+    """The tags, comments and doctypes of a page, each found by going forward once.
+
+    A quoted value ends at its next quote; a quote that nothing closes is a character like others. Where a tag finds no end behind quoted
+    values, they are broken: it and all later tags end at the next ``>``, so no part of a page is scanned more than twice.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.quoted = page, True
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+
+    def end(self, at: int) -> int:
+        """Where the tag whose attributes begin at ``at`` has its ``>``; -1 for none."""
+        begun = at
+        while m := MARK.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            at = self.page.index(m[0], m.end()) + 1 if self.quoted and m.start() < self.last[m[0]] else m.end()
+        self.quoted = False
+        return self.page.find(">", begun)
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """``(start, end, closing, name, attributes)`` of the first one from ``at``; names of comments and doctypes are empty."""
+        while m := OPENING.search(self.page, at):
+            if not m[2]:
+                return m.start(), m.end(), False, "", ""
+            if m.end() <= self.last[">"] and (stop := self.end(m.end())) >= 0:
+                return m.start(), stop + 1, bool(m[1]), m[2].lower(), self.page[m.end() : stop]
+            at = m.end()
+        return None
+
+
+class Open:
+    """The elements that are open, with the places of each name."""
+
+    def __init__(self, root: Node):
+        self.root, self.stack, self.where, self.blocks, self.articles = root, [], {}, [], 0
+
+    def here(self) -> Node:
+        return self.stack[-1] if self.stack else self.root
+
+    def push(self, node: Node) -> None:
+        self.where.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK and node.tag != "p":
+            self.blocks.append(len(self.stack))
+        self.articles += node.tag in ("article", "main")
+        self.stack.append(node)
+
+    def close(self, place: int) -> None:
+        """Close the element at a place and all in it."""
+        while len(self.stack) > place:
+            node = self.stack.pop()
+            self.where[node.tag].pop()
+            if self.blocks and self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+            self.articles -= node.tag in ("article", "main")
+
+    def begun(self, tag: str) -> None:
+        """Close what a start tag closes: the outermost element of its kind that nothing shields, or a paragraph in the same block."""
+        closes, shields = SAME.get(tag, ((), ()))
+        if closes:
+            shield = max((self.where[s][-1] for s in shields if self.where.get(s)), default=-1)
+        elif tag in CLOSES_P:
+            closes, shield = ("p",), self.blocks[-1] if self.blocks else -1
+        else:
+            return
+        places = [held[i] for c in closes if (held := self.where.get(c)) and (i := bisect_right(held, shield)) < len(held)]
+        if places:
+            self.close(min(places))
+
+
 def parse(page: str) -> Node:
     """A DOM of ``page`` that forgives missing end tags; comments, doctypes and raw-text elements carry no text."""
     root = Node("#root", None, False)
-    here, at, articles = root, 0, 0
+    tags, opened, at = Tags(page), Open(root), 0
     while True:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
+        m = tags.next(at)
+        here = opened.here()
+        text = page[at : m[0]] if m else page[at:]
         if text and not text.isspace():
             here.parts.append(html.unescape(text))
         elif text:
             here.parts.append(" ")
         if not m:
             return root
-        at = m.end()
-        if not m[2]:
+        _, at, closing, tag, attributes = m
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                while here is not node.parent:
-                    articles -= here.tag in ("article", "main")
-                    here = here.parent
+        if closing:
+            if held := opened.where.get(tag):
+                opened.close(held[-1])
             continue
-        closes, shields = SAME.get(tag, ((), ()))
-        if closes or tag in CLOSES_P:
-            node, last = here, None
-            while node is not root and node.tag not in shields:
-                if node.tag in closes or node.tag == "p" and tag in CLOSES_P:
-                    last = node
-                elif not closes and node.tag in BLOCK:
-                    break
-                node = node.parent
-            if last is not None:
-                here = last.parent
-        node = Node(tag, here, _set_aside(tag, m[3], articles > 0))
-        node.soft = not articles and bool(m[3]) and tag not in ("body", "html", "article", "main") and _page_header(m[3])
+        opened.begun(tag)
+        here = opened.here()
+        node = Node(tag, here, _set_aside(tag, attributes, opened.articles > 0))
+        node.soft = not opened.articles and bool(attributes) and tag not in ("body", "html", "article", "main") and _page_header(attributes)
         here.parts.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             at = page.find(">", end.start()) + 1 if end else len(page)
             at = at or len(page)
             continue
-        articles += tag in ("article", "main")
-        here = node
+        opened.push(node)
 
 
 def density(chars: int, tags: int, link_chars: int, link_tags: int, body_share: float) -> float:

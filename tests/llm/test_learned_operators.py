@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import textwrap
+import time
 import zlib
 from html.parser import HTMLParser
 
@@ -335,6 +336,32 @@ def test_main_text_sets_named_boxes_aside(name):
     assert html_text.main_text(page(f"<div class=header><h1>Head</h1></div><div>{PART * 3}</div>")) == lines("Head", *[PART_TEXT] * 3)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 350_000, "<a \"" * 250_000 + ">", "<a '>" * 200_000, "<span>" * 80_000 + "<li>" * 80_000, "<li><ul>" + "<span>" * 60_000 + "<li></li>" * 60_000, "<b>" * 100_000 + "</i>" * 100_000, "<p>" + "<i>" * 100_000 + "<div>" * 60_000,
+        "<!--" * 250_000, "<![" * 300_000, "<td><table>" * 60_000, "</p" * 300_000, "<" * 1_000_000, "<p>x</p>" * 60_000,
+    ],
+    ids=range(13),
+)
+def test_a_malformed_page_of_a_megabyte_takes_no_time(page):
+    began = time.process_time()
+    html_text.main_text("<article><p>kept</p></article>" + page)
+    assert time.process_time() - began < 6
+
+
+def test_broken_quotes_leave_no_markup():
+    assert html_text.main_text("<article><p title='a\"b>bad</p><p>good</p></article>") == "bad\n\ngood"
+    assert html_text.main_text("<article><p title=\"a>b\">one</p><p data-x='<i>'>two</p></article>") == "one\n\ntwo"
+    assert "one" in html_text.main_text("<article><p>one</p><p title=\"never closed>two</p></article>")
+
+
+@pytest.mark.parametrize("name", "article-comments discussion responses article-sidebar left-rail related related-posts recommended adsbygoogle ad-300x250 cookiebar author-bio".split())
+def test_more_boxes_inside_an_article_are_set_aside(name):
+    page = f"<article><p>{'The story goes on and on. ' * 8}</p><div class='{name}'><p>{'Not a part of it at all. ' * 4}</p></div></article>"
+    assert html_text.main_text(page) == ("The story goes on and on. " * 8).strip()
+
+
 def test_main_text_of_equal_densities_is_the_first_in_page_order():
     same = "<div><section><p>{0} one two three four five six seven eight.</p></section></div>"
     found = html_text.choose(html_text.parse(page(same.format("a") + "<footer>x</footer>")))
