@@ -18,8 +18,8 @@ from folio.plans.sizes import small, split_join
 
 TO_REVIEW = "TO_REVIEW"
 HIGH, LOW = 0.85, 0.65
-DIRTY_LIMIT, NEAR_LIMIT = 512, 2048
-"""Changed files, and files near them, up to which a proposal is built from what changed."""
+DIRTY_LIMIT = 512
+"""Changed files up to which a proposal is built from what changed, if the caller sets no other limit; ``incremental`` itself has none."""
 
 # Folders by type of document, areas of other business papers, names in file names, types that have a useful year.
 TYPE_FOLDERS = {
@@ -322,8 +322,8 @@ def dependencies(drafts: DataFrame) -> DataFrame:
 def incremental(drafts_before: DataFrame, proposal: DataFrame, changed: DataFrame, deleted: DataFrame, p: Preferences = Preferences()) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: B008
     """``(drafts, proposal, affected)`` after some files changed; equal to a whole build over all files.
 
-    ``drafts_before`` and ``proposal`` are the compiled drafts and the operations of the last revision, ``changed`` files as ``compiled`` takes them,
-    ``deleted`` ids. Only changed files are compiled. Then the effect is followed by keys: folders whose size crosses ``least_group``
+    ``drafts_before`` and ``proposal`` are the compiled drafts and the operations of the last revision, both stored, ``changed`` files as ``compiled`` takes
+    them, ``deleted`` ids. Only changed files are compiled. Then the effect is followed by keys: folders whose size crosses ``least_group``
     bring in the drafts that they are optional for; names in folders that any of these files leave or enter bring in all files that want
     a name of that stem. Everything else is carried over as it is. ``affected`` are the ids whose operations were computed again.
     """
@@ -364,6 +364,16 @@ def incremental(drafts_before: DataFrame, proposal: DataFrame, changed: DataFram
     return drafts, kept.select(*proposal.columns).unionByName(renewed.select(*proposal.columns)), renewed.select("file_id")
 
 
+def rebuild_reason(proposal: DataFrame, changed: DataFrame, deleted: DataFrame, rules_changed: bool = False, most: int = DIRTY_LIMIT) -> str | None:
+    """Why the next revision is built whole; null if it is built from what changed. Counts at most one row beyond the limit."""
+    if rules_changed:
+        return "preferences_or_rules_changed"
+    if proposal.isEmpty():
+        return "no_previous_proposal"
+    dirty = changed.select("file_id").unionByName(deleted.select("file_id")).distinct().limit(most + 1).count()
+    return "empty_dirty_set" if not dirty else f"dirty_set_too_large:>{most}" if dirty > most else None
+
+
 def grouped_before(drafts: DataFrame, operations: DataFrame) -> DataFrame:
     """Drafts as they were before collisions: the compiled draft with the folders that the operation kept."""
     size = operations.select("file_id", F.size("destination").alias("_n"), F.array_contains("reasons", "minimum_group_policy").alias("_cut"))

@@ -174,6 +174,14 @@ def test_proposals_equal_the_sequential_passes_and_increments_the_whole(spark):
     assert {i for i in new if new[i] != old.get(i)} <= touched
 
 
+def test_why_a_proposal_is_built_whole(spark):
+    ids = lambda n: spark.range(n).select(F.col("id").alias("file_id"))
+    reason = proposals.rebuild_reason
+    assert reason(ids(3), ids(1), ids(0), True) == "preferences_or_rules_changed" and reason(ids(0), ids(1), ids(0)) == "no_previous_proposal"
+    assert reason(ids(3), ids(0), ids(0)) == "empty_dirty_set" and reason(ids(3), ids(9), ids(2), most=8) == "dirty_set_too_large:>8"
+    assert reason(ids(3), ids(2), ids(3)) is None
+
+
 def test_destinations_follow_the_policy(spark):
     files = [
         {"file_id": 1, "path": "x/scan.pdf", "name": "scan.pdf", "document_type": "invoice", "customer": "Ann", "date": "2020-02-02", "identifier": "N1"},
