@@ -113,8 +113,8 @@ def phrase_matches(index: DataFrame, places: DataFrame, held: DataFrame, width:
 
 
 def rarest(places: DataFrame, held: DataFrame, terms: int = NEAR_TERMS) -> DataFrame:
-    """``(item, term)``: the rarest ``terms`` distinct terms of each item among those that some text holds, ties by term."""
-    rated = places.select("item", "term").distinct().join(small(held), "term")
+    """``(item, term)``: the rarest ``terms`` distinct terms of each item, ties by term; those that no text holds are the rarest, so their items are near nothing."""
+    rated = places.select("item", "term").distinct().join(small(held), "term", "left").withColumn("tf", F.coalesce("tf", F.lit(0)))
     order = Window.partitionBy("item").orderBy("tf", "term")
     return rated.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= terms).select("item", "term")
 

@@ -27,8 +27,8 @@ items AS (
 posts AS (SELECT doc_id, w[i] AS term, i FROM words, unnest(generate_series(1, len(w))) AS t(i)),
 rare AS (
   SELECT item_id, w, term, count(*) OVER (PARTITION BY item_id, w) AS need FROM (
-    SELECT item_id, w, term, row_number() OVER (PARTITION BY item_id, w ORDER BY tf, term) AS nth
-    FROM (SELECT DISTINCT item_id, w, unnest(w) AS term FROM item_words) JOIN (SELECT term, count(*) AS tf FROM posts GROUP BY term) USING (term)) AS r WHERE nth <= 3),
+    SELECT item_id, w, term, row_number() OVER (PARTITION BY item_id, w ORDER BY coalesce(tf, 0), term) AS nth
+    FROM (SELECT DISTINCT item_id, w, unnest(w) AS term FROM item_words) LEFT JOIN (SELECT term, count(*) AS tf FROM posts GROUP BY term) USING (term)) AS r WHERE nth <= 3),
 placed AS (SELECT doc_id, item_id, w, need, term, i FROM posts JOIN rare USING (term)),
 near AS (
   SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (

@@ -119,6 +119,13 @@ def test_proximity(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(1, 7, 1, 3), (3, 7, 0, 1)]
 
 
+def test_an_item_with_a_term_that_no_text_holds_is_near_nothing(spark):
+    docs = documents(spark, [(1, "the end", "s"), (2, "the xxx yyy zzz", "s")])
+    asks = spark.createDataFrame([(7, "the zzz yyy qqq"), (8, "the end"), (9, "the zzz yyy xxx")], "item_id long, text string")
+    got = {r["doc_id"]: r["n_near"] for r in decontamination.contamination(docs, asks).collect()}
+    assert got == {1: 1, 2: 1}
+
+
 def test_rarest_terms_give_candidates_and_the_other_lists_confirm(spark):
     rng = random.Random(2)
     words = [f"w{k}" for k in range(40)]
