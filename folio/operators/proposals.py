@@ -325,12 +325,13 @@ def incremental(drafts_before: DataFrame, proposal: DataFrame, changed: DataFram
     ``drafts_before`` and ``proposal`` are the compiled drafts and the operations of the last revision, both stored, ``changed`` files as ``compiled`` takes
     them, ``deleted`` ids. Only changed files are compiled. Then the effect is followed by keys: folders whose size crosses ``least_group``
     bring in the drafts that they are optional for; names in folders that any of these files leave or enter bring in all files that want
-    a name of that stem. Everything else is carried over as it is. ``affected`` are the ids whose operations were computed again.
+    a name of that stem. Everything else is carried over as it is, and nothing of it is written anew here. ``affected`` are the ids whose operations were computed again.
     """
     fresh = store(compiled(changed, p), "changed-drafts")
     gone = fresh.select("file_id").unionByName(deleted.select("file_id")).distinct()
     out = store(drafts_before.join(small(gone), "file_id", "left_semi"), "left-drafts")
-    drafts = store(drafts_before.join(small(gone), "file_id", "left_anti").unionByName(fresh.select(*drafts_before.columns)), "drafts-after")
+    gone = store(gone, "changed-ids")
+    drafts = drafts_before.join(small(gone), "file_id", "left_anti").unionByName(fresh.select(*drafts_before.columns))
     # folders whose size is now on the other side of the limit
     moved = group_sizes(fresh).select("folder", F.col("files").alias("d")).unionByName(group_sizes(out).select("folder", (-F.col("files")).alias("d")))
     moved = store(moved.groupBy("folder").agg(F.sum("d").alias("d")), "size-changes")
@@ -352,7 +353,7 @@ def incremental(drafts_before: DataFrame, proposal: DataFrame, changed: DataFram
 
     # what stands in the last proposal, with the name it wanted then
     wanted = F.when(F.array_contains("reasons", "collision_resolved"), F.col("machine_name")).otherwise(F.col("new_name"))
-    stands = store(proposal.withColumn("_wanted", wanted), "proposal-before")
+    stands = proposal.withColumn("_wanted", wanted)
     touched = names(again, "new_name").unionByName(names(stands.join(regrouped.unionByName(gone), "file_id", "left_semi"), "_wanted"))
     stems = touched.select("stem").distinct()
     rest = stands.join(gone.unionByName(regrouped), "file_id", "left_anti")
