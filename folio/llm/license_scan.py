@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import NOT_WORD, lower_ascii
@@ -24,6 +25,8 @@ SENTENCES = {
     "bsd.source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd.binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd.no-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd.advertising": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "bsd.no-endorsement-named": "The name of the copyright holder may not be used to endorse or promote products derived from this software without specific prior written permission.",
     "bsd.as-is": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     "bsd.named": "Licensed under the BSD License.",
     "bsd2.named": "Licensed under the BSD 2-Clause License.",
@@ -40,6 +43,9 @@ SENTENCES = {
     "gpl.hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "gpl.details": "See the GNU General Public License for more details.",
     "gpl.received": "You should have received a copy of the GNU General Public License along with this program.",
+    "lgpl21.free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl.hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl.details": "See the GNU Lesser General Public License for more details.",
     "gpl3.named": "This work is licensed under the GNU General Public License, version 3.",
     "gpl2.named": "This work is licensed under the GNU General Public License, version 2.",
     "lgpl3.named": "This work is licensed under the GNU Lesser General Public License, version 3.",
@@ -58,22 +64,36 @@ SENTENCES = {
     "reserved": "All rights reserved.",
 }
 
+# Known sentences that name their holder: what stands before and behind the name, and the name in ``SENTENCES``.
+HOLDERS = [
+    ("Neither the name of", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "the copyright holder"),
+    ("The name of", "may not be used to endorse or promote products derived from this software without specific prior written permission.", "the copyright holder"),
+    ("This software is provided by", "\"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.", "the copyright holders and contributors"),
+]
+HOLDER_WORDS = 24
+"""Words that a holder's name may have."""
+
 # Licences (SPDX names where there are any) by sequences of sentences; earlier rules take their sentences first.
 RULES = [
     ("MIT", ("mit.grant", "mit.notice-kept", "mit.as-is", "mit.liability")),
+    ("BSD-4-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.advertising", "bsd.no-endorsement", "bsd.as-is")),
     ("BSD-3-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.no-endorsement", "bsd.as-is")),
+    ("BSD-3-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.no-endorsement-named", "bsd.as-is")),
     ("BSD-2-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.as-is")),
     ("ISC", ("isc.grant", "isc.as-is")),
     ("Apache-2.0", ("apache2.header", "apache2.copy", "apache2.as-is", "apache2.limits")),
     ("Apache-2.0", ("apache2.header", "apache2.copy-at", "apache2.address", "apache2.as-is", "apache2.limits")),
     ("GPL-3.0-or-later", ("gpl.free", "gpl.hope", "gpl.details", "gpl.received")),
     ("GPL-2.0-or-later", ("gpl2.free", "gpl.hope", "gpl.details", "gpl.received")),
+    ("LGPL-2.1-or-later", ("lgpl21.free", "lgpl.hope", "lgpl.details")),
     ("MPL-2.0", ("mpl2.form", "mpl2.copy")),
     ("MIT", ("mit.grant", "mit.notice-kept")),
+    ("BSD", ("bsd.grant", "bsd.source", "bsd.binary")),
     ("MIT", ("mit.title",)),
     ("Apache-2.0", ("apache2.header",)),
     ("GPL-3.0-or-later", ("gpl.free",)),
     ("GPL-2.0-or-later", ("gpl2.free",)),
+    ("LGPL-2.1-or-later", ("lgpl21.free",)),
     ("MPL-2.0", ("mpl2.form",)),
     ("MIT", ("mit.named",)),
     ("MIT", ("mit.named-licensed",)),
@@ -97,24 +117,66 @@ RULES = [
     ("Proprietary", ("reserved",)),
 ]
 
+# Licences by their tag in a source file, for every SPDX name above.
+SPDX = sorted({name for name, _ in RULES} - {"BSD", "Proprietary"})
+SENTENCES |= {f"spdx.{name}": f"SPDX-License-Identifier: {name}" for name in SPDX}
+RULES += [(name, (f"spdx.{name}",)) for name in SPDX]
+
+CLOSE = [("bsd.binary", "bsd.as-is"), ("bsd.binary", "bsd.no-endorsement"), ("bsd.binary", "bsd.no-endorsement-named")]
+"""Sentences that no unknown one may part: a clause between them makes another licence."""
+
 # Abbreviations before a full stop that ends no sentence, and marks that begin a line of a comment or a list.
 ABBREVIATIONS = ("v", "vs", "no", "inc", "ltd", "corp", "e.g", "i.e")
 COMMENT_MARK = r"(?m)^[ \t]*(?:(?:#|//|/?\*|--|;|%|<!--|\"|')+(?:[*/>-]*[ \t]+|$))"
 LIST_MARK = r"\r?\n[ \t]*(?=(?:[*•-]|[(]?(?:[0-9]{1,2}|[a-z])[.)])[ \t])"
+LONE_MARK = r"^[ \t]*[(]?(?:[0-9]{1,2}|[a-z])[.)]?[ \t]*$"
 END = "".join(rf"(?<!\b{a.replace('.', '[.]')}[.])" for a in ABBREVIATIONS) + r"(?<=[.!?])[ \t\n\x0B\f\r]+"
 BREAK = rf"{END}|(?:\r?\n[ \t]*){{2,}}|{LIST_MARK}"
 LINE_ENDS = r"[\n\r]+"
 
 
 def normal_form(sentence: str) -> str:
-    """A-Z lower-cased, every run of other ASCII than letters and digits one space, none at the ends."""
+    """A-Z lower-cased, every run of other ASCII than letters and digits one space, none at the ends; ``licence`` spelled ``license``."""
     low = re.sub("[A-Z]", lambda m: m[0].lower(), sentence)
-    return re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", low).strip(" ")
+    return re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", low).strip(" ").replace("licence", "license")
 
 
 def normalised(sentence: Column) -> Column:
     """``normal_form`` of a column that is lower-cased already."""
-    return F.btrim(F.regexp_replace(sentence, f"{NOT_WORD}+", " "))
+    return F.replace(F.btrim(F.regexp_replace(sentence, f"{NOT_WORD}+", " ")), F.lit("licence"), F.lit("license"))
+
+
+def unnamed(norm: Column) -> Column:
+    """A normal form with the holder of ``HOLDERS`` in the place of another of at most ``HOLDER_WORDS`` words."""
+    out = norm
+    for before, behind, holder in HOLDERS:
+        a, b = normal_form(before), normal_form(behind)
+        held = F.startswith(norm, F.lit(f"{a} ")) & F.endswith(norm, F.lit(f" {b}"))
+        name = F.regexp_extract(norm, f"^{a} (.*) {b}$", 1)
+        fits = (name != "") & (F.size(F.split(name, " ")) <= HOLDER_WORDS)
+        out = F.when(held, F.when(fits, f"{a} {normal_form(holder)} {b}").otherwise(norm)).otherwise(out)
+    return out
+
+
+def short_notices(table: dict[str, str]) -> dict[str, str]:
+    """Normal forms, with their identifiers, of the sentences that name a licence; they are met inside lines too."""
+    return {normal_form(s): k for k, s in table.items() if k.endswith(".named") or k.endswith(".named-licensed") or k.startswith("spdx.")}
+
+
+def inside(line: Column, notices: dict[str, str]) -> Column:
+    """Normal forms of ``notices`` inside a normalised line, left to right, the longest at a place; all names of an SPDX expression count.
+
+    Only a line with their first words is searched.
+    """
+    longest = lambda words: "|".join(sorted(words, key=lambda w: (-len(w), w)))
+    tag = normal_form("SPDX-License-Identifier:") + " "
+    names = [n.removeprefix(tag) for n in notices if n.startswith(tag)]
+    openings = sorted({" ".join(n.split(" ")[:2]) for n in notices})
+    spread = F.regexp_replace(line, f"(?<= or | and )(?=(?:{longest(names)})(?![^ ]))", tag) if names else line
+    asked = F.when(F.contains(line, F.lit(tag)), spread).otherwise(line)
+    found = F.regexp_extract_all(asked, F.lit(f"(?<![^ ])(?:{longest(notices)})(?![^ ])"), F.lit(0))
+    opened = reduce(lambda a, b: a | b, [F.contains(line, F.lit(o)) for o in openings])
+    return F.when(opened, found).otherwise(F.array().cast("array<string>"))
 
 
 def known_sentences(spark: SparkSession, sentences: dict[str, str] | None = None) -> DataFrame:
@@ -126,30 +188,37 @@ def known_sentences(spark: SparkSession, sentences: dict[str, str] | None = None
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def recognised(docs: DataFrame, id_col: str, text_col: str, known: DataFrame, most_words: int) -> DataFrame:
+def recognised(docs: DataFrame, id_col: str, text_col: str, known: DataFrame, most_words: int, notices: dict[str, str] | None = None) -> DataFrame:
     """``(doc, piece, line, sid)``: every occurrence of a known sentence in every whole text, with its place.
 
     Marks that begin lines of comments go first. A piece ends at a full stop, exclamation or question mark before a blank
     (``ABBREVIATIONS`` aside), at an empty line, or before an item of a list. Sentences are its lines, and, so that wrapped ones are found,
     its first and its last lines together, up to all of them; ``line`` is where a sentence begins. Lines without words do not
-    count, so no sentence of ``most_words``, the most that a known one has, crosses more lines. Sentences meet the table in a
-    broadcast join of fixed size, so one that a third of all texts holds is never gathered.
+    count, so no sentence of ``most_words``, the most that a known one has with its holder, crosses more lines. ``notices`` are met inside lines too, once a
+    line, unless a known sentence crosses that line: there they are parts of it. Sentences meet the table in a
+    broadcast join of fixed size, so one that a third of all texts holds is never gathered. Pieces with words, a list item's mark aside, are numbered from 0 in each text.
     """
     low = docs.select(F.col(id_col).alias("doc"), F.regexp_replace(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), COMMENT_MARK, "").alias("low"))
-    pieces = low.select("doc", F.posexplode(F.split("low", BREAK)).alias("piece", "body"))
+    worded = F.filter(F.split("low", BREAK), lambda s: s.rlike("[0-9a-z]|[^\\x00-\\x7F]") & ~((F.length(s) < 8) & s.rlike(LONE_MARK)))
+    pieces = low.select("doc", F.posexplode(worded).alias("piece", "body"))
     several = F.contains("body", F.lit("\n")) | F.contains("body", F.lit("\r"))
     cut = F.when(several, F.filter(F.transform(F.split("body", LINE_ENDS), normalised), lambda s: s != "")).otherwise(F.array(normalised(F.col("body"))))
     lines = pieces.select("doc", "piece", cut.alias("lines")).where("size(lines) > 0")
     n = F.size("lines")
-    sentence = lambda line, norm: F.struct(line.cast("int").alias("line"), norm.alias("norm"))
-    single = F.transform("lines", lambda s, i: sentence(i, s))
+    sentence = lambda line, norm, upto, whole=True: F.struct(line.cast("int").alias("line"), norm.alias("norm"), upto.cast("int").alias("upto"), F.lit(whole).alias("whole"))
+    single = F.transform("lines", lambda s, i: sentence(i, s, i))
     some = F.sequence(F.lit(2), F.least(n, F.lit(most_words)))
     joined = lambda at, k: F.array_join(F.slice("lines", at + 1, k), " ")
-    first = F.transform(some, lambda k: sentence(F.lit(0), joined(F.lit(0), k)))
-    last = F.transform(some, lambda k: sentence(n - k, joined(n - k, k)))
+    first = F.transform(some, lambda k: sentence(F.lit(0), joined(F.lit(0), k), k - 1))
+    last = F.transform(some, lambda k: sentence(n - k, joined(n - k, k), n - 1))
     tried = F.when(n > 1, F.concat(single, first, last)).otherwise(single)
-    found = lines.select("doc", "piece", F.inline(tried)).join(F.broadcast(known), "norm")
-    return found.select("doc", "piece", "line", "sid").distinct()
+    if notices:
+        tried = F.concat(tried, F.flatten(F.transform("lines", lambda s, i: F.transform(inside(s, notices), lambda part: sentence(i, part, i, False)))))
+    found = lines.select("doc", "piece", F.inline(tried)).withColumn("norm", unnamed(F.col("norm"))).join(F.broadcast(known), "norm")
+    order = Window.partitionBy("doc").orderBy("piece", "line").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = F.max(F.when(F.col("whole"), F.struct("piece", "upto"))).over(order)
+    covered = F.coalesce((F.col("taken.piece") == F.col("piece")) & (F.col("taken.upto") >= F.col("line")), F.lit(False))
+    return found.withColumn("taken", taken).where(F.col("whole") | ~covered).select("doc", "piece", "line", "sid").distinct()
 
 
 def match_rules(sequences: DataFrame, rules: list[tuple[str, tuple[str, ...]]]) -> DataFrame:
@@ -170,21 +239,39 @@ def match_rules(sequences: DataFrame, rules: list[tuple[str, tuple[str, ...]]])
     return out.withColumn("licenses", F.array_sort(F.array_distinct("_hits"))).drop("_left", "_hits")
 
 
+GAP = "?"
+"""Stands for unknown words between two sentences of ``CLOSE``."""
+
+
+def _with_gaps(places: Column) -> Column:
+    """Identifiers of sorted ``array<struct<piece, line, sid>>``, ``GAP`` before one that unknown pieces part from its ``CLOSE`` predecessor."""
+
+    def step(x: Column, i: Column) -> Column:
+        before = F.get(places, i - 1)
+        pair = reduce(lambda a, b: a | b, [(before["sid"] == a) & (x["sid"] == b) for a, b in CLOSE])
+        return F.when((i > 0) & pair & (x["piece"] - before["piece"] > 1), F.array(F.lit(GAP), x["sid"])).otherwise(F.array(x["sid"]))
+
+    return F.flatten(F.transform(places, step))
+
+
 def scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sentences: dict[str, str] | None = None, rules: list[tuple[str, tuple[str, ...]]] | None = None,
 ) -> DataFrame:
     """``(id_col, sids, licenses)`` for every document: known sentences in order of place, and the licences they make up.
 
-    A sentence that a text repeats counts at each of its places; of sentences that begin at one place the first by identifier comes first. Null, empty and blank texts have none. Rows that repeat
+    Names of holders count as those of ``HOLDERS``. Sentences of ``CLOSE`` between which other words stand don't follow each other for a rule, so a
+    BSD text with an unknown clause is no more than ``BSD``. A sentence that a text repeats counts at each of its places; of sentences that begin at one place the first by identifier comes first. Null, empty and blank texts have none. Rows that repeat
     id and text give one row, an id with several texts a row for each.
     """
     table = SENTENCES if sentences is None else sentences
     doc = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"))
     slim = docs.select(doc.alias("_doc"), F.col(text_col).alias("_text"))
-    found = recognised(slim, "_doc", "_text", known_sentences(docs.sparkSession, table), max((len(normal_form(s).split()) for s in table.values()), default=1))
+    most_words = max((len(normal_form(s).split()) for s in table.values()), default=1) + HOLDER_WORDS
+    found = recognised(slim, "_doc", "_text", known_sentences(docs.sparkSession, table), most_words, short_notices(table))
     listed = found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("piece", "line", "sid"))).alias("s"))
-    judged = match_rules(listed.select("doc", F.col("s.sid").alias("sids")), RULES if rules is None else rules)
+    judged = match_rules(listed.select("doc", _with_gaps(F.col("s")).alias("sids")), RULES if rules is None else rules)
+    judged = judged.withColumn("sids", F.array_remove("sids", GAP))
     every = slim.select("_doc").distinct()
     none = F.array().cast("array<string>")
     out = every.join(judged, every["_doc"] == judged["doc"], "left")

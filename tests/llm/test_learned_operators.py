@@ -175,6 +175,33 @@ def test_licences_at_every_place(spark):
     assert got == {0: (9, "BSD-2-Clause,BSD-3-Clause"), 1: (6, "BSD-2-Clause,Proprietary"), 2: (4, "BSD-2-Clause"), 3: (3, "Proprietary"), 4: (1, "Proprietary"), 5: (4, "MIT")}
 
 
+def brute_unnamed(norm):
+    """The normal form with the known holder in the place of its own."""
+    for before, behind, holder in license_scan.HOLDERS:
+        a, b = license_scan.normal_form(before) + " ", " " + license_scan.normal_form(behind)
+        if norm.startswith(a) and norm.endswith(b) and 0 < len(norm[len(a) : -len(b)].split()) <= license_scan.HOLDER_WORDS:
+            return a + license_scan.normal_form(holder) + b
+    return norm
+
+
+def brute_notices(row, known):
+    """Identifiers of the short notices in a line, word by word, the longest at a place."""
+    short = {k: sid for k, sid in known.items() if ".named" in sid or sid.startswith("spdx.")}
+    tag, words, out, i = ["spdx", "license", "identifier"], row.split(" "), [], 0
+    if any(words[k : k + 3] == tag for k in range(len(words))):
+        spread = []
+        for k, w in enumerate(words):
+            named = any(" ".join([*tag, *words[k:j]]) in short for j in range(k + 1, len(words) + 1))
+            spread += [*tag, w] if named and k and words[k - 1] in ("or", "and") else [w]
+        words = spread
+    while i < len(words):
+        ends = [j for j in range(len(words), i, -1) if " ".join(words[i:j]) in short]
+        if ends:
+            out.append(short[" ".join(words[i : ends[0]])])
+        i = ends[0] if ends else i + 1
+    return out
+
+
 def brute_sentences(text):
     """Identifiers of known sentences in order of place, by a plain walk over the text."""
     known = {license_scan.normal_form(v): k for k, v in license_scan.SENTENCES.items()}
@@ -209,7 +236,9 @@ def brute_sentences(text):
         rows = [x for x in map(license_scan.normal_form, body) if x]
         n = len(rows)
         spans = {(i, i + 1) for i in range(n)} | {(0, k) for k in range(2, n + 1)} | {(n - k, n) for k in range(2, n + 1)}
-        out += sorted((i, known[k]) for i, j in spans if (k := " ".join(rows[i:j])) in known)
+        whole = {(i, j, known[k]) for i, j in spans if (k := brute_unnamed(" ".join(rows[i:j]))) in known}
+        parts = {(i, sid) for i, row in enumerate(rows) if not any(a <= i < b for a, b, _ in whole) for sid in brute_notices(row, known)}
+        out += sorted({(i, sid) for i, _, sid in whole} | parts)
     return [sid for _, sid in out]
 
 
@@ -220,7 +249,9 @@ def test_licence_sentences_equal_brute_force(spark):
     for _ in range(150):
         parts = []
         for key in rng.choices(keys, k=rng.randrange(1, 7)):
-            body = s[key]
+            body = s[key].replace("the copyright holder", rng.choice(["the copyright holder", "Foo Inc.", "The Regents of X", "word " * 30]))
+            if rng.random() < 0.2:
+                body = "Foo library - " + body.rstrip(".") + rng.choice([".", ", see LICENSE.", " or Apache-2.0", " AND GPL-2.0-or-later"])
             if rng.random() < 0.5:
                 body = textwrap.fill(body, rng.choice([30, 60, 79]))
             parts.append(rng.choice(["Some words here\n", "Copyright 2020 A. B.\n", "", "1. ", "x "]) + body)
@@ -231,6 +262,7 @@ def test_licence_sentences_equal_brute_force(spark):
     got = {r["doc_id"]: r["sids"] for r in license_scan.scan(documents(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
     want = {k: brute_sentences(t) for k, t in enumerate(texts)}
     assert sum(map(len, want.values())) > 300
+    assert any("bsd.no-endorsement" in x for x in want.values())
     assert [(texts[k], got[k], want[k]) for k in want if got[k] != want[k]][:2] == []
 
 
@@ -267,6 +299,24 @@ def test_licence_notices_as_they_stand_in_files(spark):
         license_scan.known_sentences(spark, {"x": "One sentence. And another"})
 
 
+def test_licences_with_holders_tags_and_notices_inside_lines(spark):
+    s = license_scan.SENTENCES
+    third = "Neither the name of Foo Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    author = "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission."
+    as_is = s["bsd.as-is"].replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "FOO INC")
+    bsd = lambda *clauses, end=as_is: "\n\n".join([s["bsd.grant"], "1. " + s["bsd.source"], "2. " + s["bsd.binary"], *clauses, textwrap.fill(end, 70)])
+    cases = [
+        (bsd(textwrap.fill("3. " + third, 60)), "BSD-3-Clause"), (bsd("3. " + author), "BSD-3-Clause"), (bsd(), "BSD-2-Clause"), (bsd("3. No one may use the logo."), "BSD"),
+        (bsd("3. " + s["bsd.advertising"] + "\nThis product includes software developed by Foo.", "4. " + third), "BSD-4-Clause"),
+        (bsd("3. All users must sing.", "4. " + third), "BSD"), ("Foo library - Licensed under the MIT License.", "MIT"), ("Licensed under the MIT licence.", "MIT"),
+        ("/* SPDX-License-Identifier: MIT */\nint x;", "MIT"), ("// SPDX-License-Identifier: (MIT OR GPL-2.0-or-later)", "GPL-2.0-or-later,MIT"), ("# SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"),
+        ("Code: licensed under the Apache License, Version 2.0, see LICENSE", "Apache-2.0"), (s["lgpl21.free"] + "\n" + s["lgpl.hope"] + " " + s["lgpl.details"], "LGPL-2.1-or-later"),
+        ("unlicensed under the mit license", ""), ("Licensed under the MIT Licensed", ""), ("SPDX-License-Identifier: MIT\nparts licensed under CC BY 4.0 by X", "CC-BY-4.0,MIT"), ("SPDX-License-Identifier: MITX", ""),
+    ]
+    got = {r["doc_id"]: ",".join(r["licenses"]) for r in license_scan.scan(documents(spark, [(k, t, "s") for k, (t, _) in enumerate(cases)])).collect()}
+    assert [got[k] for k in range(len(cases))] == [name for _, name in cases]
+
+
 def test_licence_rules_take_their_sentences(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "c", "b"]), (3, []), (4, ["a", "b", "a", "b"])], "id long, sids array<string>")
     got = license_scan.match_rules(df, [("AB", ("a", "b")), ("A", ("a",)), ("B", ("b",))])
