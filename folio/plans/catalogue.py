@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.operators import catalog, identity, index, organize, search, understanding
-from folio.plans import content_queries, document_queries, hybrid_queries, identity_queries, ledger_queries, proposal_queries, state_queries, text_queries, upkeep_queries  # noqa: F401  (they register their queries)
+from folio.plans import content_queries, document_queries, hybrid_queries, identity_queries, ledger_queries, proposal_queries, routing_queries, state_queries, text_queries, upkeep_queries  # noqa: F401  (they register their queries)
 from folio.plans.registry import FACTS_SQL, FILES_SQL, ORACLES, QUERIES, STATES_SQL, TEXT_SQL, TOKENS_SQL, WATCH_SQL, asked_tokens, doc_text, documents, files, query, states, text_index  # noqa: F401
 from folio.sources.adapters import FACTS, OCCURRENCES, PREDICTIONS, WATCH, adapted, plain
 from folio.sources.tables import table
