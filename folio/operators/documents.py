@@ -193,6 +193,37 @@ def business_fields(labelled: DataFrame, types: DataFrame, id_col: str) -> DataF
     return met.groupBy(id_col, "field").agg(first).select(id_col, "field", F.col("b.value").alias("value"))
 
 
+# How a document's number is written behind its label, and words that no supplier's header holds.
+DOCUMENT_NUMBER = r"(?i)\b(facture|invoice|devis|quote|quotation|estimate)\s*(?:number|no\.?|n[°o.]?|#)?\s*[:#.\-]?\s*([A-Z0-9][A-Z0-9._/\-]{2,47})\b"
+NO_HEADER = ("facture", "invoice", "devis", "quote")
+NUMBER_LABELS = {"invoice": ("facture", "invoice"), "quote": ("devis", "quote", "quotation", "estimate")}
+
+
+def identifiers(docs: DataFrame, id_col: str, text: Column, document_type: Column, quality: Column, most: int = 8) -> DataFrame:
+    """``(id_col, position, number, original, confidence)`` of the numbers behind a label of the document's type, among the first ``most`` labelled words.
+
+    Numbers are upper-cased without marks at their ends; one without a digit, or shorter than three characters, is none. ``quality`` is between 0 and 1.
+    """
+    part = lambda g, name: F.slice(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(DOCUMENT_NUMBER), F.lit(g)), 1, most).alias(name)
+    rows = docs.select(id_col, document_type.alias("_type"), quality.alias("_q"), F.posexplode(F.arrays_zip(part(1, "label"), part(2, "number"))).alias("position", "_m"))
+    fits = reduce(lambda a, b: a | b, [(F.col("_type") == kind) & F.lower("_m.label").isin(*labels) for kind, labels in NUMBER_LABELS.items()])
+    number = F.upper(F.regexp_replace("_m.number", r"^[._/\-]+|[._/\-]+$", ""))
+    found = rows.where(fits).select(id_col, F.col("position").cast("long").alias("position"), number.alias("number"), F.col("_m.number").alias("original"), adjusted(F.lit(0.98), F.col("_q")).alias("confidence"))
+    return found.where((F.length("number") >= 3) & F.col("number").rlike("[0-9]"))
+
+
+def supplier_header(text: Column) -> Column:
+    """The first of a text's first four lines that reads like a firm's name: at least seven tenths of its two or more letters capitals, at most 80 characters, no word of ``NO_HEADER``; null without."""
+    lines = F.transform(F.slice(F.split(text, r"\r?\n"), 1, 4), lambda line: F.regexp_replace(line, r"^\s+|\s+$", ""))
+
+    def plausible(line: Column) -> Column:
+        letters, capitals = F.length(F.regexp_replace(line, r"\P{L}+", "")), F.length(F.regexp_replace(line, r"\P{Lu}+", ""))
+        named = reduce(lambda a, b: a | b, [F.contains(F.lower(line), F.lit(w)) for w in NO_HEADER])
+        return (letters >= 2) & (F.length(line) <= 80) & (capitals * 10 >= letters * 7) & ~named
+
+    return F.get(F.filter(lines, plausible), F.lit(0))
+
+
 def analysis_status(fields: DataFrame, quality: DataFrame, id_col: str) -> DataFrame:
     """``(id_col, status)`` of every row of ``quality`` ``(id_col, band)`` by its ``fields`` ``(id_col, field, value, status)``.
 

@@ -165,3 +165,37 @@ def semantic_first_evidence(spark, sf_dir):
 def semantic_entity_dedupe(spark, sf_dir):
     rows = adapted(spark, sf_dir, FACTS).where("currency is not null")
     return docs_ops.first_by(rows, ["customer_name", "currency"], [F.desc("confidence"), F.col("file_id")]).select("customer_name", "currency", "file_id")
+
+
+# the text without its title, under its customer's name in capitals where the id is even
+_HEADED_SQL = f"""{TEXT_SQL}, headed AS (SELECT file_id, CASE WHEN starts_with(extracted_text, 'FACTURE') THEN 'invoice' WHEN starts_with(extracted_text, 'DEVIS') THEN 'quote' END AS kind,
+  CASE WHEN file_id % 2 = 0 THEN 'MAISON ' || (file_id % 50) || chr(10) ELSE '' END || replace(replace(extracted_text, 'FACTURE' || chr(10), ''), 'DEVIS' || chr(10), '') AS t FROM docs)"""
+
+
+def _headed(spark, sf_dir):
+    rows = doc_text(spark, sf_dir)
+    kind = F.when(F.startswith("extracted_text", F.lit("FACTURE")), "invoice").when(F.startswith("extracted_text", F.lit("DEVIS")), "quote")
+    bare = F.replace(F.replace("extracted_text", F.lit("FACTURE\n"), F.lit("")), F.lit("DEVIS\n"), F.lit(""))
+    head = F.when(F.col("file_id") % 2 == 0, F.concat(F.lit("MAISON "), (F.col("file_id") % 50).cast("string"), F.lit("\n"))).otherwise("")
+    return rows.select("file_id", kind.alias("kind"), F.concat(head, bare).alias("t"))
+
+
+_NUMBER = docs_ops.DOCUMENT_NUMBER.replace("'", "''")
+
+
+@query(f"""{_HEADED_SQL}, m AS (SELECT file_id, kind, unnest(regexp_extract_all(t, '{_NUMBER}', 1)[1:8]) AS label, unnest(regexp_extract_all(t, '{_NUMBER}', 2)[1:8]) AS number, unnest(range(8)) AS position FROM headed)
+  SELECT file_id, position, trim(upper(number), '._/-') AS number, number AS original, round(0.98 * 0.9, 6)::DOUBLE AS confidence FROM m
+  WHERE number IS NOT NULL AND ((kind = 'invoice' AND lower(label) IN ('facture', 'invoice')) OR (kind = 'quote' AND lower(label) IN ('devis', 'quote', 'quotation', 'estimate')))
+    AND regexp_matches(number, '[0-9]') AND length(trim(number, '._/-')) >= 3""")
+def semantic_identifiers(spark, sf_dir):
+    found = docs_ops.identifiers(_headed(spark, sf_dir), "file_id", F.col("t"), F.col("kind"), F.lit(0.8))
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"""{_HEADED_SQL}, l AS (SELECT file_id, trim(unnest(string_split(t, chr(10))[1:4])) AS line, unnest(range(4)) AS n FROM headed)
+  SELECT file_id, arg_min(line, n) AS supplier FROM l WHERE length(regexp_replace(line, '\\P{{L}}', '', 'g')) >= 2 AND length(line) <= 80
+    AND length(regexp_replace(line, '\\P{{Lu}}', '', 'g')) * 100 >= length(regexp_replace(line, '\\P{{L}}', '', 'g')) * 70
+    AND NOT regexp_matches(lower(line), 'facture|invoice|devis|quote') GROUP BY file_id""")
+def semantic_supplier_header(spark, sf_dir):
+    rows = _headed(spark, sf_dir).select("file_id", docs_ops.supplier_header(F.col("t")).alias("supplier"))
+    return rows.where("supplier is not null")

@@ -8,7 +8,7 @@ import zipfile
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from folio.operators import chunks, detection, organize, ranking, understanding
+from folio.operators import chunks, detection, documents, organize, ranking, understanding
 from folio.plans import catalogue
 from folio.sources import readers
 
@@ -113,3 +113,15 @@ def test_confirmed_facts_shadow_others(spark):
     assert {r["id"]: (round(r["amount"], 3), r["amount_mismatch"]) for r in scores.collect()} == {1: (0.0, True), 2: (0.95, False), 3: (1.0, False), 4: (0.0, False)}
     assert {r["id"]: round(r["score"], 3) for r in ranking.hybrid_score(scores, "id", {"amount": 0.18}).collect()} == {2: 0.171, 3: 0.18}
     assert {r["id"] for r in ranking.matching_files(scores, "id", ["amount"]).collect()} == {2, 3}
+
+
+def test_numbers_behind_labels_and_headers_of_firms(spark):
+    rows = [
+        (1, "invoice", "Facture No: INV-7.\nDevis no Q-9\ninvoice # ABC\nInvoice: 12"), (2, "quote", "ÉTS DUPONT 12\nDevis n° D/2020-1"), (3, "letter", "Facture 123"), (4, "invoice", None),
+        (5, "invoice", "\n\n  \n\nACME SA"), (6, "invoice", "FACTURE X1\n  ACME sA  \nOTHER"), (7, "quote", "X\nAc\n" + "A" * 81 + "\nÀB"), (8, "invoice", " ".join(f"invoice W{k:03d};" for k in range(10))), (9, "quote", ""),
+    ]
+    docs = spark.createDataFrame(rows, "k long, kind string, t string")
+    got = sorted((r["k"], r["position"], r["number"]) for r in documents.identifiers(docs, "k", F.col("t"), F.col("kind"), F.lit(1.0)).collect())
+    assert got == [(1, 0, "INV-7"), (2, 0, "D/2020-1"), *[(8, k, f"W{k:03d}") for k in range(8)]]
+    heads = {r["k"]: r["h"] for r in docs.select("k", documents.supplier_header(F.col("t")).alias("h")).collect()}
+    assert heads == {1: None, 2: "ÉTS DUPONT 12", 3: None, 4: None, 5: None, 6: "ACME sA", 7: "ÀB", 8: None, 9: None}
