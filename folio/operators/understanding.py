@@ -68,10 +68,11 @@ def resolve(candidates: DataFrame, key: list[str], value: str, confidence: str,
     """``key`` with ``value``, ``confidence``, ``status``: one answer from competing candidates, or none.
 
     Repeated values support each other: the strongest keeps its confidence plus .18 of each other, .99 at most. Two
-    different values at ``least`` or more and closer than ``close`` conflict; below ``least`` nothing is known.
+    different values at ``least`` or more and closer than ``close`` conflict; below ``least`` nothing is known. Merged confidences
+    are rounded to nine places before they are compared, so the order in which a sum is added up decides nothing.
     """
     merged = candidates.groupBy(*key, value).agg(F.max(confidence).alias("_top"), F.sum(confidence).alias("_all"))
-    merged = merged.withColumn("_c", F.least(F.col("_top") + 0.18 * (F.col("_all") - F.col("_top")), F.lit(0.99)))
+    merged = merged.withColumn("_c", F.round(F.least(F.col("_top") + 0.18 * (F.col("_all") - F.col("_top")), F.lit(0.99)), 9))
     order = Window.partitionBy(*key).orderBy(F.desc("_c"), value)
     best = merged.withColumn("_n", F.row_number().over(order)).withColumn("_next", F.lead("_c").over(order)).where("_n = 1")
     clash = (F.col("_next") >= least) & (F.col("_c") - F.col("_next") < close)

@@ -49,6 +49,13 @@ def test_resolution_conflicts_and_support(spark):
     assert {r["id"]: (r["v"], r["status"]) for r in got.collect()} == {1: ("a", "inferred"), 2: (None, "conflicting"), 3: (None, "unknown"), 4: ("a", "confirmed")}
 
 
+def test_resolution_is_free_of_rounding_errors(spark):
+    # .85, but a sum of doubles falls short of it by one bit
+    rows = [(1, "a", c) for c in (0.47, 0.52, 0.58, 0.41, 0.1)]
+    got = understanding.resolve(spark.createDataFrame(rows, "id long, v string, c double").coalesce(1), ["id"], "v", "c").first()
+    assert (got["v"], got["confidence"], got["status"]) == ("a", 0.85, "confirmed")
+
+
 def test_assessment_rules(spark):
     rows = [
         ("a", "Acme SAS", "acme.example", "X1"), ("b", "ACME sas", "acme.example", "X1"),
