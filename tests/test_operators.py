@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from conftest import SMALL
+from compare import run_sql, same_rows
+from conftest import LARGEST, SMALL
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folio.operators import catalog, identity, organize, search, understanding, vectors
+from folio.plans import catalogue
 from folio.plans.components import components
 from folio.plans.prefix import running_total
 from folio.sources.adapters import WATCH, adapted
@@ -56,6 +58,10 @@ def test_resolution_is_free_of_rounding_errors(spark):
     assert (got["v"], got["confidence"], got["status"]) == ("a", 0.85, "confirmed")
 
 
+def test_review_reasons_equal_the_sql_where_confidences_tie(spark):
+    same_rows(catalogue.QUERIES["semantic_review_reasons"](spark, LARGEST), run_sql(catalogue.ORACLES["semantic_review_reasons"], LARGEST))
+
+
 def test_assessment_rules(spark):
     rows = [
         ("a", "Acme SAS", "acme.example", "X1"), ("b", "ACME sas", "acme.example", "X1"),
