@@ -327,6 +327,22 @@ def test_capped_pairs_equal_the_sequential_pass(spark, seed):
     assert matching.capped(df.limit(0), ["priority", "gap"]).count() == 0
 
 
+@pytest.mark.parametrize("group", [5, 40])
+def test_capped_pairs_of_classes_beyond_one_task(spark, group):
+    rng = random.Random(group)
+    pairs = list({(a, b): (a, b, rng.randrange(3), rng.randrange(4)) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(300)) if a < b}.values())
+    df = spark.createDataFrame(pairs, "a int, b int, priority int, gap int")
+    assert {tuple(r) for r in matching.capped(df, ["priority", "gap"], 3, group=group).collect()} == brute_capped(pairs, 3)
+
+
+def test_a_chain_of_pairs_takes_few_rounds(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(matching, "store", lambda df, name, store=matching.store: stored.append(name) or store(df, name))
+    pairs = [(i, i + 1, 0) for i in range(100, 160)]
+    got = {tuple(r) for r in matching.capped(spark.createDataFrame(pairs, "a int, b int, gap int"), ["gap"], 1).collect()}
+    assert got == brute_capped(pairs, 1) and len(stored) < 10
+
+
 def test_capped_query(spark):
     pairs = [tuple(r) for r in upkeep_queries._ranked(spark, SMALL).select("a", "b", "priority", "blocks").collect()]
     got = {(r["a"], r["b"], r["priority"], r["blocks"]) for r in QUERIES["identity_capped"](spark, SMALL).collect()}
