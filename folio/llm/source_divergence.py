@@ -17,7 +17,7 @@ LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else
 """A-Z lower-cased, other ASCII but a-z a blank; bytes beyond ASCII stay."""
 SCALE_STEPS = 3
 """Shares are counted in units of 1000 ** -3."""
-SLICE = 1 << 25
+SLICE = 1 << 22
 """Characters that are coded together; a longer text is coded alone."""
 CELLS = 500_000
 """Counts, sources times terms, that one dense chunk holds."""

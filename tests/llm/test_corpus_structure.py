@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from compare import run_sql, same_rows
 from conftest import LARGER, SMALL
@@ -291,3 +292,12 @@ def test_shares_are_exact():
 @pytest.mark.parametrize("folder", [SMALL, LARGER])
 def test_divergence_query_equals_sql(spark, folder):
     same_rows(queries.op13_source_divergence(spark, folder), run_sql(oracles.OP13, folder))
+
+
+def test_long_batches_are_coded_in_parts():
+    text = "word other " * 400
+    part = pd.DataFrame({"lang": "en", "source": "web", "text": [text] * 4000})
+    coded = list(source_divergence._counts(iter([part])))
+    # 17.6 million characters: never more than some four million at a time
+    assert len(coded) >= 4
+    assert pd.concat(coded).groupby("term")[["n", "docs"]].sum().to_numpy().tolist() == [[1_600_000, 4000]] * 2
