@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.training_rows import PER_CLASS, held_out, labelled_sample
+from folio.llm.training_rows import held_out, known_labels
+from folio.plans.lineage import store
+from folio.plans.prefix import running_total
+from folio.plans.sizes import small
 
 #: Class of each ASCII character: 0 blank, 1 newline, 2 lower, 3 upper, 4 digit, 5 sentence mark, 6 other mark; 7 beyond ASCII.
 KIND = np.full(129, 6, dtype=np.int64)
@@ -76,20 +80,29 @@ def expand(rows: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.hstack([z, z * z - 1])
 
 
-def descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 40) -> np.ndarray:
-    """Weighted logistic regression without intercept by damped Newton steps."""
-    w = np.zeros(x.shape[1])
+def newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], width: int, ridge: float, steps: int = 40) -> np.ndarray:
+    """Damped Newton steps to the least loss, of which ``sums`` gives the gradient and the curvature at some weights."""
+    w = np.zeros(width)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + ridge * w
-        curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(curve, gradient)
+        gradient, curve = sums(w)
+        step = np.linalg.solve(curve + ridge * np.eye(width), gradient + ridge * w)
         w -= step / max(1.0, np.abs(step).max())
         if np.abs(step).max() < 1e-7:
             break
     return w
 
 
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the weighted logistic loss without intercept."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (weight * (p - y)), (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+
+
+def descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 40) -> np.ndarray:
+    """Weighted logistic regression without intercept by damped Newton steps."""
+    return newton(lambda w: logistic(x, y, weight, w), x.shape[1], ridge, steps)
+
+
 def fit(
     rows: np.ndarray, labels: np.ndarray, counts: dict[int, int], at_cut: float = 0.3, pairs: int = 40_000, ridge: float = 1.0, seed: int = 7
 ) -> QualityModel:
@@ -122,17 +135,101 @@ def fit(
     return QualityModel(mean, scale, weights, cut, slope, at_cut)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", at_cut: float = 0.3, per_class: int = PER_CLASS) -> QualityModel:
-    """Fit on a bounded labelled sample: its features are computed on the executors, only numbers come back."""
-    sample, counts = labelled_sample(docs, labels, label_col, id_col, text_col, per_class)
+def _summed(rows: DataFrame, part: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
+    """The sum of ``part`` over all batches, each task's added up where its rows lie."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for frame in frames:
+            if len(frame):
+                own = part(frame)
+                total = own if total is None else total + own
+        if total is not None:
+            yield pd.DataFrame({"at": [TaskContext.get().partitionId()], "s": [total.tolist()]})
+
+    got = rows.mapInPandas(run, "at int, s array<double>").toPandas().sort_values("at")
+    return np.array(got["s"].tolist()).sum(axis=0)
+
+
+def _stacked(x: pd.Series) -> np.ndarray:
+    return np.stack(x.to_numpy())
+
+
+def _descend_rows(rows: DataFrame, xy: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], width: int, ridge: float) -> np.ndarray:
+    """``descend`` over rows that stay on the executors; the driver sees a gradient and a curvature of each task a step."""
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def part(frame: pd.DataFrame) -> np.ndarray:
+            x, y = xy(frame)
+            gradient, curve = logistic(x, y, np.ones(len(y)), w)
+            return np.concatenate([gradient, curve.ravel()])
+
+        got = _summed(rows, part)
+        return got[:width], got[width:].reshape(width, width)
+
+    return newton(sums, width, ridge)
+
+
+def _nth(rows: DataFrame, n: int) -> float:
+    """The ``n``-th smallest value of column ``s``, by histograms of ever narrower ranges."""
+    low, high = rows.agg(F.min("s"), F.max("s")).first()
+    for _ in range(5):
+        edges = np.linspace(low, high, 1025)
+        below = np.cumsum(_summed(rows, lambda frame: np.bincount(np.searchsorted(edges, frame["s"]), minlength=1026)))  # noqa: B023
+        k = int(np.searchsorted(below, n))
+        low, high = float(edges[max(k - 1, 0)]), float(edges[min(k, 1024)])
+        if high <= low:
+            break
+    return high
+
+
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", at_cut: float = 0.3, pairs: int = 40_000, ridge: float = 1.0) -> QualityModel:
+    """Fit on all labelled rows that may be learned from; features, pairs and sums stay on the executors.
+
+    Rows of each class are numbered by a hash of their id; each row of the larger class meets one of the smaller, going round, or as many more as
+    make ``pairs`` pairs, so every row is in some pair. The cut is the strength below which as many rows lie as are bad, and the slope is
+    fitted by logistic loss on all rows. Without both classes every score is the same.
+    """
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def measure(texts: pd.Series) -> pd.Series:
         return pd.Series([[float(v) for v in features(t)] for t in texts])
 
-    got = sample.select("_id", "_label", measure("_text").alias("x")).toPandas().sort_values("_id", kind="stable")
-    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(features("")))
-    return fit(x, got["_label"].to_numpy(dtype=int), counts, at_cut)
+    known = known_labels(labels, label_col, id_col).where("_label in (0, 1)")
+    measured = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), measure(F.col(text_col)).alias("x"))
+    rows = store(measured.join(small(known), "_id"), "measured-labels")
+    counts = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
+    width = len(features(""))
+    if len(counts) < 2:
+        zero = np.zeros(width)
+        return QualityModel(zero, zero + 1, np.zeros(2 * width), 0.0, 0.0, 1e-3 if 0 in counts else 1 - 1e-3)
+    n = counts[0] + counts[1]
+    mean = _summed(rows, lambda frame: _stacked(frame["x"]).sum(axis=0)) / n
+    scale = np.sqrt(_summed(rows, lambda frame: ((_stacked(frame["x"]) - mean) ** 2).sum(axis=0)) / n) + 1e-6
+
+    hashed = rows.withColumn("_h", F.xxhash64("_id"))
+    numbered = store(running_total(hashed, ["_label"], F.shiftright("_h", 54), ["_h", "_id", "x"], F.lit(1), "_i").select("_label", "_i", "x"), "numbered-labels")
+    many, few = (1, 0) if counts[1] >= counts[0] else (0, 1)
+    rounds = min(max(1, -(-pairs // counts[many])), counts[few])
+    asks = numbered.where(F.col("_label") == many).select(F.col("x").alias("u"), F.explode(F.sequence(F.col("_i"), F.col("_i") + rounds - 1)).alias("_k"))
+    other = numbered.where(F.col("_label") == few).select(F.col("_i").alias("_k"), F.col("x").alias("v"))
+    met = store(asks.withColumn("_k", F.col("_k") % counts[few]).join(small(other), "_k").select("u", "v"), "quality-pairs")
+    side = 1.0 if many == 1 else -1.0
+
+    def difference(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        u, v = (expand(_stacked(frame[c]), mean, scale) for c in "uv")
+        return side * (u - v), np.ones(len(frame))
+
+    weights = np.round(_descend_rows(met, difference, 2 * width, ridge), 9)
+
+    def strong(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"s": expand(_stacked(frame["x"]), mean, scale) @ weights if len(frame) else [], "y": frame["_label"]})
+
+    strength = store(rows.mapInPandas(strong, "s double, y int"), "strengths")
+    cut = _nth(strength, counts[0])
+    slope = _descend_rows(strength, lambda frame: (frame[["s"]].to_numpy() - cut, frame["y"].to_numpy(dtype=float)), 1, 1e-3)[0]
+    return QualityModel(mean, scale, weights, cut, float(max(0.05, round(slope, 9))), at_cut)
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", name: str = "score") -> DataFrame:

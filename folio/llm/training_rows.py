@@ -1,4 +1,4 @@
-"""Labelled rows for fitting: a bounded sample of the documents that may be learned from."""
+"""Labelled rows for fitting: all documents that may be learned from, or a bounded sample of them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 FOLDS = 5
 PER_CLASS = 4000
-"""At most so many labelled documents of each class are used to fit; the only bound on learning."""
+"""At most so many labelled documents of each class are used to fit; where a sample is asked for."""
 
 
 def held_out(id_col: Column) -> Column:
@@ -15,6 +15,12 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def known_labels(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> DataFrame:
+    """``(_id, _label)`` of the ids that may be learned from: null ids or labels and rows held out are left out, an id with several labels counts as its greatest."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    return known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS
 ) -> tuple[DataFrame, dict[int, int]]:
@@ -24,8 +30,7 @@ def labelled_sample(
     The sample is the first by hash of the id, so it is the same in every run. At most ``2 * per_class`` ids are
     broadcast; texts stay on the executors. Texts that repeat an id are one row each.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
+    known = known_labels(labels, label_col, id_col)
     counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect() if r["_label"] in (0, 1)}
     order = [F.xxhash64("_id"), F.col("_id")]
     picked = None

@@ -114,6 +114,20 @@ def test_quality_fit_is_at_an_optimum_and_ties_agree():
     assert scores[0] == scores[1] and np.array_equal(np.argsort(model.raw(rows)), np.argsort(model.score(rows)))
 
 
+def test_quality_learns_from_all_labelled_rows(spark, monkeypatch):
+    docs = documents(spark, [(k, "word " * (5 + k % 7) if k % 3 else "x!? " * (1 + k % 5), "s") for k in range(12_000)])
+    labels = spark.range(12_000).selectExpr("id as doc_id", "cast(id % 3 > 0 as int) as quality")
+    real = quality_ranking._summed
+    seen = []
+    monkeypatch.setattr(quality_ranking, "_summed", lambda rows, part: seen.append(rows.count()) or real(rows, part), raising=False)
+    model = quality_ranking.learn(docs, labels)
+    free = [k for k in range(12_000) if zlib.crc32(str(k).encode()) % 5]
+    # over 4,000 rows a class: means, pairs and the cut all come from every one that may be learned from
+    assert seen[0] == len(free) > 8_000 and min(seen) >= sum(k % 3 > 0 for k in free)
+    got = {r["doc_id"]: r["s"] for r in quality_ranking.score(docs, model, name="s").select("doc_id", "s").collect()}
+    assert all((got[k] > 0.3 + 1e-6) == (k % 3 > 0) for k in range(200))
+
+
 def test_toxic_spans_point_at_words(spark):
     rows = [(k, f"nice day number w{k} you zzgrubel person" if k % 2 else f"nice day number w{k} you kind person", "s") for k in range(400)]
     docs = documents(spark, rows)
