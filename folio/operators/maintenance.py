@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.plans.lineage import store
+from folio.plans.sizes import small
+
 
 def upsert(current: DataFrame, changes: DataFrame, key: list[str], order: list[str], removed: Column | None = None) -> DataFrame:
     """``current`` with ``changes`` applied: the last row by ``order`` of each key stands, keys whose last row is ``removed`` go.
@@ -72,6 +75,18 @@ def index_differences(index: DataFrame, expected: DataFrame) -> DataFrame:
     return rows.select(*columns, F.when(F.col("_n") > 0, "stale").otherwise("absent").alias("side"))
 
 
+def document_differences(index: DataFrame, expected: DataFrame, id_col: str, rows: str) -> DataFrame:
+    """``index_differences`` of two indexes of one row a document, whose list ``rows`` has what it holds, in order.
+
+    Documents are compared by a digest of their list first; only those that differ are taken apart and compared row by row.
+    """
+    digest = F.sha2(F.to_json(F.struct(rows)).cast("binary"), 256)
+    signed = index.select(id_col, digest.alias("_d"), F.lit(1).alias("_n")).unionByName(expected.select(id_col, digest.alias("_d"), F.lit(-1).alias("_n")))
+    odd = small(store(signed.groupBy(id_col, "_d").agg(F.sum("_n").alias("_n")).where("_n <> 0").select(F.col(id_col).alias("_odd")).distinct(), "odd-documents"))
+    apart = lambda side: side.join(odd, F.col(id_col).eqNullSafe(F.col("_odd")), "left_semi").select(id_col, F.inline(rows))
+    return index_differences(apart(index), apart(expected))
+
+
 def reuse(wanted: DataFrame, stored: DataFrame, id_col: str, digest: str, value: str) -> DataFrame:
     """``(id_col, digest, value, reused)``: what is stored for equal content; a null ``value`` has to be computed, once a digest."""
     known = stored.groupBy(digest).agg(F.max(value).alias(value))

@@ -61,15 +61,14 @@ def _index(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     named = table(spark, sf_dir, "labels").select("doc_id").distinct()
     renewed = docs.withColumn("text", F.when(F.col("lang").isNotNull() & F.col("source").isNotNull(), F.concat_ws(" ", "lang", "source"))).join(named, "doc_id", "left_semi")
-    index = search.token_counts(docs, "doc_id", "text")
-    build = lambda rows: search.token_counts(rows, "doc_id", "text")
-    return maintenance.replaced_index(index, renewed, "doc_id", build), docs.join(named, "doc_id", "left_anti").unionByName(renewed)
+    build = lambda rows: search.token_lists(rows, "doc_id", "text")
+    return maintenance.replaced_index(build(docs), renewed, "doc_id", build), docs.join(named, "doc_id", "left_anti").unionByName(renewed)
 
 
 @query(f"SELECT token, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS_SQL}) AS token FROM ({NEW_TEXTS}) AS n) AS t GROUP BY token")
 def search_index_refresh(spark, sf_dir):
     index, _ = _index(spark, sf_dir)
-    return index.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return index.select(F.inline("counts")).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @query(f"""WITH stored AS (SELECT doc_id, unnest({TOKENS_SQL}) AS token FROM documents), now AS (SELECT doc_id, CASE WHEN doc_id % 30 = 1 THEN left(text, 200) ELSE text END AS text FROM documents WHERE doc_id % 40 <> 0),
@@ -78,8 +77,8 @@ def search_index_refresh(spark, sf_dir):
 def search_index_check(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     now = docs.where("doc_id % 40 <> 0").withColumn("text", F.when(F.col("doc_id") % 30 == 1, F.left("text", F.lit(200))).otherwise(F.col("text")))
-    stored, wanted = (search.token_counts(rows, "doc_id", "text") for rows in (docs, now))
-    return maintenance.index_differences(stored, wanted).groupBy("side").agg(F.count("*").alias("differences"))
+    stored, wanted = (search.token_lists(rows, "doc_id", "text") for rows in (docs, now))
+    return maintenance.document_differences(stored, wanted, "doc_id", "counts").groupBy("side").agg(F.count("*").alias("differences"))
 
 
 @query("""WITH h AS (SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL), s AS (SELECT digest, max(doc_id) AS vector FROM h JOIN (SELECT DISTINCT doc_id FROM labels) AS l USING (doc_id) GROUP BY digest)

@@ -7,7 +7,7 @@ from conftest import LARGEST, SMALL
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folio.operators import catalog, identity, organize, search, understanding, vectors
+from folio.operators import catalog, identity, index, maintenance, organize, search, understanding, vectors
 from folio.plans import catalogue
 from folio.plans.components import components
 from folio.plans.prefix import running_total
@@ -140,3 +140,28 @@ def test_similarity_needs_equal_lengths(spark):
     row = spark.createDataFrame([([1.0, 0.0], [0.5, 0.5], [1.0])], "a array<double>, b array<double>, c array<double>")
     got = row.select(search.dot(F.col("a"), F.col("b")), search.dot(F.col("a"), F.col("c")), search.quantise(F.col("b"))).first()
     assert (got[0], got[1], got[2]) == (0.5, None, [64, 64])
+
+
+def test_an_index_is_written_without_a_shuffle(spark, tmp_path):
+    rows = [(1, "Aa bb aa", "bb"), (2, "aa", None), (2, "aa", None), (3, None, ""), (None, "bb bb cc", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    path = str(tmp_path / "index")
+    index.build(docs, "doc_id", ["text", "source"], path)
+    # repeated rows of one id and lengths are one document, as in the SQL's grouping
+    found = index.postings(spark, path, ["aa", "bb"], {"text": 1.0, "source": 3.5}, "doc_id")
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, "aa", 2.0, 4), (1, "bb", 4.5, 4), (2, "aa", 2.0, 1), (None, "bb", 2.0, 3)], key=str)
+
+
+def test_token_counts_gather_only_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "bb Aa bb"), (2, "aa"), (2, "aa cc"), (3, None), (None, "dd"), (None, "dd")], "doc_id long, text string")
+    got = {tuple(r) for r in search.token_counts(docs, "doc_id", "text").collect()}
+    assert got == {(1, "aa", 1), (1, "bb", 2), (2, "aa", 2), (2, "cc", 1), (None, "dd", 2)}
+    plan = search.token_counts(docs.where("doc_id = 1"), "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.startswith("Aggregate")
+
+
+def test_differences_of_documents_equal_those_of_rows(spark):
+    a = search.token_lists(spark.createDataFrame([(1, "aa bb"), (2, "cc"), (3, "dd")], "doc_id long, text string"), "doc_id", "text")
+    b = search.token_lists(spark.createDataFrame([(1, "aa bb bb"), (2, "cc"), (4, "ee")], "doc_id long, text string"), "doc_id", "text")
+    got = {tuple(r) for r in maintenance.document_differences(a, b, "doc_id", "counts").collect()}
+    assert got == {(1, "bb", 1, "stale"), (1, "bb", 2, "absent"), (3, "dd", 1, "stale"), (4, "ee", 1, "absent")}
