@@ -8,7 +8,9 @@ from folio.operators import documents as docs_ops
 from folio.operators import understanding
 from folio.plans.lineage import kept
 from folio.plans.registry import FACTS_SQL, TEXT_SQL, doc_text, documents, query
+from folio.plans.sizes import spread
 from folio.sources.adapters import FACTS, PREDICTIONS, adapted, plain
+from folio.sources.tables import table
 
 PAPERS = """
 SELECT o_orderkey AS file_id, concat('doc_', CAST(o_orderkey AS STRING), CASE o_orderkey % 5 WHEN 0 THEN '_invoice.pdf' WHEN 1 THEN ' report.docx' ELSE '.txt' END) AS filename, o_orderkey % 2 = 0 AS french,
@@ -56,7 +58,8 @@ def _best(spark, sf_dir):
     """The best type of every paper, classified once a session and kept for the queries that need it."""
 
     def write(folder: str) -> None:
-        rows = _papers(spark, sf_dir)
+        orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
+        rows = spark.sql(PAPERS, orders=orders)
         q = docs_ops.quality(_status("file_id"), F.col("body"), F.lit(False), F.lit(False), F.lit(None).cast("double"))
         docs_ops.best_type(docs_ops.type_scores(rows, "file_id", F.col("body"), F.col("filename"), q), "file_id").write.parquet(folder)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.plans import lineage
 from folio.plans.prefix import running_total
-from folio.plans.sizes import split_join
+from folio.plans.sizes import split_join, spread
 
 
 def test_running_total_keeps_columns_of_any_name(spark):
@@ -28,3 +28,9 @@ def test_split_join_equals_a_join(spark, how):
 def test_stored_tables_lie_in_the_checkpoint_folder(spark):
     kept = lineage.store(spark.range(3), "three")
     assert kept.count() == 3 and all(spark.conf.get("spark.checkpoint.dir") in f for f in kept.inputFiles())
+
+
+def test_spread_deals_a_small_scan_over_all_tasks(spark):
+    rows = spread(spark.range(1000).coalesce(1), "id")
+    sizes = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 8 and sum(r["count"] for r in sizes) == 1000
