@@ -530,3 +530,12 @@ def test_path_and_vector_queries(spark):
     for item, q in items.items():
         best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), i) for i, v in docs.items() if v)[:10]
         assert [round(-s, 6) for s, _ in best] == [round(s, 6) for _, _, s in sorted(got[item])]
+
+
+def test_signals_are_dealt_once(spark):
+    sources = spark.createDataFrame([(1, "a", "person", 10), (1, "b", "person", 50), (2, "c", "project", None), (None, "d", "person", 1)], "doc long, source_id string, kind string, start long")
+    signals = spark.createDataFrame([(1, "s", "email", 20), (1, "t", "phone", 30), (2, "u", "project_reference", 7), (2, "v", "email", 7), (None, "w", "email", 1)], "doc long, signal_id string, signal string, start long")
+    found = matching.attached(sources, signals, "doc")
+    assert {tuple(r) for r in found.collect()} == {(1, "s", "a"), (2, "u", "c")}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
