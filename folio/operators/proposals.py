@@ -242,16 +242,19 @@ NUMBERED = r"^(.+)_([1-9][0-9]{0,8})((?:[.][^.]{1,16})?)$"
 
 def _one_by_one(rows: pd.DataFrame) -> pd.DataFrame:
     """Numbers for the files of one family in order of their ids: each takes the next that nobody before it has."""
-    seen: dict[tuple[str, int], int] = {}
+    seen: dict[str, int] = {}
+    last: dict[str, int] = {}
     out = []
     for r in rows.sort_values("file_id").itertuples(index=False):
         seen[r.key] = ordinal = seen.get(r.key, 0) + 1
         number = 0
         if ordinal > 1 and not r.overridden:
-            number = ordinal
+            # all numbers from an earlier ordinal to what it got are taken
+            number = max(ordinal, last.get(r.key, 0) + 1)
             while f"{r.stem}_{number}{r.ending}" in seen:
                 number += 1
             seen[f"{r.stem}_{number}{r.ending}"] = 1
+            last[r.key] = number
         out.append((r.file_id, ordinal, number))
     return pd.DataFrame(out, columns=["file_id", "ordinal", "number"])
 

@@ -7,8 +7,10 @@ import json
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
+import pandas as pd
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -539,3 +541,14 @@ def test_signals_are_dealt_once(spark):
     assert {tuple(r) for r in found.collect()} == {(1, "s", "a"), (2, "u", "c")}
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_numbers_go_on_where_the_last_search_ended():
+    n = 12_000
+    own = [(i, f"a_{i}", f"a_{i}") for i in range(2, n)]
+    rows = pd.DataFrame([(i, k, s, "", False) for i, k, s in own] + [(n + i, "a", "a", "", False) for i in range(n)], columns=["file_id", "key", "stem", "ending", "overridden"])
+    began = time.monotonic()
+    got = proposals._one_by_one(rows)
+    assert time.monotonic() - began < 5
+    numbers = got[got["file_id"] >= n]["number"].tolist()
+    assert numbers == [0, *range(n, 2 * n - 1)]
