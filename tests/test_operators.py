@@ -142,7 +142,7 @@ def test_similarity_needs_equal_lengths(spark):
     assert (got[0], got[1], got[2]) == (0.5, None, [64, 64])
 
 
-def test_an_index_is_written_without_a_shuffle(spark, tmp_path):
+def test_an_index_counts_tokens_within_rows(spark, tmp_path):
     rows = [(1, "Aa bb aa", "bb"), (2, "aa", None), (2, "aa", None), (3, None, ""), (None, "bb bb cc", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
     path = str(tmp_path / "index")
