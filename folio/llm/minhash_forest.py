@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,15 +92,16 @@ def _behind(depth: int) -> Column:
     return F.element_at("sig", ((F.col("t") * (VALUES // ORDERS) + depth) % VALUES + 1).cast("int"))
 
 
-def forest(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Regions of stored ``(node, sig)`` texts: ``(key, behind, node)`` of those with up to ``REGION`` members, and ``(key, node)`` of the rest.
+def forest(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Regions of stored ``(node, sig)`` texts: ``(key, behind, node)`` of those with up to ``REGION`` members, and twice ``(key, node)`` of the rest.
 
     A region holds the texts that share a prefix of one order; it is cut by longer prefixes while it has more members. Texts alone in
-    theirs drop out. Regions that even whole signatures leave too large are the second result, the same ones in all orders.
+    theirs drop out. Regions that even whole signatures leave too large are the second result, the same ones in all orders. The third
+    are the regions that were cut, as they were before: cuts part pairs, and ``parted`` finds those again.
     Rows are counted with map-side combining and only regions known to be small are ever gathered.
     """
     rows = texts.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("t"))
-    done = None
+    done = cut = None
     for depth in DEPTHS:
         keyed = store(rows.select("node", "t", _prefix(depth).alias("key"), _behind(depth).alias("behind")), "orders")
         sizes = store(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "regions")
@@ -108,11 +109,13 @@ def forest(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         done = few if done is None else done.unionByName(few)
         over = sizes.where(F.col("n") > REGION)
         if over.isEmpty():
-            return done, keyed.select("key", "node").limit(0)
-        left = split_join(keyed, over, ["key"], "n")
+            none = keyed.select("key", "node").limit(0)
+            return done, none, none if cut is None else cut
+        left = store(split_join(keyed, over, ["key"], "n").select("key", "node", "t"), "orders-left")
+        cut = left.select("key", "node") if cut is None else cut
         if depth == DEPTHS[-1]:
-            return done, left.where("t = 0").select("key", "node")
-        rows = store(left.select("node", "t"), "orders-left").join(texts, "node")
+            return done, left.where("t = 0").select("key", "node"), cut
+        rows = left.select("node", "t").join(texts, "node")
     raise AssertionError("the last depth returns")
 
 
@@ -160,17 +163,60 @@ def _confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.loc[keep, ["u", "v"]]
 
 
+def _held(nodes: DataFrame, texts: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``(node, text)`` of some nodes."""
+    wanted = nodes.join(texts.select("node", "body", "first"), "node")
+    met = bodies.alias("b").join(small(wanted).alias("w"), (F.col("b.body") == F.col("w.body")) & F.col("b.id").eqNullSafe(F.col("w.first")))
+    return met.groupBy("node").agg(F.first("text").alias("text"))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, bodies: DataFrame) -> DataFrame:
     """The ``(u, v)`` pairs whose whole texts have sets alike enough. Only texts of some pair are read beyond their hash."""
     pairs = store(pairs, "candidates")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(texts.select("node", "body", "first"), "node")
-    met = bodies.alias("b").join(small(wanted).alias("w"), (F.col("b.body") == F.col("w.body")) & F.col("b.id").eqNullSafe(F.col("w.first")))
-    held = store(met.groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
+    held = store(_held(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), texts, bodies), "candidate-texts")
     sides = pairs.join(held.select(F.col("node").alias("u"), F.col("text").alias("first")), "u")
     sides = sides.join(held.select(F.col("node").alias("v"), F.col("text").alias("second")), "v")
     return store(sides.select("u", "v", "first", "second").mapInPandas(_confirm, PAIRS), "links")
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _shingles(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingle_set(t).view(np.int64) for t in texts])
+
+
+@F.pandas_udf(T.IntegerType())
+def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
+def parted(cut: DataFrame, texts: DataFrame, bodies: DataFrame, roots: DataFrame) -> DataFrame:
+    """All ``(u, v)`` candidates between texts of different classes in the stored regions ``(key, node)`` that were cut.
+
+    Exact, whatever the regions' sizes: sets that are alike enough share one of their rarest shingles, so many as may be missing and one
+    more, and those are joined. Rarity is counted over the texts of these regions. Pairs are made of classes first and of their members
+    then, so a crowd in one class makes none; none is dropped but by sizes or signatures.
+    """
+    placed = cut.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
+    nodes = store(split_join(cut, store(mixed, "mixed-regions"), ["key"], "n").select("node").distinct(), "parted-texts")
+    held = _held(nodes, texts, bodies).select("node", _shingles("text").alias("s"))
+    rows = store(held.select("node", F.size("s").alias("n"), F.explode("s").alias("s")), "parted-shingles")
+    rarity = store(rows.groupBy("s").agg(F.count("*").alias("held_by")), "rarity")
+    ranked = split_join(rows, rarity, ["s"], "held_by")
+    ranked = ranked.withColumn("_at", F.row_number().over(Window.partitionBy("node").orderBy("held_by", "s")))
+    least = F.ceil(F.col("n") * LEAST_PERCENT / 100)
+    rare = ranked.where((F.col("_at") <= F.col("n") - least + 1) & (F.col("held_by") > 1)).select("s", "node", "n")
+    rare = store(rare.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rare-shingles")
+    classes = rare.select("s", "root").distinct()
+    met = classes.withColumnRenamed("root", "a").join(classes.withColumnRenamed("root", "b"), "s").where("a < b")
+    side = lambda c: rare.select("s", F.col("root").alias(c), F.col("node").alias(f"{c}_node"), F.col("n").alias(f"{c}_n"))
+    pairs = met.join(side("a"), ["s", "a"]).join(side("b"), ["s", "b"])
+    pairs = pairs.where(100 * F.least("a_n", "b_n") >= LEAST_PERCENT * F.greatest("a_n", "b_n"))
+    pairs = pairs.select(F.greatest("a_node", "b_node").alias("u"), F.least("a_node", "b_node").alias("v")).distinct()
+    low = lambda c: texts.select(F.col("node").alias(c), F.col("low").alias(f"{c}_low"))
+    return pairs.join(low("u"), "u").join(low("v"), "v").where(_agreeing("u_low", "v_low") >= LEAST_ALIKE).select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_shingles, component_id, kept)``, one row for every row of ``docs``.
 
@@ -181,7 +227,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal texts are one node from the start. The forest's neighbours in their regions are compared in full first and give classes;
     then all pairs of a region that are still in different classes. A crowd of near copies is thus linked by some pairs a member and never
     pair by pair. Texts with one and the same signature, too many for a region, are compared with the first of them, and those that it
-    does not link with all others. No pair is dropped but by its sizes or by signatures that agree in under ``LEAST_ALIKE`` values.
+    does not link with all others. Last come the pairs that the cuts of crowded regions parted and that are still in different classes
+    (``parted``). No pair is dropped but by its sizes or by signatures that agree in under ``LEAST_ALIKE`` values.
     """
     bodies = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.md5(F.col(text_col).cast("binary")).alias("body"))
     rows = bodies.select("id", "body", _sketched("text").alias("s")).select("id", "body", F.col("s.n").alias("n"), F.col("s.sig").alias("sig"))
@@ -189,7 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.where("n > 0").groupBy("body").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     # numbers of rows differ from run to run; written once, they are the nodes of all that follows
     texts = store(texts.withColumns({"node": F.monotonically_increasing_id(), "low": _low_bytes("sig")}), "distinct-texts")
-    regions, crowds = forest(texts.select("node", "sig"))
+    regions, crowds, cut = forest(texts.select("node", "sig"))
     regions, crowds = store(regions, "leaf-regions"), store(crowds, "crowds")
 
     heads = crowds.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n"))
@@ -206,9 +253,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = placed.join(small(odd), "key").where(F.col("root") != F.col("_root"))
     rest = rest.select(F.greatest("a", "node").alias("u"), F.least("a", "node").alias("v"))
     more = confirmed(pairs.unionByName(rest).distinct(), texts, bodies)
+    # the first classes stand for the links that made them
+    joined = lambda links: store(components(links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))), "classes")
     if not more.isEmpty():
-        # the first classes stand for the links that made them
-        roots = store(components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))), "classes")
+        roots = joined(more)
+    last = None if cut.isEmpty() else confirmed(parted(cut, texts, bodies, roots), texts, bodies)
+    if last is not None and not last.isEmpty():
+        roots = joined(last)
 
     classes = texts.select("body", "node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = store(classes, "texts-of-classes")

@@ -98,6 +98,20 @@ def test_a_crowd_of_near_copies_and_a_common_passage(spark, monkeypatch):
     assert got_classes(minhash_forest.near_duplicates(documents(spark, few))) == brute_classes(few)
 
 
+def test_pairs_that_the_cut_of_a_crowded_region_parts_are_found_again(spark, monkeypatch):
+    """One region of all texts, cut by whole signatures: every near pair is parted."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join([*passage, *[f"u{rng.randrange(10**6)}" for _ in range(40)]])) for i in range(30)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(12)]
+    monkeypatch.setattr(minhash_forest, "DEPTHS", (1, minhash_forest.VALUES))
+    monkeypatch.setattr(minhash_forest, "REGION", 2)
+    prefix = minhash_forest._prefix
+    monkeypatch.setattr(minhash_forest, "_prefix", lambda depth: F.lit(0).cast("long") if depth == 1 else prefix(depth))
+    found = got_classes(minhash_forest.near_duplicates(documents(spark, rows)))
+    assert found == brute_classes(rows) and sum(not kept for *_, kept in found) == 12
+
+
 def test_class_edge_cases(spark):
     text = " ".join(f"a{i}" for i in range(40))
     rows = [(5, None), (6, ""), (7, " \t\n"), (8, "one two"), (9, "One  two"), (10, text), (None, text), (3, text), (3, text), (3, "other words here"), (None, "alone"), (11, "x " * 30_000)]
