@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from folio.operators import pathfit
 from folio.operators.normalise import collision_key, component_fault, generic_name, parent_parts
 from folio.operators.organize import confidence_band, weighted_confidence
-from folio.plans.lineage import store
+from folio.plans.lineage import store, store_by
 from folio.plans.prefix import running_total
-from folio.plans.sizes import small, split_join
+from folio.plans.sizes import hashed, small, split_join
 
 TO_REVIEW = "TO_REVIEW"
 HIGH, LOW = 0.85, 0.65
@@ -226,7 +226,7 @@ def grouped(drafts: DataFrame, least: int, sizes: DataFrame | None = None) -> Da
     # the last level that stays: not optional, or large enough
     stays = tails.select("file_id", "at", F.col("p.folder").alias("folder"), F.col("p.optional").alias("optional")).join(few.withColumn("_few", F.lit(True)), "folder", "left")
     keep = stays.groupBy("file_id").agg(F.coalesce(F.max(F.when(~(F.col("optional") & F.col("_few").isNotNull()), F.col("at") + 1)), F.lit(0)).alias("_keep"))
-    rows = drafts.join(keep, "file_id", "left")
+    rows = drafts.join(hashed(keep), "file_id", "left")
     n = F.coalesce("_keep", F.size("destination"))
     cut = n < F.size("destination")
     less = F.size("destination") - n
@@ -293,7 +293,7 @@ def settled(drafts: DataFrame) -> DataFrame:
     if slow is not None:
         one = slim.join(slow, "key", "left_semi").withColumn("family", F.regexp_replace("stem", r"(_[0-9]+)+$", ""))
         fast = fast.unionByName(one.groupBy("family", "ending").applyInPandas(_one_by_one, "file_id long, ordinal long, number long"))
-    rows = drafts.join(fast, "file_id", "left")
+    rows = drafts.join(hashed(fast), "file_id", "left")
     again = F.coalesce(F.col("ordinal") > 1, F.lit(False))
     named = pathfit.numbered_name(F.col("new_name"), F.col("number"))
     long = pathfit.path_length(F.col("destination"), named) > pathfit.PATH
@@ -308,7 +308,7 @@ def settled(drafts: DataFrame) -> DataFrame:
 
 def build(files: DataFrame, p: Preferences = Preferences()) -> DataFrame:  # noqa: B008
     """The whole proposal: drafts, small groups, collisions. Ids are integers and unique."""
-    return settled(grouped(store(compiled(files, p), "drafts"), p.least_group))
+    return settled(grouped(store_by(compiled(files, p), "drafts", "file_id"), p.least_group))
 
 
 def dependencies(drafts: DataFrame) -> DataFrame:
@@ -328,13 +328,17 @@ def incremental(drafts_before: DataFrame, proposal: DataFrame, changed: DataFram
     ``drafts_before`` and ``proposal`` are the compiled drafts and the operations of the last revision, both stored, ``changed`` files as ``compiled`` takes
     them, ``deleted`` ids. Only changed files are compiled. Then the effect is followed by keys: folders whose size crosses ``least_group``
     bring in the drafts that they are optional for; names in folders that any of these files leave or enter bring in all files that want
-    a name of that stem. Everything else is carried over as it is, and nothing of it is written anew here. ``affected`` are the ids whose operations were computed again.
+    a name of that stem. Everything else is carried over as it is. ``affected`` are the ids whose operations were computed again.
+
+    Drafts and operations are dealt into buckets of their ids once; all later joins with them move ids and names only.
     """
+    drafts_before, proposal = store_by(drafts_before, "drafts-before", "file_id"), store_by(proposal, "operations-before", "file_id")
     fresh = store(compiled(changed, p), "changed-drafts")
     gone = fresh.select("file_id").unionByName(deleted.select("file_id")).distinct()
-    out = store(drafts_before.join(small(gone), "file_id", "left_semi"), "left-drafts")
+    out = store(drafts_before.join(hashed(gone), "file_id", "left_semi"), "left-drafts")
     gone = store(gone, "changed-ids")
-    drafts = drafts_before.join(small(gone), "file_id", "left_anti").unionByName(fresh.select(*drafts_before.columns))
+    left = drafts_before.join(hashed(gone), "file_id", "left_anti")
+    drafts = left.unionByName(fresh.select(*drafts_before.columns))
     # folders whose size is now on the other side of the limit
     moved = group_sizes(fresh).select("folder", F.col("files").alias("d")).unionByName(group_sizes(out).select("folder", (-F.col("files")).alias("d")))
     moved = store(moved.groupBy("folder").agg(F.sum("d").alias("d")), "size-changes")
@@ -344,7 +348,7 @@ def incremental(drafts_before: DataFrame, proposal: DataFrame, changed: DataFram
     crossed = sizes.where((F.col("files") < p.least_group) != (F.col("files") - F.col("d") < p.least_group)).select("folder")
     regrouped = near.where("o").join(small(crossed), "folder", "left_semi").select("file_id").unionByName(fresh.select("file_id")).distinct()
     regrouped = store(regrouped, "regrouped")
-    again = drafts.join(regrouped, "file_id", "left_semi")
+    again = left.join(hashed(regrouped), "file_id", "left_semi").unionByName(fresh.select(*drafts_before.columns))
     # their folders' sizes over all drafts
     asked = store(again.select(F.explode(_prefixes(F.col("destination"))).alias("folder")).distinct(), "folders-asked")
     counts = drafts.select(F.explode(_prefixes(F.col("destination"))).alias("folder")).join(asked, "folder", "left_semi").groupBy("folder").agg(F.count("*").alias("files"))
@@ -357,14 +361,14 @@ def incremental(drafts_before: DataFrame, proposal: DataFrame, changed: DataFram
     # what stands in the last proposal, with the name it wanted then
     wanted = F.when(F.array_contains("reasons", "collision_resolved"), F.col("machine_name")).otherwise(F.col("new_name"))
     stands = proposal.withColumn("_wanted", wanted)
-    touched = names(again, "new_name").unionByName(names(stands.join(regrouped.unionByName(gone), "file_id", "left_semi"), "_wanted"))
+    touched = names(again, "new_name").unionByName(names(stands.join(hashed(regrouped.unionByName(gone)), "file_id", "left_semi"), "_wanted"))
     stems = touched.select("stem").distinct()
-    rest = stands.join(gone.unionByName(regrouped), "file_id", "left_anti")
+    rest = stands.join(hashed(gone.unionByName(regrouped)), "file_id", "left_anti")
     beside = names(rest, "_wanted").join(stems, "stem", "left_semi").select("file_id")
     # those beside keep their groups; their names are settled again from what they wanted
-    reset = grouped_before(drafts, rest.join(beside, "file_id", "left_semi"))
-    renewed = store(settled(again.unionByName(reset.select(*again.columns))), "renewed")
-    kept = rest.join(renewed.select("file_id"), "file_id", "left_anti").drop("_wanted")
+    reset = grouped_before(left, rest.join(hashed(beside), "file_id", "left_semi"))
+    renewed = store(settled(store_by(again.unionByName(reset.select(*again.columns)), "to-settle", "file_id")), "renewed")
+    kept = rest.join(hashed(renewed.select("file_id")), "file_id", "left_anti").drop("_wanted")
     return drafts, kept.select(*proposal.columns).unionByName(renewed.select(*proposal.columns)), renewed.select("file_id")
 
 
@@ -381,7 +385,7 @@ def rebuild_reason(proposal: DataFrame, changed: DataFrame, deleted: DataFrame,
 def grouped_before(drafts: DataFrame, operations: DataFrame) -> DataFrame:
     """Drafts as they were before collisions: the compiled draft with the folders that the operation kept."""
     size = operations.select("file_id", F.size("destination").alias("_n"), F.array_contains("reasons", "minimum_group_policy").alias("_cut"))
-    rows = drafts.join(size, "file_id")
+    rows = drafts.join(hashed(size), "file_id")
     less = F.size("destination") - F.col("_n")
     return rows.withColumns({
         "machine_destination": F.when(F.col("_cut"), F.slice("machine_destination", 1, F.greatest(F.size("machine_destination") - less, F.lit(0)))).otherwise(F.col("machine_destination")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.operators import proposals
-from folio.plans.lineage import kept, store
+from folio.plans.lineage import kept, store_by
 from folio.plans.registry import query
 from folio.sources.adapters import FACTS, adapted, plain
 from folio.sources.commits import Change, Tables
@@ -94,28 +94,40 @@ def _shown(operations):
     return operations.withColumn("destination", F.array_join("destination", "\\")).select(*SHOWN)
 
 
-def _revisions(spark, sf_dir) -> Tables:
-    """A proposal committed whole, then again from the files that changed; only the parts of operations that changed are written."""
+KEYED = {"key": ("file_id",), "parts": 16}
+
+
+def _whole(spark, sf_dir) -> Tables:
+    """A proposal committed whole."""
 
     def write(folder: str) -> None:
-        tables = Tables(spark, folder)
-        drafts = store(proposals.compiled(_inputs(spark, sf_dir), PREFERENCES), "drafts")
-        whole = store(proposals.settled(proposals.grouped(drafts, PREFERENCES.least_group)), "proposal")
-        keyed = {"key": ("file_id",), "parts": 16}
-        tables.commit({"drafts": Change(drafts, **keyed), "operations": Change(whole, **keyed), "dependencies": Change(proposals.dependencies(drafts), **keyed)})
+        drafts = store_by(proposals.compiled(_inputs(spark, sf_dir), PREFERENCES), "drafts", "file_id")
+        whole = proposals.settled(proposals.grouped(drafts, PREFERENCES.least_group))
+        Tables(spark, folder).commit({"drafts": Change(drafts, **KEYED), "operations": Change(whole, **KEYED), "dependencies": Change(proposals.dependencies(drafts), **KEYED)})
+
+    return Tables(spark, kept(spark, f"whole proposal of {sf_dir}", write))
+
+
+def _revisions(spark, sf_dir) -> Tables:
+    """The proposal committed whole, then again from the files that changed; only the parts of operations that changed are written."""
+    first = _whole(spark, sf_dir).folder
+
+    def write(_: str) -> None:
+        tables = Tables(spark, first)
         facts = adapted(spark, sf_dir, FACTS)
         changed = _inputs(spark, sf_dir, True, CHANGED).join(facts.where(DELETED).select("file_id"), "file_id", "left_anti")
         fresh, operations, affected = proposals.incremental(tables.read("drafts"), tables.read("operations"), changed, facts.where(DELETED).select("file_id"), PREFERENCES)
         touched = affected.unionByName(changed.select("file_id")).unionByName(facts.where(DELETED).select("file_id"))
         parts = tables.parts_of("operations", touched)
-        tables.commit({n: Change(rows, **keyed, touched=parts) for n, rows in (("drafts", fresh), ("operations", operations), ("dependencies", proposals.dependencies(fresh)))}, base=1)
+        tables.commit({n: Change(rows, **KEYED, touched=parts) for n, rows in (("drafts", fresh), ("operations", operations), ("dependencies", proposals.dependencies(fresh)))}, base=1)
 
-    return Tables(spark, kept(spark, f"proposal of {sf_dir}", write))
+    kept(spark, f"proposal of {sf_dir}", write)
+    return Tables(spark, first)
 
 
 @query(_build_sql(plain(FACTS)))
 def organize_build(spark, sf_dir):
-    return _shown(_revisions(spark, sf_dir).read("operations", 1))
+    return _shown(_whole(spark, sf_dir).read("operations", 1))
 
 
 @query(_build_sql(FACTS_AFTER.format(facts=plain(FACTS))))

@@ -16,9 +16,10 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from folio.operators import chunks, embedding, linkage, matching, pathfit, proposals, reconcile, sinks, taxonomy
-from folio.plans import upkeep_queries
+from folio.plans import lineage, proposal_queries, upkeep_queries
 from folio.plans.catalogue import QUERIES
 from folio.plans.lineage import store
+from folio.plans.sizes import hashed
 from folio.sources.commits import Change, CommitConflict, Tables
 from folio.streaming import renames
 
@@ -552,3 +553,21 @@ def test_numbers_go_on_where_the_last_search_ended():
     assert time.monotonic() - began < 5
     numbers = got[got["file_id"] >= n]["number"].tolist()
     assert numbers == [0, *range(n, 2 * n - 1)]
+
+
+def test_the_whole_proposal_runs_alone_and_wide_rows_stay_in_their_buckets(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        wide = lineage.store_by(spark.range(2000).select(F.col("id").alias("file_id"), F.lit("x").alias("text")), "wide", "file_id")
+        met = wide.join(hashed(spark.range(0, 2000, 7).select(F.col("id").alias("file_id"))), "file_id", "left_anti")
+        assert met.count() == 2000 - 286
+        plan = met._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert plan.count("Exchange") == 1 and "ShuffledHashJoin" in plan and "Sort " not in plan
+    finally:
+        spark.conf.set(key, before)
+    assert proposal_queries._whole(spark, SMALL).versions()[0] == 1
+    other = f"{SMALL}/."
+    QUERIES["organize_build"](spark, other)
+    assert proposal_queries._whole(spark, other).versions() == [1]
