@@ -26,6 +26,8 @@ REGION = 32
 """Texts of a region up to which it is not cut any deeper."""
 LEAST_ALIKE = 60
 """Values that agree in the signatures of a pair that is compared in full: six deviations below the mean at the threshold."""
+BUCKETS = 512
+"""Ranges of hashes that a set's profile counts, a power of two."""
 
 MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _draw = np.random.Generator(np.random.PCG64(11))
@@ -149,15 +151,37 @@ def _met(regions: DataFrame, texts: DataFrame, roots: DataFrame | None, chained:
     return lists.mapInPandas(lambda frames: _alike(frames, chained), PAIRS).distinct()
 
 
+def profile(shingles: np.ndarray) -> bytes:
+    """How many shingles of a set lie in each of ``BUCKETS`` ranges of their hashes; empty if one holds more than a byte can say."""
+    n = np.bincount((shingles >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), minlength=BUCKETS)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+
+
+def may_link(first: pd.Series, second: pd.Series) -> pd.Series:
+    """Whether two sets can be alike enough by their profiles: they share at most the lesser number in each range. Sets without a profile can."""
+    may = (first.str.len() == BUCKETS) & (second.str.len() == BUCKETS)
+    a, b = (np.frombuffer(b"".join(x[may]), np.uint8).reshape(-1, BUCKETS) for x in (first, second))
+    both = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+    fits = 100 * both >= LEAST_PERCENT * (a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64) - both)
+    out = np.ones(len(first), dtype=bool)
+    out[may.to_numpy()] = fits
+    return pd.Series(out)
+
+
+_may_link = F.pandas_udf(may_link, T.BooleanType())
+
+
+@F.pandas_udf(T.StructType([T.StructField("s", T.BinaryType()), T.StructField("profile", T.BinaryType())]))
+def _coded(texts: pd.Series) -> pd.DataFrame:
+    sets = [shingle_set(t) for t in texts]
+    return pd.DataFrame({"s": [s.tobytes() for s in sets], "profile": [profile(s) for s in sets]})
+
+
 def _confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        known: dict[int, np.ndarray] = {}
         keep = []
-        for u, v, first, second in zip(frame["u"], frame["v"], frame["first"], frame["second"], strict=True):
-            for node, text in ((u, first), (v, second)):
-                if node not in known:
-                    known[node] = shingle_set(text)
-            a, b = known[u], known[v]
+        for first, second in zip(frame["first"], frame["second"], strict=True):
+            a, b = np.frombuffer(first, np.uint64), np.frombuffer(second, np.uint64)
             both = len(np.intersect1d(a, b, assume_unique=True))
             keep.append(100 * both >= LEAST_PERCENT * (len(a) + len(b) - both))
         yield frame.loc[keep, ["u", "v"]]
@@ -171,11 +195,17 @@ def _held(nodes: DataFrame, texts: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The ``(u, v)`` pairs whose whole texts have sets alike enough. Only texts of some pair are read beyond their hash."""
+    """The ``(u, v)`` pairs whose whole texts have sets alike enough. Only texts of some pair are read beyond their hash.
+
+    Profiles of the sets, of one size whatever the texts', come first: only pairs that these allow carry both sets.
+    """
     pairs = store(pairs, "candidates")
-    held = store(_held(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), texts, bodies), "candidate-texts")
-    sides = pairs.join(held.select(F.col("node").alias("u"), F.col("text").alias("first")), "u")
-    sides = sides.join(held.select(F.col("node").alias("v"), F.col("text").alias("second")), "v")
+    held = _held(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), texts, bodies)
+    held = store(held.select("node", _coded("text").alias("c")).select("node", "c.s", "c.profile"), "candidate-sets")
+    side = lambda end, c, name: held.select(F.col("node").alias(end), F.col(c).alias(name))
+    both = pairs.join(side("u", "profile", "_a"), "u").join(side("v", "profile", "_b"), "v")
+    near = store(both.where(_may_link("_a", "_b")).select("u", "v"), "near-candidates")
+    sides = near.join(side("u", "s", "first"), "u").join(side("v", "s", "second"), "v")
     return store(sides.select("u", "v", "first", "second").mapInPandas(_confirm, PAIRS), "links")
 
 

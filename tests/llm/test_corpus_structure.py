@@ -137,6 +137,31 @@ def test_signatures_estimate_overlap():
     assert (minhash_forest.signature(a) == minhash_forest.signature(np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64)))).sum() == 0
 
 
+def test_profiles_keep_every_link_and_spare_pairs_below_it(spark, monkeypatch):
+    """Only pairs that their profiles allow carry both sets; those allow all links and few pairs of an overlap of seven tenths."""
+    rng = np.random.default_rng(5)
+    pairs, links = [], []
+    for n in (1, 40, 400, 2000, 30_000, 300_000):
+        shared, own = rng.integers(0, 1 << 64, n, dtype=np.uint64), rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        for part in (0, 0.05, 0.08, 0.2, 0.3):
+            k = int(n * part)
+            a, b = np.sort(np.concatenate([shared[k:], own[:k]])), np.sort(shared)
+            both = len(np.intersect1d(a, b))
+            pairs.append((minhash_forest.profile(a), minhash_forest.profile(b)))
+            links.append(100 * both >= 85 * (len(a) + len(b) - both))
+    may = list(minhash_forest.may_link(*(pd.Series(x) for x in zip(*pairs, strict=True))))
+    assert all(m for m, linked in zip(may, links, strict=True) if linked) and sum(links) == 20
+    assert not any(may[9:20:5]) and all(may[25:])
+
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*words[:320], *[f"u{i}_{j}" for j in range(80)]])) for i in range(20)] + [(100, " ".join([*words[:320], *[f"u7_{j}" for j in range(79)]]))]
+    carried, seen = [], minhash_forest.store
+    monkeypatch.setattr(minhash_forest, "store", lambda df, name: (carried.append((name, out := seen(df, name))), out)[1])
+    assert got_classes(minhash_forest.near_duplicates(documents(spark, rows))) == brute_classes(rows)
+    total = lambda name: sum(df.count() for n, df in carried if n == name)
+    assert total("candidates") > 20 and total("near-candidates") == 1
+
+
 @pytest.mark.parametrize("folder", [SMALL, LARGER])
 def test_recall_of_the_forest(spark, folder):
     """Against all pairs: every link of the tables, whose near copies stand at and above the threshold, is found."""
