@@ -535,6 +535,20 @@ def test_path_and_vector_queries(spark):
         assert [round(-s, 6) for s, _ in best] == [round(s, 6) for _, _, s in sorted(got[item])]
 
 
+def test_vectors_are_added_up_where_few_texts_are_dealt(spark, monkeypatch):
+    """A task holds the buckets of so many texts, whatever a file holds: they are dealt before they are cut into features, and never again."""
+    monkeypatch.setattr(embedding, "TEXTS_A_TASK", 2)
+    docs = spark.createDataFrame([(i, f"invoice {i} note") for i in range(9)] + [(0, "more"), (None, "none")], "id long, t string").coalesce(1)
+    made = embedding.development(docs, "id", "t")
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and plan.index("Exchange") > plan.rindex("HashAggregate")
+    assert made.rdd.getNumPartitions() <= 6
+    vectors = {i: sorted((r["bucket"], round(r["weight"], 9)) for r in made.collect() if r["id"] == i) for i in (0, 8)}
+    monkeypatch.setattr(embedding, "TEXTS_A_TASK", 100)
+    whole = embedding.development(docs, "id", "t").collect()
+    assert vectors == {i: sorted((r["bucket"], round(r["weight"], 9)) for r in whole if r["id"] == i) for i in (0, 8)} and all(vectors.values())
+
+
 def test_signals_are_dealt_once(spark):
     sources = spark.createDataFrame([(1, "a", "person", 10), (1, "b", "person", 50), (2, "c", "project", None), (None, "d", "person", 1)], "doc long, source_id string, kind string, start long")
     signals = spark.createDataFrame([(1, "s", "email", 20), (1, "t", "phone", 30), (2, "u", "project_reference", 7), (2, "v", "email", 7), (None, "w", "email", 1)], "doc long, signal_id string, signal string, start long")
