@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.text import bound
-from folio.operators.normalise import RESERVED_NAME, component_fault, utf16_length
+from folio.operators.normalise import PLAIN_LENGTH, PLAIN_NAME, RESERVED_NAME, component_fault, utf16_length
 
 PATH, SEGMENT, FILENAME, SHORT, LEAST_NAME = 240, 80, 160, 32, 16
 """Units of a whole path, of a folder, of a file's name, of a folder that is shortened, and what a name keeps at least."""
 ENDING = r"^(?:.+)[.]([^.]+)$"
 BEYOND = r"[\x{10000}-\x{10FFFF}]"
+PLAIN = r"(?!(?:con|prn|aux|nul|(?:com|lpt)[1-9])(?:[.\\]|\z))[0-9a-z#_](?:[0-9a-z#_ .-]{0,62}[0-9a-z#_-])?"
+PLAIN_PATH = rf"(?i)^(?:{PLAIN}\\)*{PLAIN}\z"
+"""Paths of short ASCII components that are valid as they are."""
 
 
 def cut(text: Column, most: Column | int) -> Column:
@@ -27,7 +30,8 @@ def cut(text: Column, most: Column | int) -> Column:
 
     def shorter(t: Column) -> Column:
         points = F.aggregate(F.split(F.left(t, most), ""), start, step, lambda acc: acc["n"])
-        return F.when(~t.rlike(BEYOND), F.left(t, most)).when(utf16_length(t) <= most, t).otherwise(F.left(t, points))
+        # no text has more units than bytes
+        return F.when(F.octet_length(t) <= most, t).when(~t.rlike(BEYOND), F.left(t, most)).when(utf16_length(t) <= most, t).otherwise(F.left(t, points))
 
     return bound(text, shorter)
 
@@ -50,14 +54,18 @@ def cut_name(name: Column, most: Column | int) -> Column:
 
 def safe(name: Column, most: int, keep_ending: bool) -> Column:
     """A path component that Windows takes: runs of invalid characters are one underscore, no blank or dot at the end, no reserved name, at most ``most`` units."""
-    flat = F.regexp_replace(F.regexp_replace(F.btrim(name), r'[<>:"|?*/\\\x00-\x1F\x7F-\x{9F}]+', "_"), "[ .]+$", "")
-    known = bound(flat, lambda f: F.when(f == "", "Unclassified").when(f.rlike(RESERVED_NAME), F.concat(F.lit("_"), f)).otherwise(f))
-    return cut_name(known, most) if keep_ending else cut(known, most)
+    def made(n: Column) -> Column:
+        flat = F.regexp_replace(F.regexp_replace(F.btrim(n), r'[<>:"|?*/\\\x00-\x1F\x7F-\x{9F}]+', "_"), "[ .]+$", "")
+        known = bound(flat, lambda f: F.when(f == "", "Unclassified").when(f.rlike(RESERVED_NAME), F.concat(F.lit("_"), f)).otherwise(f))
+        return cut_name(known, most) if keep_ending else cut(known, most)
+
+    return bound(name, lambda n: F.when(n.rlike(PLAIN_NAME), n).otherwise(made(n))) if most >= PLAIN_LENGTH else made(name)
 
 
 def path_length(folders: Column, name: Column) -> Column:
-    """Units of a path: its components and one separator a folder."""
-    return F.aggregate(folders, utf16_length(name), lambda n, f: n + utf16_length(f) + 1)
+    """Units of a path: its components and one separator a folder; null if one of them is."""
+    known = name.isNotNull() & ~F.exists(folders, lambda f: f.isNull())
+    return F.when(known, bound(F.array_join(F.array_append(folders, name), "\\"), utf16_length))
 
 
 def valid_destination(folders: Column, depth: int) -> Column:
@@ -83,19 +91,27 @@ def fitted(rows: DataFrame, folders: str, name: str, depth: int, most: int = PAT
     carries the length left; then the name is cut to what remains, but never below 16 units. ``valid`` says whether it fits at last. A null
     name counts as empty.
     """
+    path = F.array_join(F.array_append(folders, F.col(name)), "\\", "?")
+    rows = rows.withColumn("_path", path)
+    # nothing is to be done for a path that one pattern finds plain and whose components hold no separator
+    own = F.length("_path") - F.length(F.replace("_path", F.lit("\\"), F.lit(""))) == F.size(folders)
+    rows = rows.withColumn("_plain", F.coalesce((F.size(folders) <= depth) & (F.length("_path") <= most) & own & F.rlike("_path", F.lit(PLAIN_PATH)), F.lit(False))).drop("_path")
     made = F.transform(F.coalesce(F.col(folders), F.array().cast("array<string>")), lambda f: safe(f, SEGMENT, False))
-    rows = rows.withColumns({"_made": F.slice(made, 1, depth), "_called": safe(F.coalesce(F.col(name), F.lit("")), FILENAME, True)})
+    called = safe(F.coalesce(F.col(name), F.lit("")), FILENAME, True)
+    rows = rows.withColumns({"_made": F.when(~F.col("_plain"), F.slice(made, 1, depth)), "_called": F.when(~F.col("_plain"), called)})
     start = F.struct(path_length(F.col("_made"), F.col("_called")).alias("left"), F.array().cast("array<string>").alias("done"))
 
     def shorten(acc: Column, f: Column) -> Column:
         piece = F.when(acc["left"] > most, cut(f, SHORT)).otherwise(f)
         return bound(piece, lambda p: F.struct((acc["left"] - utf16_length(f) + utf16_length(p)).alias("left"), F.array_prepend(acc["done"], p).alias("done")))
 
-    rows = rows.withColumn("_fold", F.aggregate(F.reverse("_made"), start, shorten))
+    rows = rows.withColumn("_start", start)
+    rows = rows.withColumn("_fold", F.when(F.col("_start.left") <= most, F.struct(F.col("_start.left").alias("left"), F.col("_made").alias("done"))).otherwise(F.aggregate(F.reverse("_made"), F.col("_start"), shorten)))
     room = F.greatest(F.lit(most) - (F.col("_fold.left") - utf16_length(F.col("_called"))), F.lit(LEAST_NAME))
     last = F.when(F.col("_fold.left") > most, cut_name(F.col("_called"), room)).otherwise(F.col("_called"))
     rows = rows.withColumn("_last", last)
     changed = ~(F.col("_fold.done").eqNullSafe(F.col(folders)) & F.col("_last").eqNullSafe(F.col(name)))
     valid = path_length(F.col("_fold.done"), F.col("_last")) <= most
     fit = F.struct(F.col("_fold.done").alias("folders"), F.col("_last").alias("name"), changed.alias("changed"), valid.alias("valid"))
-    return rows.withColumn("fit", fit).drop("_made", "_called", "_fold", "_last")
+    plain = F.struct(F.col(folders).alias("folders"), F.col(name).alias("name"), F.lit(False).alias("changed"), F.lit(True).alias("valid"))
+    return rows.withColumn("fit", F.when(F.col("_plain"), plain).otherwise(fit)).drop("_plain", "_made", "_called", "_start", "_fold", "_last")

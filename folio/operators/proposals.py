@@ -159,22 +159,21 @@ def compiled(files: DataFrame, p: Preferences = Preferences()) -> DataFrame:  #
     given = F.transform("rule_destination", lambda s: F.struct(s.alias("name"), F.lit(False).alias("optional")))
     safe = pathfit.valid_destination(F.col("rule_destination"), p.depth)
     here = F.transform("source", lambda s: F.struct(s.alias("name"), F.lit(False).alias("optional")))
-    held = F.array_distinct(F.transform("_target", lambda t: F.lower(t["name"])))
-    matching = F.size(F.filter("source", lambda s: F.array_contains(held, F.lower(s))))
-    useful = (
-        F.lit(p.preserve_folders) & ~F.col("needs_review") & F.size("source").between(1, p.depth) & ~F.exists("source", lambda s: component_fault(s, pathfit.SEGMENT).isNotNull())
-        & F.lower(F.get("source", F.lit(0))).isin(*SEMANTIC_ROOTS) & (matching >= 2) & (matching * 2 >= F.least(F.size("source"), F.size(held)))
-    )
+    # few files lie in such folders; only theirs are compared with the target
+    rooted = F.lit(p.preserve_folders) & ~F.col("needs_review") & F.size("source").between(1, p.depth) & F.lower(F.get("source", F.lit(0))).isin(*SEMANTIC_ROOTS)
+    rows = rows.withColumn("_held", F.when(rooted, F.array_distinct(F.transform("_target", lambda t: F.lower(t["name"])))))
+    rows = rows.withColumn("_matching", F.when(F.col("_held").isNotNull(), F.size(F.filter("source", lambda s: F.array_contains("_held", F.lower(s))))))
+    useful = (F.col("_matching") >= 2) & (F.col("_matching") * 2 >= F.least(F.size("source"), F.size("_held"))) & ~F.exists("source", lambda s: component_fault(s, pathfit.SEGMENT).isNotNull())
     ruled = F.col("rule") == "destination"
     rows = rows.withColumns({
         "_target": F.when(ruled & safe, given).when(ruled, _part(TO_REVIEW)).when(F.col("rule") == "preserve", here).when(F.coalesce(useful, F.lit(False)), here).otherwise(F.col("_target")),
         "needs_review": F.col("needs_review") | F.coalesce(ruled & ~safe, F.lit(False)),
         "reasons": F.concat("reasons", F.array_compact(F.array(F.when(ruled & ~safe, "invalid_user_rule")))),
     })
-    rows = pathfit.fitted(rows.withColumns({"_folders": F.transform("_target", lambda t: t["name"]), "_name": machine_name(p)}), "_folders", "_name", p.depth)
+    rows = pathfit.fitted(rows.withColumns({"_folders": F.col("_target.name"), "_name": machine_name(p)}), "_folders", "_name", p.depth)
     rows = rows.withColumns({
         "machine_destination": F.col("fit.folders"), "machine_name": F.col("fit.name"), "needs_review": F.col("needs_review") | ~F.col("fit.valid"),
-        "optional": F.slice(F.transform("_target", lambda t: t["optional"]), 1, p.depth), "conflict": F.when(~F.col("fit.valid"), "path_too_long").otherwise("none"),
+        "optional": F.slice(F.col("_target.optional"), 1, p.depth), "conflict": F.when(~F.col("fit.valid"), "path_too_long").otherwise("none"),
     })
     o = F.col("override")
     mine = o.isNotNull()
@@ -184,9 +183,10 @@ def compiled(files: DataFrame, p: Preferences = Preferences()) -> DataFrame:  #
     rows = rows.withColumns({"destination": goes, "new_name": called})
     wrong = ~pathfit.valid_destination(F.col("destination"), p.depth) | component_fault(F.col("new_name"), pathfit.FILENAME).isNotNull()
     long = pathfit.path_length(F.col("destination"), F.col("new_name")) > pathfit.PATH
+    rows = rows.withColumn("_fault", F.when(mine, F.when(wrong, "invalid_path").when(long, "path_too_long")))
     rows = rows.withColumns({
-        "conflict": F.when(mine & wrong, "invalid_path").when(mine & long, "path_too_long").otherwise(F.col("conflict")),
-        "needs_review": F.when(mine & (wrong | long), True).when(o.isin("keep", "reject"), False).when(o == "review", True).otherwise(F.col("needs_review")),
+        "conflict": F.coalesce("_fault", "conflict"),
+        "needs_review": F.when(F.col("_fault").isNotNull(), True).when(o.isin("keep", "reject"), False).when(o == "review", True).otherwise(F.col("needs_review")),
         "optional": F.when(mine, F.transform("destination", lambda _: F.lit(False))).otherwise(F.col("optional")),
         "reasons": F.concat("reasons", F.array_compact(F.array(F.when(mine, "user_override")))),
     })
@@ -295,15 +295,17 @@ def settled(drafts: DataFrame) -> DataFrame:
         fast = fast.unionByName(one.groupBy("family", "ending").applyInPandas(_one_by_one, "file_id long, ordinal long, number long"))
     rows = drafts.join(hashed(fast), "file_id", "left")
     again = F.coalesce(F.col("ordinal") > 1, F.lit(False))
-    named = pathfit.numbered_name(F.col("new_name"), F.col("number"))
-    long = pathfit.path_length(F.col("destination"), named) > pathfit.PATH
+    # names are made for those that need one only
+    rows = rows.withColumn("_numbered", F.when(again & ~F.col("overridden"), pathfit.numbered_name(F.col("new_name"), F.col("number"))))
+    rows = rows.withColumn("_long", F.when(again, pathfit.path_length(F.col("destination"), F.col("_numbered")) > pathfit.PATH))
+    named, long = F.col("_numbered"), F.col("_long")
     solved, stuck = again & ~F.col("overridden") & ~long, again & (F.col("overridden") | long)
     code = F.when(again & F.col("overridden"), "destination_collision").when(again & long, "unresolved_collision").when(again, "collision_resolved")
     return rows.withColumns({
         "conflict": F.when(solved, "auto_resolved").when(stuck, "destination_collision").otherwise(F.col("conflict")),
         "needs_review": F.col("needs_review") | stuck, "kind": F.when(stuck, "to_review").otherwise(F.col("kind")),
         "reasons": F.concat("reasons", F.array_compact(F.array(code))), "new_name": F.when(solved, named).otherwise(F.col("new_name")),
-    }).drop("ordinal", "number")
+    }).drop("ordinal", "number", "_numbered", "_long")
 
 
 def build(files: DataFrame, p: Preferences = Preferences()) -> DataFrame:  # noqa: B008

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folio.operators import proposals
 from folio.plans.lineage import kept, store_by
 from folio.plans.registry import query
+from folio.plans.sizes import spread
 from folio.sources.adapters import FACTS, adapted, plain
 from folio.sources.commits import Change, Tables
 
@@ -30,10 +31,12 @@ PREFERENCES = proposals.Preferences(least_group=3)
 
 
 def _inputs(spark, sf_dir, after: bool = False, only: str = "true"):
+    """The inputs of a proposal, dealt by file while they are narrow: as many tasks compile them as the session shuffles to."""
     facts = adapted(spark, sf_dir, FACTS)
     if after:
         facts = spark.sql(FACTS_AFTER.format(facts="SELECT * FROM {facts}"), facts=facts)
-    rows = spark.sql(INPUTS.format(facts="SELECT * FROM {facts}"), facts=facts.where(only) if only != "true" else facts)
+    facts = spread(facts.where(only) if only != "true" else facts, "file_id")
+    rows = spark.sql(INPUTS.format(facts="SELECT * FROM {facts}"), facts=facts)
     doubles = [F.col(c).cast("double").alias(c) if c in ("context_confidence", "type_confidence", "relation_confidence", "quality") else c for c in rows.columns]
     return rows.select(*doubles, F.lit(None).cast("array<string>").alias("rule_destination"), F.lit(None).cast("array<string>").alias("override_destination"))
 

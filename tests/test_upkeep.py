@@ -15,11 +15,11 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from folio.operators import chunks, embedding, linkage, matching, pathfit, proposals, reconcile, sinks, taxonomy
+from folio.operators import chunks, embedding, linkage, matching, normalise, pathfit, proposals, reconcile, sinks, taxonomy
 from folio.plans import lineage, proposal_queries, upkeep_queries
 from folio.plans.catalogue import QUERIES
 from folio.plans.lineage import store
-from folio.plans.sizes import hashed
+from folio.plans.sizes import hashed, spread
 from folio.sources.commits import Change, CommitConflict, Tables
 from folio.streaming import renames
 
@@ -487,6 +487,34 @@ def plain_name(s, most):
     return plain_cut(stem, most - units(end) - 1) + dot + end
 
 
+def test_plain_paths_need_nothing(spark):
+    """What one pattern finds plain has no fault and is left as it is; what it does not find goes the long way."""
+    rng = random.Random(8)
+    odd = ["con", "CON.txt", "Lpt1", "a ", "a.", " a", "a\n", "é", "", "a:b", "x\\y", "?", "." * 3, "a" * 65, "b" * 64, "nul.", "common", "com1x", "a.b", "#1", "_", "𝄞", None]
+    names = odd + ["".join(rng.choice("aZ9 ._-#:\\éc") for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").withColumns({"plain": F.rlike("n", F.lit(normalise.PLAIN_NAME)), "fault": normalise.component_fault(F.col("n"))})
+    known = {r["n"]: r for r in rows.collect()}
+    plain = [n for n, r in known.items() if r["plain"]]
+    assert {"common", "com1x", "a.b", "#1", "_", "b" * 64} <= set(plain) and not set(plain) & set(odd[:14])
+    assert all(known[n]["fault"] is None and plain_safe(n, 80, False) == n == plain_safe(n, 160, True) for n in plain)
+    paths = [([rng.choice(names) for _ in range(rng.randint(0, 8))], rng.choice(names)) for _ in range(300)] + [([rng.choice(plain) for _ in range(rng.randint(0, 6))], rng.choice(plain)) for _ in range(100)]
+    paths += [(["a\\b"], "c"), (["a"], None), ([], "a"), (["a" * 64] * 4, "b"), (["x"] * 7, "y"), ([None, "a"], "b")]
+    # a blank in front of a name and none: the long way of the first must lead where the short way of the second does
+    both = spark.createDataFrame([(i, f, n) for i, (f, n) in enumerate(paths)], "id int, folders array<string>, name string")
+    long_way = both.withColumns({"folders": F.transform("folders", lambda x: F.concat(F.lit(" "), x)), "name": F.concat(F.lit(" "), "name")})
+    fit = lambda df: {r["id"]: r["fit"] for r in pathfit.fitted(df, "folders", "name", 6).collect()}
+    short, slow = fit(both), fit(long_way)
+    assert all((short[i]["folders"], short[i]["name"], short[i]["valid"]) == (slow[i]["folders"], slow[i]["name"], slow[i]["valid"]) for i in short)
+    assert all(short[i]["changed"] == ((short[i]["folders"], short[i]["name"]) != paths[i]) for i in short)
+
+
+def test_buckets_hold_few_files_whatever_the_tasks(spark):
+    rows = spark.range(1000).withColumnRenamed("id", "k")
+    table = lineage.store_by(rows.repartition(60), "many", "k")
+    assert table.count() == 1000 and len(table.inputFiles()) <= 8 * 8
+    assert len(lineage.store_by(spread(rows, "k"), "dealt", "k").inputFiles()) <= 8
+
+
 def plain_safe(s, most, name):
     s = re.sub(r'[<>:"|?*/\\\x00-\x1f\x7f-\x9f]+', "_", s.strip(" ")).rstrip(" .") or "Unclassified"
     if re.match(r"(?i)^(con|prn|aux|nul|(com|lpt)[1-9])([.].*)?$", s):
