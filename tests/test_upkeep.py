@@ -346,6 +346,20 @@ def test_a_chain_of_pairs_takes_few_rounds(spark, monkeypatch):
     assert got == brute_capped(pairs, 1) and len(stored) < 10
 
 
+def test_classes_of_pairs_come_from_two_edges_a_mention(spark, monkeypatch):
+    """Whatever pairs a class has, and where one mention ties two crowds together."""
+    edges = []
+    monkeypatch.setattr(matching, "components", lambda df, components=matching.components: edges.append(df.count()) or components(df))
+    crowd = lambda ids: [(a, b, 0) for a in ids for b in ids if a < b]
+    pairs = crowd(range(30)) + crowd(range(29, 60)) + crowd(range(100, 110))
+    rows = spark.createDataFrame(pairs, "a int, b int, gap int")
+    roots = {r["node"]: (r["root"], r["degree"]) for r in matching._classes(rows, "a", "b").collect()}
+    h = {r["m"]: r["h"] for r in spark.createDataFrame([(i,) for i in {*range(60), *range(100, 110)}], "m int").select("m", F.xxhash64("m").alias("h")).collect()}
+    assert len({roots[h[m]][0] for m in range(60)}) == 1 and len({roots[h[m]][0] for m in range(100, 110)}) == 1 and len({r for r, _ in roots.values()}) == 2
+    assert roots[h[0]][1] == 29 and roots[h[29]][1] == 59 and sum(edges) <= 2 * 70 + 8 < len(pairs)
+    assert {tuple(r) for r in matching.capped(rows, ["gap"], 4).collect()} == brute_capped(pairs, 4)
+
+
 def test_capped_query(spark):
     pairs = [tuple(r) for r in upkeep_queries._ranked(spark, SMALL).select("a", "b", "priority", "blocks").collect()]
     got = {(r["a"], r["b"], r["priority"], r["blocks"]) for r in QUERIES["identity_capped"](spark, SMALL).collect()}
