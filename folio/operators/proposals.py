@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -240,31 +242,68 @@ def grouped(drafts: DataFrame, least: int, sizes: DataFrame | None = None) -> Da
 NUMBERED = r"^(.+)_([1-9][0-9]{0,8})((?:[.][^.]{1,16})?)$"
 
 
+class _Family:
+    """Numbers for the files of one family, whose names differ in their stems only, as they come in order of their ids: each takes the next that nobody before it has.
+
+    Holds the stems that came and, for each, the runs of numbers given out. Names made from different stems are never equal, so a made name matters only to
+    a file whose own it is, and that file finds it among the runs.
+    """
+
+    def __init__(self) -> None:
+        self.count: dict[str, int] = {}
+        self.runs: dict[str, list[list[int]]] = {}
+
+    def _given(self, stem: str) -> bool:
+        base, _, n = stem.rpartition("_")
+        if not n.isdecimal() or not n.isascii() or n[0] == "0" or base not in self.runs:
+            return False
+        runs, n = self.runs[base], int(n)
+        at = bisect_right(runs, n, key=lambda r: r[0]) - 1
+        return at >= 0 and n <= runs[at][1]
+
+    def add(self, stem: str, overridden: bool) -> tuple[int, int]:
+        """``(ordinal, number)`` of the next file; 0 for one that keeps its name."""
+        known = self.count.get(stem)
+        self.count[stem] = ordinal = (int(self._given(stem)) if known is None else known) + 1
+        if ordinal == 1 or overridden:
+            return ordinal, 0
+        runs = self.runs.setdefault(stem, [])
+        # all numbers from an earlier ordinal to what it got are taken
+        number = max(ordinal, runs[-1][1] + 1 if runs else 1)
+        while f"{stem}_{number}" in self.count:
+            number += 1
+        if runs and runs[-1][1] == number - 1:
+            runs[-1][1] = number
+        else:
+            runs.append([number, number])
+        return ordinal, number
+
+
 def _one_by_one(rows: pd.DataFrame) -> pd.DataFrame:
-    """Numbers for the files of one family in order of their ids: each takes the next that nobody before it has."""
-    seen: dict[str, int] = {}
-    last: dict[str, int] = {}
-    out = []
-    for r in rows.sort_values("file_id").itertuples(index=False):
-        seen[r.key] = ordinal = seen.get(r.key, 0) + 1
-        number = 0
-        if ordinal > 1 and not r.overridden:
-            # all numbers from an earlier ordinal to what it got are taken
-            number = max(ordinal, last.get(r.key, 0) + 1)
-            while f"{r.stem}_{number}{r.ending}" in seen:
-                number += 1
-            seen[f"{r.stem}_{number}{r.ending}"] = 1
-            last[r.key] = number
-        out.append((r.file_id, ordinal, number))
+    """``_Family`` over the files of one family that are all at hand."""
+    family = _Family()
+    out = [(r.file_id, *family.add(r.stem, r.overridden)) for r in rows.sort_values("file_id").itertuples(index=False)]
     return pd.DataFrame(out, columns=["file_id", "ordinal", "number"])
 
 
+def _family_by_family(batches):
+    """``_Family`` over rows ``(family, ending, file_id, stem, overridden)`` in order; families come one after the other, and rows as they are read."""
+    of, family = None, _Family()
+    for batch in batches:
+        out = []
+        for name, ending, stem, mine in zip(*(batch.column(c).to_pylist() for c in ("family", "ending", "stem", "overridden")), strict=True):
+            if (name, ending) != of:
+                of, family = (name, ending), _Family()
+            out.append(family.add(stem, mine))
+        yield pa.RecordBatch.from_arrays([batch.column("file_id"), *(pa.array([o[i] for o in out], pa.int64()) for i in (0, 1))], names=["file_id", "ordinal", "number"])
+
+
 def settled(drafts: DataFrame) -> DataFrame:
     """Drafts with different paths: of those that want one name in one folder, whatever its case, the first by id keeps it, others get ``_2``, ``_3`` and so on.
 
     A user's own name is not changed but marked. Files that stay take no part. Ordinals come from running totals, so one name that most
     files want is many tasks. Where a numbered name that a colliding file might get is another file's own, the files of that folder and stem are
-    numbered one after the other; one task holds their ids and keys.
+    numbered one after the other; one task reads them in order and holds their distinct stems.
     """
     moving = ~F.col("kind").isin("keep_in_place", "no_action")
     key = collision_key(F.col("destination"), F.col("new_name"))
@@ -291,8 +330,9 @@ def settled(drafts: DataFrame) -> DataFrame:
     fast = running_total(easy, ["key"], bucket, ["file_id"], F.lit(1).cast("long"), "ordinal")
     fast = fast.select("file_id", (F.col("ordinal") + 1).alias("ordinal"), F.when((F.col("ordinal") > 0) & ~F.col("overridden"), F.col("ordinal") + 1).otherwise(0).alias("number"))
     if slow is not None:
-        one = slim.join(slow, "key", "left_semi").withColumn("family", F.regexp_replace("stem", r"(_[0-9]+)+$", ""))
-        fast = fast.unionByName(one.groupBy("family", "ending").applyInPandas(_one_by_one, "file_id long, ordinal long, number long"))
+        one = slim.join(slow, "key", "left_semi").select(F.regexp_replace("stem", r"(_[0-9]+)+$", "").alias("family"), "ending", F.col("file_id").cast("long"), "stem", "overridden")
+        one = one.repartition(int(one.sparkSession.conf.get("spark.sql.shuffle.partitions")), "family", "ending").sortWithinPartitions("family", "ending", "file_id")
+        fast = fast.unionByName(one.mapInArrow(_family_by_family, "file_id long, ordinal long, number long"))
     rows = drafts.join(hashed(fast), "file_id", "left")
     again = F.coalesce(F.col("ordinal") > 1, F.lit(False))
     # names are made for those that need one only

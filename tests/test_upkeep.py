@@ -11,6 +11,7 @@ import time
 from collections import Counter, defaultdict
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -611,6 +612,35 @@ def test_numbers_go_on_where_the_last_search_ended():
     assert numbers == [0, *range(n, 2 * n - 1)]
 
 
+def test_a_family_holds_its_stems_and_not_its_files(spark):
+    """Numbers as from a pass that remembers every name; a family in many batches; memory by distinct stems."""
+
+    def names_remembered(rows):
+        seen, out = Counter(), []
+        for i, stem, mine in sorted(rows):
+            seen[stem] += 1
+            ordinal, number = seen[stem], 0
+            if ordinal > 1 and not mine:
+                number = ordinal
+                while f"{stem}_{number}" in seen:
+                    number += 1
+                seen[f"{stem}_{number}"] = 1
+            out.append((i, ordinal, number))
+        return out
+
+    rng = random.Random(5)
+    for _ in range(200):
+        rows = [(i, rng.choice(["a", "a", "a_2", "a_3", "a_2_2", "a_02", "a_", "a_4", "a_²"]), rng.random() < 0.2) for i in range(40)]
+        frame = pd.DataFrame([(i, s, s, "", m) for i, s, m in rows], columns=["file_id", "key", "stem", "ending", "overridden"])
+        assert [tuple(map(int, r)) for r in proposals._one_by_one(frame).itertuples(index=False)] == names_remembered(rows)
+    family = proposals._Family()
+    assert [family.add("a", False) for _ in range(5000)][-1] == (5000, 5000) and family.add("a_77", False) == (2, 2)
+    assert len(family.count) == 2 and family.runs == {"a": [[2, 5000]], "a_77": [[2, 2]]}
+    two = pd.DataFrame([("f", e, i, "f", False) for e in (".a", ".b") for i in range(6)], columns=["family", "ending", "file_id", "stem", "overridden"])
+    told = pa.Table.from_batches(list(proposals._family_by_family(pa.Table.from_pandas(two).to_batches(4)))).to_pydict()
+    assert told["number"] == [0, 2, 3, 4, 5, 6] * 2 and told["file_id"] == [*range(6)] * 2
+
+
 def test_the_whole_proposal_runs_alone_and_wide_rows_stay_in_their_buckets(spark):
     key = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(key)
